@@ -1,0 +1 @@
+"""No streaming operators: every query of this library is a batch query over a settled sales table."""
