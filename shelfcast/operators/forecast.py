@@ -8,8 +8,8 @@ forecast is one job whatever the horizon.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -32,55 +32,29 @@ Z_80, Z_95 = 1.28, 1.96
 
 BAND_COLUMNS = ["Forecast_Sales", "Lower_80", "Upper_80", "Lower_95", "Upper_95"]
 
-Scorer = Callable[[np.ndarray], np.ndarray]
+# A fitted model as plain numbers: small, and readable by any Python worker.
+Scorer = dict[str, Any]
 
 
-@dataclass(frozen=True)
-class ColumnScorer:
-    """Takes one feature as the prediction: the moving-average baseline."""
+def score(scorer: Scorer, x: np.ndarray) -> np.ndarray:
+    """Predictions for rows of features.
 
-    index: int
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return x[:, self.index]
-
-
-@dataclass(frozen=True)
-class LinearScorer:
-    weights: np.ndarray
-    intercept: float
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.intercept
-
-
-@dataclass(frozen=True)
-class TreeScorer:
-    """A weighted sum of regression trees whose nodes lie in flat arrays.
-
-    Leaves point to themselves, so ``depth`` rounds bring every row to its leaf.
+    Leaves of a tree point to themselves, so ``depth`` rounds bring every row to its leaf.
     """
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-    roots: np.ndarray
-    weights: np.ndarray
-    depth: int
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        at = np.tile(self.roots, (len(x), 1))
-        rows = np.arange(len(x))[:, None]
-        for _ in range(self.depth):
-            goes_left = x[rows, self.feature[at]] <= self.threshold[at]
-            at = np.where(goes_left, self.left[at], self.right[at])
-        return self.value[at] @ self.weights
+    if scorer["kind"] == "column":
+        return x[:, scorer["index"]]
+    if scorer["kind"] == "linear":
+        return x @ scorer["weights"] + scorer["intercept"]
+    at = np.tile(scorer["roots"], (len(x), 1))
+    rows = np.arange(len(x))[:, None]
+    for _ in range(scorer["depth"]):
+        goes_left = x[rows, scorer["feature"][at]] <= scorer["threshold"][at]
+        at = np.where(goes_left, scorer["left"][at], scorer["right"][at])
+    return scorer["value"][at] @ scorer["weights"]
 
 
 def baseline_scorer(spec: FeatureSpec) -> Scorer:
-    return ColumnScorer(spec.names.index("rolling_mean_7"))
+    return {"kind": "column", "index": spec.names.index("rolling_mean_7")}
 
 
 def _tree_scorer(model, spark: SparkSession) -> Scorer:
@@ -112,7 +86,8 @@ def _tree_scorer(model, spark: SparkSession) -> Scorer:
     weights = np.asarray(model.treeWeights, dtype=float)
     if isinstance(model, RandomForestRegressionModel):
         weights = weights / weights.sum()
-    return TreeScorer(
+    return dict(
+        kind="trees",
         feature=np.where(leaf, 0, nodes["featureIndex"].to_numpy()),
         threshold=np.where(leaf, np.inf, nodes["threshold"].to_numpy(dtype=float)),
         left=np.where(leaf, own, first + nodes["leftChild"].to_numpy()),
@@ -125,10 +100,14 @@ def _tree_scorer(model, spark: SparkSession) -> Scorer:
 
 
 def scorer_of(model: PipelineModel, spark: SparkSession) -> Scorer:
-    """The prediction of a fitted pipeline as a function of a plain feature array."""
+    """The prediction of a fitted pipeline in numbers."""
     regressor = model.stages[-1]
     if isinstance(regressor, LinearRegressionModel):
-        return LinearScorer(regressor.coefficients.toArray(), regressor.intercept)
+        return {
+            "kind": "linear",
+            "weights": regressor.coefficients.toArray(),
+            "intercept": regressor.intercept,
+        }
     return _tree_scorer(regressor, spark)
 
 
@@ -173,7 +152,7 @@ def walk(
     result = np.empty((len(histories), horizon))
     for step in range(horizon):
         features = buffer_features(spec, buffer, known, days[:, step, :], ddof)
-        result[:, step] = np.maximum(scorer(features), 0.0)
+        result[:, step] = np.maximum(score(scorer, features), 0.0)
         buffer = np.column_stack([buffer[:, 1:], result[:, step]])
         known = np.minimum(known + 1, width)
     return result

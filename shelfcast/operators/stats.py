@@ -66,9 +66,16 @@ def decompose(
 
 
 def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    """Coefficients, residual sum of squares, and the diagonal of the inverse cross product.
+
+    Columns are brought to length one first: a level in the millions stands beside a constant.
+    """
+    length = np.linalg.norm(x, axis=0)
+    length[length == 0] = 1.0
+    inverse = np.linalg.pinv(x / length)
+    beta = inverse @ y / length
     residual = y - x @ beta
-    return beta, float(residual @ residual), np.linalg.pinv(x.T @ x)
+    return beta, float(residual @ residual), (inverse**2).sum(axis=1) / length**2
 
 
 def _lagged_design(y: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +107,7 @@ def adf_statistic(y: np.ndarray) -> tuple[float, int, int] | None:
     freedom = len(target) - design.shape[1]
     if freedom <= 0:
         return None
-    error = math.sqrt(residual / freedom * inverse[0, 0])
+    error = math.sqrt(residual / freedom * inverse[0])
     return (float(beta[0] / error) if error > 0 else -math.inf), lags, len(target)
 
 

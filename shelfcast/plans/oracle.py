@@ -41,11 +41,6 @@ _SUMS = """
     CAST(COUNT(DISTINCT "Order ID") AS BIGINT) AS "Orders",
     CAST(COUNT(DISTINCT "Customer ID") AS BIGINT) AS "Customers" """
 
-_DISCOUNT = """,
-    ROUND(CAST(SUM("Discount") AS DOUBLE) / COUNT(*), 6) AS "Avg_Discount" """
-
-_MEASURES = ["Sales", "Quantity", "Profit", "Orders", "Customers"]
-
 
 def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(parts) + "\n" + select
@@ -94,7 +89,7 @@ _COLUMNS = {
     "Orders": 'CAST(COUNT(DISTINCT "Order ID") AS BIGINT)',
     "Customers": 'CAST(COUNT(DISTINCT "Customer ID") AS BIGINT)',
 }
-_DAILY = {**_COLUMNS, "Avg_Discount": 'ROUND(CAST(SUM("Discount") AS DOUBLE) / COUNT(*), 6)'}
+_DAILY = {**_COLUMNS, "Avg_Discount": 'CAST(SUM("Discount") AS DOUBLE) / COUNT(*)'}
 _SALES = {"Sales": _COLUMNS["Sales"]}
 _SALES_PROFIT = {"Sales": _COLUMNS["Sales"], "Profit": _COLUMNS["Profit"]}
 
@@ -106,7 +101,7 @@ def _group_summary(key: str) -> str:
         _LINES,
         select=f"""
 SELECT "{key}", "Sales", "Profit", "Quantity", "Orders",
-  ROUND("Profit" / "Sales" * 100, 6) AS "Profit_Margin",
+  "Profit" / "Sales" * 100 AS "Profit_Margin",
   ROUND("Sales" / SUM("Sales") OVER () * 100, 6) AS "Sales_Share"
 FROM (SELECT "{key}", {_SUMS} FROM lines GROUP BY "{key}")""",
     )
@@ -117,7 +112,7 @@ def _group_margin(key: str, source: str = "lines") -> str:
         _LINES,
         _CHOSEN,
         select=f"""
-SELECT "{key}", "Sales", "Profit", "Orders", ROUND("Profit" / "Sales" * 100, 6) AS "Profit_Margin"
+SELECT "{key}", "Sales", "Profit", "Orders", "Profit" / "Sales" * 100 AS "Profit_Margin"
 FROM (SELECT "{key}", {_SUMS} FROM {source} GROUP BY "{key}")""",
     )
 
@@ -129,7 +124,7 @@ def _top_products(keys: list[str], source: str = "lines") -> str:
         _CHOSEN,
         select=f"""
 SELECT {names}, "Sales", "Profit", "Quantity" AS "Units_Sold",
-  ROUND("Profit" / "Sales" * 100, 6) AS "Margin_%"
+  "Profit" / "Sales" * 100 AS "Margin_%"
 FROM (SELECT {names}, {_SUMS} FROM {source} GROUP BY {names} ORDER BY "Sales" DESC, {names} LIMIT 10)""",
     )
 
@@ -140,8 +135,8 @@ def _headline(source: str) -> str:
         _CHOSEN,
         select=f"""
 SELECT "Sales" AS "Total_Sales", "Profit" AS "Total_Profit", "Orders" AS "Total_Orders",
-  ROUND(CASE WHEN "Sales" > 0 THEN "Profit" / "Sales" * 100 ELSE 0 END, 6) AS "Blended_Margin",
-  ROUND(CASE WHEN "Orders" > 0 THEN "Sales" / "Orders" ELSE 0 END, 6) AS "Avg_Order_Value"
+  CASE WHEN "Sales" > 0 THEN "Profit" / "Sales" * 100 ELSE 0 END AS "Blended_Margin",
+  CASE WHEN "Orders" > 0 THEN "Sales" / "Orders" ELSE 0 END AS "Avg_Order_Value"
 FROM (SELECT {_SUMS} FROM {source})""",
     )
 
@@ -152,7 +147,7 @@ def _weekdays(condition: str) -> str:
         select=f"""
 SELECT CAST(d.i AS INTEGER) AS "Day_Order", d.name AS "Day_Name",
   CAST(SUM("Sales") AS DOUBLE) AS "Sales_Sum",
-  ROUND(CAST(SUM("Sales") AS DOUBLE) / COUNT("Sales"), 4) AS "Sales_Mean"
+  CAST(SUM("Sales") AS DOUBLE) / COUNT("Sales") AS "Sales_Mean"
 FROM (VALUES (0, 'Mon'), (1, 'Tue'), (2, 'Wed'), (3, 'Thu'), (4, 'Fri'), (5, 'Sat'), (6, 'Sun')) d(i, name)
 LEFT JOIN (SELECT * FROM lines WHERE {condition}) l ON strftime(l."Order Date", '%a') = d.name
 GROUP BY d.i, d.name""",
@@ -218,9 +213,13 @@ featured AS (
 )"""
 
 
-_ROLLING_ROUNDED = ", ".join(
-    f"ROUND(rolling_{n}_{d}, 2) AS rolling_{n}_{d}" for d in _WINDOW_DAYS for n in ("mean", "std", "min", "max")
-)
+def _rolling_value(name: str, days: int) -> str:
+    column = f"rolling_{name}_{days}"
+    rounded = {"mean": f"ROUND({column} + 1e-6, 2)", "std": f"ROUND({column}, 2)"}
+    return f"{rounded.get(name, column)} AS {column}"
+
+
+_ROLLING_ROUNDED = ", ".join(_rolling_value(n, d) for d in _WINDOW_DAYS for n in ("mean", "std", "min", "max"))
 _LAG_NAMES = ", ".join(f"lag_{k}" for k in _LAG_DAYS)
 _FEATURES = [_LINES, _filled("day", _SALES), _featured()]
 
@@ -381,7 +380,7 @@ ORACLE: dict[str, str] = {
         select="""SELECT "Date", "Sales", "Profit", """
         + ", ".join(
             f"""ROUND(CASE WHEN ROW_NUMBER() OVER (ORDER BY "Date") >= {d} THEN AVG("Sales") OVER
-  (ORDER BY "Date" ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW) END, 2) AS "MA_{d}" """
+  (ORDER BY "Date" ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW) END + 1e-6, 2) AS "MA_{d}" """
             for d in (7, 30)
         )
         + " FROM filled",
@@ -413,10 +412,10 @@ LEFT JOIN found f ON f."Date" = CAST(d AS DATE)""",
 leaves AS (SELECT "Category", "Sub-Category", CAST(SUM("Sales") AS DOUBLE) AS s,
   CAST(SUM("Profit") AS DOUBLE) AS p FROM lines GROUP BY ALL)""",
         select="""
-SELECT 'Sub-Category' AS "Level", "Category", "Sub-Category", ROUND(s, 2) AS "Sales",
-  ROUND(p, 2) AS "Profit_Weighted" FROM leaves
+SELECT 'Sub-Category' AS "Level", "Category", "Sub-Category", ROUND(s, 4) AS "Sales",
+  ROUND(p, 4) AS "Profit_Weighted" FROM leaves
 UNION ALL
-SELECT 'Category', "Category", NULL, ROUND(SUM(s), 2), ROUND(SUM(p * s) / SUM(s), 2) FROM leaves GROUP BY "Category" """,
+SELECT 'Category', "Category", NULL, ROUND(SUM(s), 4), ROUND(SUM(p * s) / SUM(s), 4) FROM leaves GROUP BY "Category" """,
     ),
     "top_products_by_name": _top_products(["Product Name", "Category"]),
     "top_products_by_id": _top_products(["Product ID", "Product Name", "Category"]),
@@ -428,8 +427,8 @@ SELECT 'Category', "Category", NULL, ROUND(SUM(s), 2), ROUND(SUM(p * s) / SUM(s)
         select="""
 SELECT "Segment", CAST(SUM(CAST("Order_Sales" AS DECIMAL(28,4))) AS DOUBLE) AS "Total_Sales",
   CAST(COUNT(*) AS BIGINT) AS "Order_Count",
-  ROUND(CAST(SUM(CAST("Order_Sales" AS DECIMAL(28,4))) AS DOUBLE) / COUNT(*), 4) AS "AOV",
-  ROUND(quantile_cont("Order_Sales", 0.5), 4) AS "Median_OV"
+  CAST(SUM(CAST("Order_Sales" AS DECIMAL(28,4))) AS DOUBLE) / COUNT(*) AS "AOV",
+  quantile_cont("Order_Sales", 0.5) AS "Median_OV"
 FROM order_values GROUP BY "Segment" """,
     ),
     "segment_order_box": _with(
@@ -443,7 +442,7 @@ judged AS (SELECT o.*, q1, q2, q3,
   "Order_Sales" BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
   FROM order_values o JOIN quartiles USING ("Segment"))""",
         select="""
-SELECT "Segment", ROUND(q1, 4) AS "Q1", ROUND(q2, 4) AS "Median", ROUND(q3, 4) AS "Q3",
+SELECT "Segment", ROUND(q1, 6) AS "Q1", ROUND(q2, 6) AS "Median", ROUND(q3, 6) AS "Q3",
   MIN("Order_Sales") FILTER (WHERE inside) AS "Whisker_Low",
   MAX("Order_Sales") FILTER (WHERE inside) AS "Whisker_High",
   CAST(COUNT(*) FILTER (WHERE NOT inside) AS BIGINT) AS "Outliers"
@@ -473,7 +472,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS total_rows, CAST(28 AS INTEGER) AS total_colu
   CAST({_NULL_SUM} + 9 * COUNT(*) FILTER (WHERE "Order Date" IS NULL) AS BIGINT) AS missing_values,
   CAST(COUNT(*) - COUNT(DISTINCT ("Order ID", "Product ID")) AS BIGINT) AS duplicate_rows,
   CAST(SUM("Sales") AS DOUBLE) AS total_sales, CAST(SUM("Profit") AS DOUBLE) AS total_profit,
-  ROUND(CAST(SUM("Profit") AS DOUBLE) / CAST(SUM("Sales") AS DOUBLE) * 100, 6) AS overall_profit_margin,
+  CAST(SUM("Profit") AS DOUBLE) / CAST(SUM("Sales") AS DOUBLE) * 100 AS overall_profit_margin,
   CAST(COUNT(DISTINCT "Order ID") AS BIGINT) AS unique_orders,
   CAST(COUNT(DISTINCT "Customer ID") AS BIGINT) AS unique_customers,
   CAST(COUNT(DISTINCT "Product ID") AS BIGINT) AS unique_products,
@@ -518,8 +517,8 @@ dirty AS (
 SELECT CAST("Order ID" AS VARCHAR) AS "Order ID", CAST("Product ID" AS VARCHAR) AS "Product ID",
   "Order Date", "Ship Date", "Ship Mode", s AS "Sales", CAST(q AS INTEGER) AS "Quantity",
   d AS "Discount", p AS "Profit",
-  ROUND(CASE WHEN q > 0 THEN s / q ELSE s END, 6) AS "Unit_Price",
-  ROUND(CASE WHEN s > 0 THEN p / s * 100 ELSE 0.0 END, 6) AS "Profit_Margin"
+  CASE WHEN q > 0 THEN s / q ELSE s END AS "Unit_Price",
+  CASE WHEN s > 0 THEN p / s * 100 ELSE 0.0 END AS "Profit_Margin"
 FROM dirty""",
     ),
     "line_calendar": _with(
@@ -545,8 +544,8 @@ FROM (SELECT * FROM lines ORDER BY "Order Date", "Order ID", "Product ID", "Sale
     "sales_file_summary": _with(
         _LINES,
         select=f"""
-SELECT "Category", ROUND("Sales", 2) AS "Sales", ROUND("Profit", 2) AS "Profit", "Orders",
-  ROUND("Profit" / "Sales" * 100, 2) AS "Profit_Margin"
+SELECT "Category", ROUND("Sales", 4) AS "Sales", ROUND("Profit", 4) AS "Profit", "Orders",
+  ROUND("Profit" / "Sales" * 100, 4) AS "Profit_Margin"
 FROM (SELECT "Category", {_SUMS} FROM lines GROUP BY "Category")""",
     ),
     "lag_features": _with(*_FEATURES, select=f'SELECT "Date", "Sales", {_LAG_NAMES} FROM featured'),
@@ -557,7 +556,7 @@ FROM (SELECT "Category", {_SUMS} FROM lines GROUP BY "Category")""",
         select=f"""
 SELECT "Date", "Sales", {_CALENDAR}, {_CYCLES}, {_LAG_NAMES}, {_ROLLING_ROUNDED},
   ROUND(rolling_mean_7 / (rolling_mean_30 + 1e-5), 6) AS momentum_7_30,
-  ROUND(lag_1 - lag_7, 2) AS sales_diff_1_7
+  ROUND(lag_1 - lag_7, 4) AS sales_diff_1_7
 FROM featured WHERE rn > 30""",
     ),
     "feature_matrix_by_region": _with(
@@ -565,9 +564,11 @@ FROM featured WHERE rn > 30""",
         _filled("day", _SALES, key="Region"),
         _featured("Region"),
         select="""
-SELECT "Region", "Date", "Sales", lag_7, lag_30, ROUND(rolling_mean_7, 2) AS rolling_mean_7,
-  ROUND(rolling_std_30, 2) AS rolling_std_30
-FROM featured WHERE rn > 30""",
+SELECT "Region", "Date", "Sales", lag_7, lag_30, """
+        + _rolling_value("mean", 7)
+        + ", "
+        + _rolling_value("std", 30)
+        + " FROM featured WHERE rn > 30",
     ),
     "chrono_split": _with(
         *_FEATURES,
