@@ -73,7 +73,7 @@ def _tree_scorer(model, spark: SparkSession) -> Scorer:
             "nodeData.leftChild",
             "nodeData.rightChild",
             "nodeData.split.featureIndex",
-            F.element_at("nodeData.split.leftCategoriesOrThreshold", 1).alias("threshold"),
+            F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("threshold"),
         )
         .toPandas()
         .sort_values(["treeID", "id"])

@@ -595,8 +595,7 @@ def ridge_forecast_by_region(spark, root):
 
 
 def _metrics_of(name: str, spark: SparkSession, root: str) -> DataFrame:
-    predictions = trainer(spark, root).predictions
-    return metrics.evaluate(predictions.where(F.col("Model") == name))
+    return metrics.evaluate(trainer(spark, root).predictions_of(name))
 
 
 @query

@@ -46,6 +46,7 @@ class ForecastTrainer:
         self.forecast_ddof = forecast_ddof
         self._daily = daily
         self.spark = daily.sparkSession
+        self._fitted: dict[str, PipelineModel] = {}
         self._refits: dict[str, PipelineModel] = {}
 
     @cached_property
@@ -62,17 +63,29 @@ class ForecastTrainer:
         marked = self.feat_df
         return tuple(marked.where(F.col("split") == side) for side in ("train", "test"))
 
-    @cached_property
+    def fitted(self, *names: str) -> dict[str, PipelineModel]:
+        """The named candidates, fitted on training rows only; new ones are fitted together."""
+        missing = [n for n in names if n not in self._fitted]
+        if missing:
+            train, _ = self.prepare_data()
+            self._fitted.update(models.fit(train, missing, self.spec, self.settings))
+        return {n: self._fitted[n] for n in names}
+
+    @property
     def models(self) -> dict[str, PipelineModel]:
-        """The candidates, fitted on training rows only."""
-        train, _ = self.prepare_data()
-        return models.fit(train, self.candidates, self.spec, self.settings)
+        return self.fitted(*self.candidates)
+
+    def predictions_of(self, *names: str) -> DataFrame:
+        """Test days of the named models; the baseline is one of them."""
+        _, test = self.prepare_data()
+        found = self.fitted(*[n for n in names if n != BASELINE])
+        return models.predict(found, test, self.spec, self.keys, BASELINE in names)
 
     @cached_property
     def predictions(self) -> DataFrame:
-        _, test = self.prepare_data()
-        baseline = "rolling_mean_7" in self.spec.names
-        return settle(models.predict(self.models, test, self.spec, self.keys, baseline))
+        """Test days of all candidates, and of the baseline if its window is among the features."""
+        baseline = [BASELINE] if "rolling_mean_7" in self.spec.names else []
+        return settle(self.predictions_of(*baseline, *self.candidates))
 
     def train_and_evaluate(self) -> DataFrame:
         """The comparison table, best first."""
@@ -82,9 +95,10 @@ class ForecastTrainer:
     def best_model_name(self) -> str:
         return metrics.champion(metrics.evaluate(self.predictions)).first()["Model"]
 
-    def residual_sigma(self) -> DataFrame:
-        """Per model, and per series where there are several."""
-        return metrics.residual_sigma(self.predictions, ["Model", *self.keys])
+    def residual_sigma(self, *names: str) -> DataFrame:
+        """Per model, and per series where there are several; of all models if none is named."""
+        predictions = self.predictions_of(*names) if names else self.predictions
+        return metrics.residual_sigma(predictions, ["Model", *self.keys])
 
     def refit(self, name: str) -> PipelineModel:
         """The named candidate on training and test rows together."""
@@ -106,10 +120,10 @@ class ForecastTrainer:
         path = forecast.recursive_forecast(
             state, self._scorer(name), name, self.spec, self.keys, horizon_days, self.forecast_ddof
         )
-        return forecast.with_bands(path, self.residual_sigma(), self.keys)
+        return forecast.with_bands(path, self.residual_sigma(name), self.keys)
 
     def feature_importance(self, model: str = BOOSTING, top: int = 12) -> DataFrame:
-        return models.feature_importance(self.models[model], self.spec, self.spark, top)
+        return models.feature_importance(self.fitted(model)[model], self.spec, self.spark, top)
 
     def artifact(self) -> ForecastArtifact:
         name = self.best_model_name
