@@ -68,8 +68,8 @@ def quality_report(lines: DataFrame) -> DataFrame:
         F.min(day).alias("_first"),
         F.max(day).alias("_last"),
         missing.cast("bigint").alias("missing_values"),
-        m.total("Sales").alias("total_sales"),
-        m.total("Profit").alias("total_profit"),
+        m.total(lines, "Sales").alias("total_sales"),
+        m.total(lines, "Profit").alias("total_profit"),
     )
     return base.select(
         "total_rows",

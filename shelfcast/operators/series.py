@@ -69,9 +69,9 @@ def _by_period(
 ) -> DataFrame:
     dated = complete_keys(facts.withColumn("Date", label), "Date", *keys)
     columns = [
-        m.total("Sales").alias("Sales"),
-        m.total("Quantity", "bigint").alias("Quantity"),
-        m.total("Profit").alias("Profit"),
+        m.total(facts, "Sales").alias("Sales"),
+        m.total_quantity().alias("Quantity"),
+        m.total(facts, "Profit").alias("Profit"),
         m.distinct_orders(facts).alias("Orders"),
         m.distinct_customers(facts).alias("Customers"),
     ]
@@ -100,7 +100,7 @@ def monthly_series(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def _sums_by(facts: DataFrame, keys: Sequence[str], label: Column, names: Sequence[str]) -> DataFrame:
     dated = complete_keys(facts.withColumn("Date", label), "Date", *keys)
-    return dated.groupBy(*keys, "Date").agg(*[m.total(c).alias(c) for c in names])
+    return dated.groupBy(*keys, "Date").agg(*[m.total(facts, c).alias(c) for c in names])
 
 
 def daily_totals(

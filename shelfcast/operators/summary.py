@@ -19,9 +19,9 @@ def group_summary(facts: DataFrame, key: str) -> DataFrame:
     """Sales, profit, quantity, orders, margin and share of total per key, best first."""
     known = complete_keys(facts, key)
     summary = known.groupBy(key).agg(
-        m.total("Sales").alias("Sales"),
-        m.total("Profit").alias("Profit"),
-        m.total("Quantity", "bigint").alias("Quantity"),
+        m.total(facts, "Sales").alias("Sales"),
+        m.total(facts, "Profit").alias("Profit"),
+        m.total_quantity().alias("Quantity"),
         m.distinct_orders(facts).alias("Orders"),
     )
     everything = F.sum("Sales").over(W.partitionBy())
@@ -37,8 +37,8 @@ def group_margin(facts: DataFrame, key: str) -> DataFrame:
     """Sales, profit, orders and margin per key."""
     known = complete_keys(facts, key)
     summary = known.groupBy(key).agg(
-        m.total("Sales").alias("Sales"),
-        m.total("Profit").alias("Profit"),
+        m.total(facts, "Sales").alias("Sales"),
+        m.total(facts, "Profit").alias("Profit"),
         m.distinct_orders(facts).alias("Orders"),
     )
     return summary.withColumn("Profit_Margin", clean.percent(F.col("Profit"), F.col("Sales")))
@@ -47,7 +47,7 @@ def group_margin(facts: DataFrame, key: str) -> DataFrame:
 def subcategory_summary(facts: DataFrame) -> DataFrame:
     known = complete_keys(facts, "Category", "Sub-Category")
     return known.groupBy("Category", "Sub-Category").agg(
-        m.total("Sales").alias("Sales"), m.total("Profit").alias("Profit")
+        m.total(facts, "Sales").alias("Sales"), m.total(facts, "Profit").alias("Profit")
     )
 
 
@@ -77,9 +77,9 @@ def top_products(
     """The ``n`` best-selling products; ``keys`` decides what counts as one product."""
     known = complete_keys(facts, *keys)
     products = known.groupBy(*keys).agg(
-        m.total("Sales").alias("Sales"),
-        m.total("Profit").alias("Profit"),
-        m.total("Quantity", "bigint").alias("Units_Sold"),
+        m.total(facts, "Sales").alias("Sales"),
+        m.total(facts, "Profit").alias("Profit"),
+        m.total_quantity().alias("Units_Sold"),
     )
     best = products.orderBy(F.desc("Sales"), *keys).limit(n)
     return best.withColumn("Margin_%", clean.percent(F.col("Profit"), F.col("Sales")))
@@ -92,11 +92,11 @@ def order_totals(facts: DataFrame) -> DataFrame:
     Facts with one row per order carry it already.
     """
     known = complete_keys(facts, "Order ID")
-    sums = [m.total("Sales").alias("Order_Sales"), m.total("Quantity", "bigint").alias("Order_Quantity")]
+    sums = [m.total(facts, "Sales").alias("Order_Sales"), m.total_quantity().alias("Order_Quantity")]
     if "Orders" in facts.columns:
         return known.select(
             "Order ID",
-            F.col("Sales").cast("double").alias("Order_Sales"),
+            m.amount(facts, "Sales").alias("Order_Sales"),
             F.col("Quantity").cast("bigint").alias("Order_Quantity"),
             "Segment",
         )
@@ -150,7 +150,7 @@ def weekday_sales(facts: DataFrame) -> DataFrame:
     found = (
         complete_keys(lines, "Order Date")
         .groupBy(calendar.day_name(F.col("Order Date")).alias("Day_Name"))
-        .agg(m.total("Sales").alias("Sales_Sum"), F.sum("Lines").cast("double").alias("_lines"))
+        .agg(m.total(facts, "Sales").alias("Sales_Sum"), F.sum("Lines").cast("double").alias("_lines"))
     )
     spark = facts.sparkSession
     days = spark.createDataFrame(list(enumerate(calendar.WEEKDAY_NAMES)), "Day_Order int, Day_Name string")
@@ -177,8 +177,8 @@ def filter_options(lines: DataFrame, names: Sequence[str] = ("Category", "Region
 def headline(facts: DataFrame) -> DataFrame:
     """Sales, profit, blended margin, orders and sales per order as one row."""
     totals = facts.agg(
-        F.coalesce(m.total("Sales"), F.lit(0.0)).alias("Total_Sales"),
-        F.coalesce(m.total("Profit"), F.lit(0.0)).alias("Total_Profit"),
+        F.coalesce(m.total(facts, "Sales"), F.lit(0.0)).alias("Total_Sales"),
+        F.coalesce(m.total(facts, "Profit"), F.lit(0.0)).alias("Total_Profit"),
         F.coalesce(m.distinct_orders(facts), F.lit(0)).cast("bigint").alias("Total_Orders"),
     )
     sales, orders = F.col("Total_Sales"), F.col("Total_Orders").cast("double")
@@ -193,5 +193,5 @@ def headline(facts: DataFrame) -> DataFrame:
 def best_category(facts: DataFrame) -> DataFrame:
     """The category with the highest sales; the first by name among equals."""
     known = complete_keys(facts, "Category")
-    sums = known.groupBy("Category").agg(m.total("Sales").alias("Sales"))
+    sums = known.groupBy("Category").agg(m.total(facts, "Sales").alias("Sales"))
     return sums.orderBy(F.desc("Sales"), "Category").limit(1)

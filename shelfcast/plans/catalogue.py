@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from shelfcast.functions import calendar
 from shelfcast.operators import features as ft
 from shelfcast.operators import forecast as fc
-from shelfcast.operators import measures, metrics, models, quality, series, stats, summary
+from shelfcast.operators import metrics, models, quality, series, stats, summary
 from shelfcast.operators.features import FeatureSpec
 from shelfcast.operators.filters import Slice
 from shelfcast.plans.trainer import ForecastTrainer
 from shelfcast.session import shared_folder
 from shelfcast.sources import files
-from shelfcast.sources.star import SalesStar
+from shelfcast.sources.star import LINE_MEASURES, SalesStar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,9 +107,8 @@ def monthly_series(spark, root):
 
 @query
 def monthly_series_by_category(spark, root):
-    wanted = ["Order ID", "Customer ID", "Order Date", "Category", "Sales", "Quantity", "Profit"]
-    lines = SalesStar(spark, root).lines(wanted)
-    return series.monthly_series(measures.order_facts(lines, ["Category"]), ["Category"])
+    facts = SalesStar(spark, root).part_order_facts(["Category"])
+    return series.monthly_series(facts, ["Category"])
 
 
 @query
@@ -160,8 +159,8 @@ def last_120_days(spark, root):
 
 @query
 def category_summary(spark, root):
-    lines = SalesStar(spark, root).lines(["Order ID", "Category", "Sales", "Profit", "Quantity"])
-    return rounded(summary.group_summary(lines, "Category"), 6, "Sales_Share")
+    facts = SalesStar(spark, root).part_order_facts(["Category"], ())
+    return rounded(summary.group_summary(facts, "Category"), 6, "Sales_Share")
 
 
 @query
@@ -172,7 +171,7 @@ def region_summary(spark, root):
 
 @query
 def category_summary_filtered(spark, root):
-    lines = SalesStar(spark, root).lines(["Order ID", "Category", "Sales", "Profit"], CHOSEN)
+    lines = SalesStar(spark, root).lines(["Order ID", "Category", *LINE_MEASURES], CHOSEN)
     return summary.group_margin(lines, "Category")
 
 

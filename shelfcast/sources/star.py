@@ -4,11 +4,11 @@ A sales line is a line item with what its order, part and customer add. Keys of
 dimension tables are unique, and every lookup is a left join, so a query joins only the
 tables whose columns it asks for and gets the same rows either way.
 
-``lines`` gives that flat table. The two ``*_facts`` tables give the same measures
+``lines`` gives that flat table. The ``*_facts`` tables give the same measures
 summed to a coarser grain *before* the lookup join: line items are summed by the join
 key with a map-side combine, so a key that holds a large part of all lines reaches the
-join as a few rows. Sales and profit are exact decimals there, which makes sums
-independent of the order in which partitions arrive.
+join as a few rows. Money is exact: a decimal in flat lines, a pair of whole numbers in
+facts, so sums do not depend on the order in which partitions arrive.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.operators.filters import ALL, Slice, apply_slice
-from shelfcast.operators.measures import sum_measures
+from shelfcast.operators.measures import MONEY_UNITS, money_parts, sum_measures
 from shelfcast.sources.columns import SALES_COLUMNS
 
 MONEY = "decimal(18,4)"
@@ -28,15 +28,20 @@ RATE = "decimal(9,4)"
 
 def _item_expressions() -> dict[str, Column]:
     price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    sales = price * (1 - discount)
+    # Stand-in for the missing profit column: discounts above 8 % lose money.
+    profit = price * (0.08 - discount)
     return {
         "Order ID": F.col("l_orderkey"),
         "Product ID": F.col("l_partkey"),
         "Ship Date": F.col("l_shipdate").cast("date"),
         "Quantity": F.col("l_quantity").cast("int"),
         "Discount": discount.cast(RATE),
-        "Sales": (price * (1 - discount)).cast(MONEY),
-        # Stand-in for the missing profit column: discounts above 8 % lose money.
-        "Profit": (price * (0.08 - discount)).cast(MONEY),
+        "Sales": sales.cast(MONEY),
+        "Profit": profit.cast(MONEY),
+        **money_parts("Sales", sales),
+        **money_parts("Profit", profit),
+        "Discount_Sum": F.rint(discount * MONEY_UNITS).cast("bigint"),
     }
 
 
@@ -57,7 +62,7 @@ def _part_expressions() -> dict[str, Column]:
 
 
 CUSTOMER_COLUMNS = ("Segment", "City", "State", "Region")
-LINE_MEASURES = ("Sales", "Quantity", "Profit", "Discount")
+LINE_MEASURES = ("Sales_Hi", "Sales_Lo", "Profit_Hi", "Profit_Lo", "Quantity", "Discount_Sum")
 
 
 class SalesStar:
@@ -160,6 +165,19 @@ class SalesStar:
         facts = per_order.join(self._orders(wanted, chosen), "Order ID", how)
         return apply_slice(facts, Slice(regions=chosen.regions, segments=chosen.segments))
 
+    def part_order_facts(
+        self, attributes: Sequence[str], order_columns: Sequence[str] = ("Customer ID", "Order Date")
+    ) -> DataFrame:
+        """One row per order and combination of part columns; each row counts as one order.
+
+        That count is right for groups that keep all of ``attributes``. Orders come in
+        only if a column of theirs is asked for.
+        """
+        items = self._items(["Order ID", "Product ID", *LINE_MEASURES])
+        known = items.join(self._parts(attributes), "Product ID", "left")
+        facts = sum_measures(known, ["Order ID", *attributes]).withColumn("Orders", F.lit(1).cast("bigint"))
+        return facts.join(self._orders(order_columns), "Order ID", "left") if order_columns else facts
+
     def customer_facts(
         self, attributes: Sequence[str], period=None, chosen: Slice = ALL
     ) -> DataFrame:
