@@ -14,7 +14,8 @@ MISSING_TOKENS = [
     "n/a", "nan", "null",
 ]
 
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "M-d-yyyy", "yyyy-MM-dd HH:mm:ss")
+# Beside ISO dates, with or without a time of day, which need no pattern.
+DATE_FORMATS = ("M/d/yyyy", "yyyy/MM/dd", "M-d-yyyy")
 
 
 def text_or_null(text: Column) -> Column:
@@ -28,7 +29,7 @@ def number_or(text: Column, default: float) -> Column:
     The JVM also reads the literals ``1.5d`` and ``1.5f``; those are no numbers here.
     """
     trimmed = F.trim(text.cast("string"))
-    literal = F.lower(F.right(trimmed, F.lit(1))).isin("d", "f") & ~F.lower(trimmed).endswith("inf")
+    literal = F.right(trimmed, F.lit(1)).isin("d", "D", "f", "F") & ~F.lower(trimmed).endswith("inf")
     value = F.when(~literal, trimmed.try_cast("double"))
     return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(float(default)))
 
@@ -41,12 +42,13 @@ def whole_number_or(text: Column, default: int) -> Column:
 def parse_date(
     text: Column, name: str, required: bool, formats: Sequence[str] = DATE_FORMATS
 ) -> Column:
-    """Text to date by the first format that fits.
+    """Text to date: ISO, else by the first format that fits.
 
     A value that fits none fails the job, and so does a blank one if ``required``.
     """
     value = text_or_null(F.trim(text))
-    parsed = F.coalesce(*[F.to_date(F.try_to_timestamp(value, F.lit(f))) for f in formats])
+    patterns = [F.to_date(F.try_to_timestamp(value, F.lit(f))) for f in formats]
+    parsed = F.coalesce(value.try_cast("date"), *patterns)
     bad = value.isNotNull() & parsed.isNull()
     if required:
         bad = bad | value.isNull()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -149,6 +150,29 @@ def split_frames(
     return tuple(marked.where(F.col("split") == side).drop("split") for side in ("train", "test"))
 
 
+class SplitParts(NamedTuple):
+    """Inputs, targets and dates of both sides; each table carries keys and date to join on."""
+
+    x_train: DataFrame
+    x_test: DataFrame
+    y_train: DataFrame
+    y_test: DataFrame
+    dates_train: DataFrame
+    dates_test: DataFrame
+
+
+def split_parts(
+    features: DataFrame,
+    spec: FeatureSpec = FeatureSpec(),
+    test_size: int = TEST_DAYS,
+    keys: Sequence[str] = (),
+) -> SplitParts:
+    place = [*keys, spec.date]
+    sides = split_frames(features, test_size, keys, spec.date)
+    wanted = [[*place, *spec.names], [*place, spec.target], place]
+    return SplitParts(*[side.select(*columns) for columns in wanted for side in sides])
+
+
 def buffer_features(
     spec: FeatureSpec, buffer: np.ndarray, known: np.ndarray, day: np.ndarray, ddof: int = 0
 ) -> np.ndarray:

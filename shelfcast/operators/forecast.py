@@ -7,7 +7,6 @@ forecast is one job whatever the horizon.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from typing import Any
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions.calendar import calendar_features
 from shelfcast.functions.clean import not_negative
 from shelfcast.operators.features import FeatureSpec, buffer_features, isolate_target
-from shelfcast.session import shared_folder
+from shelfcast.session import scratch_path
 
 HORIZON = 90
 
@@ -62,7 +61,7 @@ def _tree_scorer(model, spark: SparkSession) -> Scorer:
 
     Their number is bounded by the number of trees and their depth, not by the data.
     """
-    path = f"{shared_folder(spark)}/ensemble-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ensemble")
     model.write().overwrite().save(path)
     nodes = (
         spark.read.parquet(f"{path}/data")

@@ -25,9 +25,13 @@ FOREST = "Random Forest"
 BOOSTING = "Gradient Boosting"
 FITTED = (RIDGE, FOREST, BOOSTING)
 
-# Rows per training partition. A series of a few years trains in one partition; the
-# pooled table of many series keeps as many as it needs.
+# A series of a few years trains in a few partitions, the pooled table of many series in as
+# many as its rows need.
 ROWS_PER_PARTITION = 50_000
+FEWEST_PARTITIONS = 4
+
+# Memory for split statistics per task of a small fit; large ones use Spark's default.
+SMALL_FIT_MB, LARGE_FIT_MB = 64, 256
 
 
 @dataclass(frozen=True)
@@ -51,7 +55,11 @@ class TrainingSize:
 
     @property
     def partitions(self) -> int:
-        return max(1, -(-self.rows // ROWS_PER_PARTITION))
+        return max(FEWEST_PARTITIONS, -(-self.rows // ROWS_PER_PARTITION))
+
+    @property
+    def statistics_mb(self) -> int:
+        return SMALL_FIT_MB if self.partitions == FEWEST_PARTITIONS else LARGE_FIT_MB
 
 
 def training_size(train: DataFrame, target: str) -> TrainingSize:
@@ -75,6 +83,7 @@ def estimator(name: str, spec: FeatureSpec, size: TrainingSize, settings: ModelS
             maxDepth=settings.forest_depth,
             minInstancesPerNode=settings.forest_leaf,
             featureSubsetStrategy="all",
+            maxMemoryInMB=size.statistics_mb,
             seed=settings.seed,
             **common,
         )
@@ -85,6 +94,7 @@ def estimator(name: str, spec: FeatureSpec, size: TrainingSize, settings: ModelS
             stepSize=settings.boosting_rate,
             subsamplingRate=settings.boosting_rows,
             featureSubsetStrategy=str(settings.boosting_columns),
+            maxMemoryInMB=size.statistics_mb,
             seed=settings.seed,
             **common,
         )
@@ -98,15 +108,22 @@ def fit(
     names: Sequence[str] = FITTED,
     spec: FeatureSpec = FeatureSpec(),
     settings: ModelSettings = ModelSettings(),
+    keys: Sequence[str] = (),
 ) -> dict[str, PipelineModel]:
-    """Fit the named candidates on one settled training table."""
+    """Fit the named candidates on one settled training table.
+
+    Rows get a fixed place by key and date, so a seed gives the same trees on any cluster.
+    """
     size = training_size(train, spec.target)
     if size.rows == 0:
         raise ValueError("no training rows: the series is shorter than its longest lag or window")
-    rows = train.select(spec.target, *spec.names)
-    if size.partitions < rows.rdd.getNumPartitions():
-        rows = rows.coalesce(size.partitions)
-    rows = rows.persist()
+    place = [*keys, spec.date]
+    rows = (
+        train.select(*place, spec.target, *spec.names)
+        .repartition(size.partitions, *place)
+        .sortWithinPartitions(*place)
+        .persist()
+    )
     # Each fit is a chain of short jobs; side by side they keep the executors busy.
     pool = ThreadPool(max(1, len(names)))
     try:

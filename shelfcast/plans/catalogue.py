@@ -7,7 +7,6 @@ deviations) are rounded here, not in the operators.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from shelfcast.operators import metrics, models, quality, series, stats, summary
 from shelfcast.operators.features import FeatureSpec
 from shelfcast.operators.filters import Slice
 from shelfcast.plans.trainer import ForecastTrainer
-from shelfcast.session import shared_folder
+from shelfcast.session import scratch_path
 from shelfcast.sources import files
 from shelfcast.sources.star import LINE_MEASURES, SalesStar
 
@@ -350,7 +349,7 @@ def table_shape(spark, root):
 @query
 def sales_file_summary(spark, root):
     """Write the lines as a Latin-1 text file, read that back, and summarise it."""
-    path = _scratch(spark, "sales")
+    path = scratch_path(spark, "sales")
     wanted = ["Order ID", "Order Date", "Ship Date", "Category", "Sales", "Quantity", "Discount", "Profit"]
     lines = SalesStar(spark, root).lines(wanted)
     text = lines.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in wanted])
@@ -359,10 +358,6 @@ def sales_file_summary(spark, root):
     return rounded(found, 4, "Sales", "Profit", "Profit_Margin")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- features --------------------------------------------------------------------------
 
 
@@ -553,7 +548,7 @@ def history_plus_forecast(spark, root):
 @query
 def forecast_file(spark, root):
     """Write the forecast as a result file and read it back."""
-    path = _scratch(spark, "forecast")
+    path = scratch_path(spark, "forecast")
     files.write_table(_baseline_bands(spark, root).select("Date", *fc.BAND_COLUMNS).orderBy("Date"), path)
     return files.read_forecast(spark, path)
 
@@ -561,7 +556,7 @@ def forecast_file(spark, root):
 @query
 def metrics_file(spark, root):
     """Write the metrics as a result file and read them back."""
-    path = _scratch(spark, "metrics")
+    path = scratch_path(spark, "metrics")
     files.write_table(baseline_metrics(spark, root), path)
     return files.read_metrics(spark, path)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -68,7 +68,7 @@ class ForecastTrainer:
         missing = [n for n in names if n not in self._fitted]
         if missing:
             train, _ = self.prepare_data()
-            self._fitted.update(models.fit(train, missing, self.spec, self.settings))
+            self._fitted.update(models.fit(train, missing, self.spec, self.settings, self.keys))
         return {n: self._fitted[n] for n in names}
 
     @property
@@ -103,7 +103,7 @@ class ForecastTrainer:
     def refit(self, name: str) -> PipelineModel:
         """The named candidate on training and test rows together."""
         if name not in self._refits:
-            self._refits.update(models.fit(self.feat_df, [name], self.spec, self.settings))
+            self._refits.update(models.fit(self.feat_df, [name], self.spec, self.settings, self.keys))
         return self._refits[name]
 
     def _scorer(self, name: str) -> forecast.Scorer:
@@ -122,6 +122,13 @@ class ForecastTrainer:
         )
         return forecast.with_bands(path, self.residual_sigma(name), self.keys)
 
+    def forecast_all_models(self, horizon_days: int = forecast.HORIZON) -> DataFrame:
+        """The forecast of the baseline and of every candidate; pick one by ``Model``."""
+        self._refits.update(models.fit(self.feat_df, self.candidates, self.spec, self.settings, self.keys))
+        names = [BASELINE, *self.candidates] if "rolling_mean_7" in self.spec.names else self.candidates
+        parts = [self.generate_recursive_forecast(horizon_days, name) for name in names]
+        return reduce(DataFrame.unionByName, parts)
+
     def feature_importance(self, model: str = BOOSTING, top: int = 12) -> DataFrame:
         return models.feature_importance(self.fitted(model)[model], self.spec, self.spark, top)
 

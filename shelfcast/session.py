@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +47,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Run the plan once and read its result from the shared folder from here on.
+    """Write the result of a plan to the shared folder once and read it from there on.
 
     Used where a small result of a long plan (a daily series) is read many times, as
-    model fitting does; the files outlive any executor.
+    model fitting does. The table outlives any executor, and readers still prune columns
+    and push filters.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,14 +16,14 @@ from shelfcast.sources.columns import FORECAST_SCHEMA, METRICS_SCHEMA
 def read_raw_sales(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """The sales file with every column as text, under the names of its header.
 
-    Header names decide, not positions, so column pruning stays possible and files with
-    more columns than the queries use are fine.
+    Files with more columns than the queries use are fine; those columns are not parsed.
+    All files of a folder must have the same header.
     """
     return (
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("enforceSchema", False)
         .csv(path)
     )
 
@@ -68,10 +68,9 @@ def read_sales(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
 def write_sales_table(lines: DataFrame, path: str) -> None:
     """Keep clean lines as Parquet, one folder per year, so date filters prune folders.
 
-    Rows go to files by year and a hash of the order, so a year of any size is spread.
+    Rows are brought together by year, and a large year is split into files of even size.
     """
-    spread = lines.repartition(F.col("Year"), F.pmod(F.xxhash64("Order ID", "Product ID"), F.lit(64)))
-    spread.write.mode("overwrite").partitionBy("Year").parquet(path)
+    lines.hint("rebalance", "Year").write.mode("overwrite").partitionBy("Year").parquet(path)
 
 
 def read_sales_table(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import FEATURE_NAMES, calendar_features
 from shelfcast.operators.features import (
-    FeatureSpec, buffer_features, build_features, chronological_split, split_frames,
+    FeatureSpec, buffer_features, build_features, chronological_split, split_frames, split_parts,
 )
 
 from helpers import daily, day
@@ -114,3 +114,10 @@ def test_short_buffers_fall_back():
     assert by_name["lag_1"] == [8.0, 5.0] and by_name["lag_2"] == [4.0, 5.0] and by_name["lag_30"] == [6.0, 5.0]
     assert by_name["rolling_mean_7"] == [6.0, 5.0] and by_name["rolling_std_7"] == [2.0, 0.0]
     assert by_name["rolling_min_30"] == [4.0, 5.0] and by_name["rolling_max_14"] == [8.0, 5.0]
+
+
+def test_split_parts(spark):
+    parts = split_parts(build_features(daily(spark, range(60)), SPEC), SPEC, 10)
+    assert [p.count() for p in parts] == [20, 10, 20, 10, 20, 10]
+    assert parts.x_test.columns == ["Date", *SPEC.names] and parts.y_test.columns == ["Date", "Sales"]
+    assert parts.dates_test.columns == ["Date"]

@@ -107,7 +107,17 @@ def test_forecast_deviation_form_is_a_choice(spark):
     assert [r["Forecast_Sales"] for r in one] != [r["Forecast_Sales"] for r in two]
 
 
+def test_every_model_has_its_own_forecast(trained):
+    ahead = trained.forecast_all_models(12)
+    assert ahead.groupBy("Model").count().where("count = 12").count() == 4
+    own = trained.generate_recursive_forecast(12)
+    mine = ahead.where(F.col("Model") == trained.best_model_name)
+    assert mine.orderBy("Step").collect() == own.orderBy("Step").collect()
+
+
 def test_shared_folder_follows_the_session(spark):
-    assert session.shared_folder(spark) == spark.sparkContext.getCheckpointDir()
-    settled = session.settle(spark.range(5))
-    assert settled.count() == 5 and "Scan ExistingRDD" in settled._jdf.queryExecution().executedPlan().toString()
+    folder = session.shared_folder(spark)
+    assert folder == spark.sparkContext.getCheckpointDir()
+    settled = session.settle(spark.range(5).withColumnRenamed("id", "a b"))
+    assert settled.count() == 5 and all(folder.rsplit("/", 1)[-1] in f for f in settled.inputFiles())
+    assert session.settle(spark.range(0)).count() == 0
