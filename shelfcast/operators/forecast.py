@@ -138,25 +138,49 @@ def future_calendar(last: Column, horizon: int) -> Column:
     )
 
 
-def walk(
-    scorer: Scorer, spec: FeatureSpec, histories: Sequence, calendars: Sequence, horizon: int, ddof: int = 0
-) -> np.ndarray:
-    """Predictions of a batch of series, one row each, one column per step."""
-    width = spec.memory
+def _buffers(histories: Sequence, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Histories aligned at their newest value, and how much of each row is known."""
     buffer = np.zeros((len(histories), width))
     known = np.array([min(len(h), width) for h in histories])
     for row, history in enumerate(histories):
         buffer[row, width - known[row] :] = history[-known[row] :]
+    return buffer, known
+
+
+def walk(
+    scorer: Scorer, spec: FeatureSpec, histories: Sequence, calendars: Sequence, horizon: int, ddof: int = 0
+) -> np.ndarray:
+    """Predictions of a batch of series, one row each, one column per step."""
+    buffer, known = _buffers(histories, spec.memory)
     days = np.stack([np.asarray(c) for c in calendars]).reshape(len(histories), horizon, -1)
     result = np.empty((len(histories), horizon))
     for step in range(horizon):
         features = buffer_features(spec, buffer, known, days[:, step, :], ddof)
         result[:, step] = np.maximum(score(scorer, features), 0.0)
         buffer = np.column_stack([buffer[:, 1:], result[:, step]])
-        known = np.minimum(known + 1, width)
+        known = np.minimum(known + 1, spec.memory)
     return result
 
 
+def next_day_features(
+    state: DataFrame, spec: FeatureSpec = FeatureSpec(), keys: Sequence[str] = (), ddof: int = 0
+) -> DataFrame:
+    """What a model sees for the first future day of each series."""
+
+    @F.pandas_udf("array<double>")
+    def values(histories: pd.Series, calendars: pd.Series) -> pd.Series:
+        buffer, known = _buffers(histories, spec.memory)
+        days = np.stack([np.asarray(c) for c in calendars])
+        return pd.Series(list(buffer_features(spec, buffer, known, days, ddof)))
+
+    seen = state.withColumn("_values", values("History", future_calendar(F.col("Last_Date"), 1)))
+    return seen.select(
+        *keys,
+        F.date_add("Last_Date", 1).alias(spec.date),
+        *[F.col("_values")[i].alias(name) for i, name in enumerate(spec.names)],
+    )
+
+
 def recursive_forecast(
     state: DataFrame,
     scorer: Scorer,

@@ -21,6 +21,7 @@ from shelfcast.operators.filters import Slice
 from shelfcast.plans.trainer import ForecastTrainer
 from shelfcast.session import scratch_path
 from shelfcast.sources import files
+from shelfcast.sources.artifacts import load_artifact, save_artifact
 from shelfcast.sources.star import LINE_MEASURES, SalesStar
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -415,6 +416,18 @@ def chrono_split(spark, root):
     return ft.chronological_split(_matrix(spark, root), 90).select("Date", "Sales", "split")
 
 
+@query
+def split_dates(spark, root):
+    """First day, last day and size of both sides of the split."""
+    parts = ft.split_parts(_matrix(spark, root), SPEC, 90)
+    sides = parts.y_train.withColumn("split", F.lit("train")).unionByName(
+        parts.y_test.withColumn("split", F.lit("test"))
+    )
+    return sides.groupBy("split").agg(
+        F.min("Date").alias("First_Date"), F.max("Date").alias("Last_Date"), F.count("Sales").alias("Rows")
+    )
+
+
 # ---- baseline and metrics --------------------------------------------------------------
 
 
@@ -508,6 +521,13 @@ def future_calendar(spark, root):
     return rounded(ahead.withColumns(calendar.calendar_features(F.col("Date"))), 9, *CYCLES)
 
 
+@query
+def next_day_features_by_region(spark, root):
+    daily = series.daily_totals(SalesStar(spark, root).customer_facts(["Region"], same_day), ["Region"])
+    seen = fc.next_day_features(fc.series_state(daily, SPEC, ["Region"]), SPEC, ["Region"])
+    return _rounded_rolling(seen.select("Region", "Date", *LAGS, *ROLLING))
+
+
 @query
 def recursive_forecast_baseline(spark, root):
     return rounded(_baseline_forecast(spark, root), 2, "Predicted")
@@ -588,6 +608,17 @@ def ridge_forecast_by_region(spark, root):
     return pooled.generate_recursive_forecast(fc.HORIZON, models.RIDGE)
 
 
+@query
+def saved_model_metrics(spark, root):
+    """Train ridge, save everything, load it back, and score the loaded model."""
+    alone = ForecastTrainer(_daily_sales(spark, root), candidates=[models.RIDGE])
+    path = scratch_path(spark, "artifact")
+    save_artifact(spark, alone.artifact(), path)
+    loaded = load_artifact(spark, path)
+    _, test = alone.prepare_data()
+    return metrics.evaluate(models.predict(loaded.models, test, SPEC))
+
+
 def _metrics_of(name: str, spark: SparkSession, root: str) -> DataFrame:
     return metrics.evaluate(trainer(spark, root).predictions_of(name))
 

@@ -575,6 +575,17 @@ SELECT "Region", "Date", "Sales", lag_7, lag_30, """
         select="""
 SELECT "Date", "Sales", CASE WHEN ROW_NUMBER() OVER (ORDER BY "Date" DESC) <= 90 THEN 'test' ELSE 'train' END AS split
 FROM featured WHERE rn > 30""",
+    ),
+    "split_dates": _with(
+        *_FEATURES,
+        """
+sides AS (
+  SELECT "Date", CASE WHEN ROW_NUMBER() OVER (ORDER BY "Date" DESC) <= 90 THEN 'test' ELSE 'train' END AS split
+  FROM featured WHERE rn > 30
+)""",
+        select="""
+SELECT split, MIN("Date") AS "First_Date", MAX("Date") AS "Last_Date", CAST(COUNT(*) AS BIGINT) AS "Rows"
+FROM sides GROUP BY split""",
     ),
     "baseline_metrics": _with(*_FEATURES, _TEST, select=_BASELINE_METRICS),
     "baseline_metrics_4": _with(*_FEATURES, _TEST, select=_metric_select(_BASELINE, "rolling_mean_7", False)),
@@ -601,6 +612,29 @@ ahead AS (
 )""",
         select=f'SELECT "Date", {_CALENDAR}, {_CYCLES} FROM ahead',
     ),
+    "next_day_features_by_region": _with(
+        _LINES,
+        _filled("day", _SALES, key="Region"),
+        """
+aged AS (
+  SELECT "Region", "Date", "Sales", ROW_NUMBER() OVER (PARTITION BY "Region" ORDER BY "Date" DESC) AS age FROM filled
+)""",
+        select='SELECT "Region", CAST(MAX("Date") + 1 AS DATE) AS "Date", '
+        + ", ".join(f'MAX("Sales") FILTER (WHERE age = {k}) AS lag_{k}' for k in _LAG_DAYS)
+        + ", "
+        + ", ".join(
+            {
+                "mean": f'ROUND(AVG("Sales") FILTER (WHERE age <= {d}) + 1e-6, 2)',
+                "std": f'ROUND(STDDEV_POP("Sales") FILTER (WHERE age <= {d}), 2)',
+                "min": f'MIN("Sales") FILTER (WHERE age <= {d})',
+                "max": f'MAX("Sales") FILTER (WHERE age <= {d})',
+            }[n]
+            + f" AS rolling_{n}_{d}"
+            for d in _WINDOW_DAYS
+            for n in ("mean", "std", "min", "max")
+        )
+        + ' FROM aged GROUP BY "Region"',
+    ),
     "recursive_forecast_baseline": _with(
         _LINES, _filled("day", _SALES), _walk(), select=_AHEAD, recursive=True
     ),

@@ -18,13 +18,38 @@ SETTINGS = {
 }
 
 
+# Shuffled bytes one task should handle.
+BYTES_PER_SHUFFLE_TASK = 128 << 20
+MOST_SHUFFLE_TASKS = 20_000
+
+
+def size_settings(input_bytes: int) -> dict[str, str]:
+    """Settings for an input of this size.
+
+    Adaptive execution merges shuffle partitions that turn out small but cannot add any, so
+    it starts from as many as the whole input would need. Sums before the first shuffle leave
+    a small part of a very large input, hence the upper limit.
+    """
+    wanted = -(-input_bytes // BYTES_PER_SHUFFLE_TASK)
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(min(max(wanted, 200), MOST_SHUFFLE_TASKS)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(BYTES_PER_SHUFFLE_TASK),
+        "spark.sql.files.maxPartitionBytes": str(4 * BYTES_PER_SHUFFLE_TASK),
+    }
+
+
 def build_session(
-    app_name: str = "shelfcast", master: str | None = None, extra: dict[str, str] | None = None
+    app_name: str = "shelfcast",
+    master: str | None = None,
+    extra: dict[str, str] | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
+    """A session with the settings above; on a cluster give the size of the input as well."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **(extra or {})}.items():
+    sized = size_settings(input_bytes) if input_bytes else {}
+    for key, value in {**SETTINGS, **sized, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -108,13 +108,13 @@ class SalesStar:
         known = _order_expressions()
         orders = self.table("orders")
         if chosen.has_dates:
-            after = dt.datetime.combine(chosen.end + dt.timedelta(days=1), dt.time())
-            first = dt.datetime.combine(chosen.start, dt.time())
+            # On the stored type, so the range is pushed down; a cast to date would not be.
             as_stored = dict(orders.dtypes)["o_orderdate"]
-            orders = orders.where(
-                (F.col("o_orderdate") >= F.lit(first).cast(as_stored))
-                & (F.col("o_orderdate") < F.lit(after).cast(as_stored))
+            first, after = (
+                F.lit(day.isoformat()).cast(as_stored)
+                for day in (chosen.start, chosen.end + dt.timedelta(days=1))
             )
+            orders = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < after))
         of_customer = wanted & set(CUSTOMER_COLUMNS)
         if of_customer:
             wanted.add("Customer ID")

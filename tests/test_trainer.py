@@ -121,3 +121,10 @@ def test_shared_folder_follows_the_session(spark):
     settled = session.settle(spark.range(5).withColumnRenamed("id", "a b"))
     assert settled.count() == 5 and all(folder.rsplit("/", 1)[-1] in f for f in settled.inputFiles())
     assert session.settle(spark.range(0)).count() == 0
+
+
+def test_settings_follow_the_input():
+    parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert session.size_settings(1)[parts] == "200"
+    assert session.size_settings(1 << 40)[parts] == str((1 << 40) // (128 << 20))
+    assert session.size_settings(100 << 50)[parts] == "20000"
