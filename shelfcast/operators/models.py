@@ -57,9 +57,13 @@ class TrainingSize:
     def partitions(self) -> int:
         return max(FEWEST_PARTITIONS, -(-self.rows // ROWS_PER_PARTITION))
 
+    @property
+    def is_small(self) -> bool:
+        return self.partitions == FEWEST_PARTITIONS
+
     @property
     def statistics_mb(self) -> int:
-        return SMALL_FIT_MB if self.partitions == FEWEST_PARTITIONS else LARGE_FIT_MB
+        return SMALL_FIT_MB if self.is_small else LARGE_FIT_MB
 
 
 def training_size(train: DataFrame, target: str) -> TrainingSize:
@@ -128,7 +132,7 @@ def fit(
     pool = ThreadPool(max(1, len(names)))
     try:
         train_one = inheritable_thread_target(train.sparkSession)(
-            lambda name: estimator(name, spec, size, settings).fit(rows)
+            lambda name: estimator(name, spec, size, settings).fit(_placed_for(name, rows, size))
         )
         return dict(zip(names, pool.map(train_one, names)))
     finally:
@@ -136,6 +140,12 @@ def fit(
         rows.unpersist()
 
 
+def _placed_for(name: str, rows: DataFrame, size: TrainingSize) -> DataFrame:
+    """Boosting is hundreds of dependent jobs; on a small table their overhead is all that
+    counts, and one partition has the least of it."""
+    return rows.coalesce(1) if name == BOOSTING and size.is_small else rows
+
+
 def baseline_predictions(
     test: DataFrame, spec: FeatureSpec = FeatureSpec(), keys: Sequence[str] = ()
 ) -> DataFrame:
