@@ -15,7 +15,7 @@ MISSING_TOKENS = [
 ]
 
 # Beside ISO dates, with or without a time of day, which need no pattern.
-DATE_FORMATS = ("M/d/yyyy", "yyyy/MM/dd", "M-d-yyyy")
+DATE_FORMATS = ("M/d/yyyy", "yyyy/MM/dd", "M-d-yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
 
 
 def text_or_null(text: Column) -> Column:

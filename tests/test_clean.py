@@ -53,9 +53,9 @@ def test_quantities_are_cut(spark):
 
 
 def test_dates(spark):
-    frame = spark.createDataFrame([("2017-12-31",), ("1/2/2018",), ("2016-02-29 10:11:12",), (" ",)], "t string")
+    frame = spark.createDataFrame([("2017-12-31",), ("1/2/2018",), ("2016-02-29 10:11:12",), ("2/28/2016 9:05",), (" ",)], "t string")
     got = [r[0] for r in frame.select(clean.parse_date(F.col("t"), "Ship Date", False)).collect()]
-    assert got == [day("2017-12-31"), day("2018-01-02"), day("2016-02-29"), None]
+    assert got == [day("2017-12-31"), day("2018-01-02"), day("2016-02-29"), day("2016-02-28"), None]
 
 
 @pytest.mark.parametrize("text,required", [("31/31/2017", False), ("", True), (None, True)])

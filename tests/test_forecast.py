@@ -2,10 +2,8 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from shelfcast.functions.calendar import calendar_features
 from shelfcast.operators import forecast as fc
 from shelfcast.operators import metrics, models
 from shelfcast.operators.features import FeatureSpec, build_features
@@ -67,35 +65,22 @@ def test_scorer_equals_transform(spark, matrix, fitted, name):
 
 
 def step_by_step(spark, series, model, horizon):
-    """Forecast one day at a time: whole history, one row of features, one transform."""
-    history = series.orderBy("Date").toPandas()["Sales"].tolist()
-    last = series.agg(F.max("Date")).first()[0]
-    result = []
-    for step in range(1, horizon + 1):
-        d = last + dt.timedelta(days=step)
-        row = {f"lag_{k}": history[-k] for k in SPEC.lags}
-        for w in SPEC.windows:
-            newest = np.array(history[-w:])
-            row |= {
-                f"rolling_mean_{w}": newest.mean(), f"rolling_std_{w}": newest.std(),
-                f"rolling_min_{w}": newest.min(), f"rolling_max_{w}": newest.max(),
-            }
-        row["momentum_7_30"] = row["rolling_mean_7"] / (row["rolling_mean_30"] + 1e-5)
-        row["sales_diff_1_7"] = row["lag_1"] - row["lag_7"]
-        frame = spark.createDataFrame([(d,)], "Date date").withColumns(calendar_features(F.col("Date")))
-        frame = frame.withColumns({n: F.lit(float(v)) for n, v in row.items()})
-        value = max(0.0, model.transform(frame).first()["prediction"])
-        result.append((d, value))
-        history.append(value)
-    return result
+    """Append one predicted day at a time and rebuild the window features of the whole series."""
+    days = [tuple(r) for r in series.orderBy("Date").collect()]
+    for _ in range(horizon):
+        tomorrow = days[-1][0] + dt.timedelta(days=1)
+        longer = spark.createDataFrame([*days, (tomorrow, 0.0)], "Date date, Sales double")
+        seen = build_features(longer, SPEC).where(F.col("Date") == F.lit(tomorrow))
+        days.append((tomorrow, max(0.0, model.transform(seen).first()["prediction"])))
+    return days[-horizon:]
 
 
 @pytest.mark.parametrize("name", [models.RIDGE, models.BOOSTING])
 def test_one_job_equals_step_by_step(spark, series, fitted, name):
     state = fc.series_state(series, SPEC)
-    got = fc.recursive_forecast(state, fc.scorer_of(fitted[name], spark), name, SPEC, horizon=9)
+    got = fc.recursive_forecast(state, fc.scorer_of(fitted[name], spark), name, SPEC, horizon=6, ddof=1)
     got = [(r["Date"], r["Predicted"]) for r in got.orderBy("Step").collect()]
-    expected = step_by_step(spark, series, fitted[name], 9)
+    expected = step_by_step(spark, series, fitted[name], 6)
     assert [d for d, _ in got] == [d for d, _ in expected]
     np.testing.assert_allclose([v for _, v in got], [v for _, v in expected], rtol=1e-9)
 
