@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from shelfcast.plans.oracle import ORACLE
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 TYPES = {
@@ -23,7 +24,7 @@ def canonical(rows):
     return sorted(tuple(repr(v + 0.0) if isinstance(v, float) else repr(v) for v in row) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, root, db, name):
     frame = entry.queries()[name](spark, root)
     columns = sorted(frame.columns)
