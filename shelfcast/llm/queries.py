@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontaminate, suffix_tree
+from shelfcast.llm import decontaminate, deep_shallow, suffix_tree
 from shelfcast.llm.tables import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -62,3 +62,9 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+
+@query
+def op7_suffix_array_dedup(spark, root):
+    kept = deep_shallow.drop_repeated_bytes(table(spark, root, "documents"), ["doc_id"], with_kept=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
