@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontaminate, deep_shallow, suffix_tree
+from shelfcast.llm import dart_minhash, decontaminate, deep_shallow, suffix_tree
 from shelfcast.llm.tables import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -68,3 +68,26 @@ FROM d LEFT JOIN kept USING (r)
 def op7_suffix_array_dedup(spark, root):
     kept = deep_shallow.drop_repeated_bytes(table(spark, root, "documents"), ["doc_id"], with_kept=False)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op10_near_dedup(spark, root):
+    return dart_minhash.near_duplicates(table(spark, root, "documents")).select("doc_id", "class_id", "class_size")
+
+
+ORACLE["op10_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+ws AS MATERIALIZED (SELECT r, s, count(*) AS n FROM sh GROUP BY r, s),
+tot AS (SELECT r, sum(n) AS n FROM ws GROUP BY r),
+shared AS (SELECT x.r AS a, y.r AS b, sum(least(x.n, y.n)) AS n FROM ws x JOIN ws y ON x.s = y.s AND x.r < y.r GROUP BY 1, 2),
+link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN tot ta ON ta.r = a JOIN tot tb ON tb.r = b WHERE shared.n >= 0.8 * (ta.n + tb.n - shared.n)),
+both_ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(r, s) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN both_ways ON a = s),
+named AS (SELECT r, min(s) AS c FROM reach GROUP BY r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS class_id, count(*) OVER (PARTITION BY c) AS class_size
+FROM named JOIN d USING (r)
+"""
