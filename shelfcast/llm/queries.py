@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfcast.llm import dart_minhash, decontaminate, deep_shallow, suffix_tree
+from shelfcast.llm import dart_minhash, decontaminate, deep_shallow, quality, suffix_tree, toxicity
 from shelfcast.llm.tables import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -91,3 +91,13 @@ named AS (SELECT r, min(s) AS c FROM reach GROUP BY r)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS class_id, count(*) OVER (PARTITION BY c) AS class_size
 FROM named JOIN d USING (r)
 """
+
+
+@query
+def op2_quality_classifier(spark, root):
+    return quality.judged(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query
+def op3_toxicity(spark, root):
+    return toxicity.judged(table(spark, root, "documents"), table(spark, root, "labels"))
