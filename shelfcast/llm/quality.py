@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.labelled import held_out, training_sample
+from shelfcast.llm.totals import SCHEMA, add_up, parts
 from shelfcast.llm.words import SPACED, U64, Words, find_words, mix, slices, texts_of
 
 DIMENSIONS = 48
@@ -34,7 +34,6 @@ TABLE_ROWS = WORD_ROWS + FORM_ROWS
 ENTRIES = 2
 REACH = 2
 PART_ROWS = 64
-SALTS = 256
 HIDDEN = 32
 #: Labelled documents of each label that the network is trained on, at most.
 PER_LABEL = 4000
@@ -107,21 +106,7 @@ def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for here, there in ((together, together + gap), (together + gap, together)):
                     for place, sign in entries:
                         sums += np.bincount(row[here] * DIMENSIONS + place[there], sign[there], size)
-    salt = TaskContext.get().partitionId() % SALTS
-    whole = sums.astype(np.int64).reshape(-1, PART_ROWS * DIMENSIONS)
-    filled = np.flatnonzero(whole.any(axis=1))
-    yield pa.RecordBatch.from_pydict(
-        {
-            "part": pa.array(filled, pa.int32()),
-            "salt": pa.array([salt] * len(filled), pa.int32()),
-            "sums": pa.array([whole[p].tobytes() for p in filled], pa.binary()),
-        }
-    )
-
-
-def _add(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.int64) for b in rows.column("sums").to_pylist())
-    return pa.table({"part": rows.column("part")[:1], "salt": rows.column("salt")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    yield parts(sums, PART_ROWS * DIMENSIONS)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -129,14 +114,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     It has a fixed size (8,704 rows of 48 numbers), whatever the corpus.
     """
-    schema = "part int, salt int, sums binary"
-    sums = docs.select("text").mapInArrow(_context_sums, schema)
-    # By salts first: a group never holds more than its share of the tasks.
-    sums = sums.groupBy("part", "salt").applyInArrow(_add, schema).groupBy("part").applyInArrow(_add, schema)
-    table = np.zeros((TABLE_ROWS // PART_ROWS, PART_ROWS * DIMENSIONS))
-    for row in sums.collect():
-        table[row["part"]] = np.frombuffer(row["sums"], np.int64)
-    table = table.reshape(TABLE_ROWS, DIMENSIONS)
+    rows = docs.select("text").mapInArrow(_context_sums, SCHEMA)
+    table = add_up(rows, (TABLE_ROWS, DIMENSIONS), PART_ROWS * DIMENSIONS)
     length = np.linalg.norm(table, axis=1, keepdims=True)
     return (table / np.maximum(length, 1)).astype(np.float32)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfcast.llm import dart_minhash, decontaminate, deep_shallow, quality, suffix_tree, toxicity
+from shelfcast.llm import dart_minhash, decontaminate, deep_shallow, quality, quality_rules, suffix_tree, toxicity, url_filter
 from shelfcast.llm.tables import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -101,3 +101,13 @@ def op2_quality_classifier(spark, root):
 @query
 def op3_toxicity(spark, root):
     return toxicity.judged(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query
+def op4_url_filter(spark, root):
+    return url_filter.judged(table(spark, root, "pages"))
+
+
+@query
+def op9_quality_rules(spark, root):
+    return quality_rules.judged(table(spark, root, "documents"), table(spark, root, "labels"))
