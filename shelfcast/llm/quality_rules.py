@@ -27,7 +27,7 @@ TRUSTED = 20_000
 # Share of the corpus multinomial mixed into the target: the ratio of a bucket without trusted
 # counts is about this.
 MIXED_IN = 0.02
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 LEAST_WORDS = 50
 
 SYMBOLS = _bytes(b"#*$%&|<>")

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfcast.llm import dart_minhash, decontaminate, deep_shallow, quality, quality_rules, suffix_tree, toxicity, url_filter
+from shelfcast.llm import (
+    dart_minhash,
+    decontaminate,
+    deep_shallow,
+    quality,
+    quality_rules,
+    suffix_tree,
+    toxicity,
+    url_filter,
+    warc,
+)
 from shelfcast.llm.tables import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -111,3 +121,20 @@ def op4_url_filter(spark, root):
 @query
 def op9_quality_rules(spark, root):
     return quality_rules.judged(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query
+def op5_warc(spark, root):
+    return warc.round_trip(table(spark, root, "pages"))
+
+
+ORACLE["op5_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, h, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+  (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::INTEGER >> (15 - 5 * (k % 4))) & 31)], '' ORDER BY k)
+    FROM range(32) AS t(k)) AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM x
+"""

@@ -34,6 +34,8 @@ UNWANTED = [
     "https://blog.casino-win.example.net/en/34", "http://casino-win.example.com/de/8", "https://win-big-casino.example.net/slots",
     "https://www.spam-farm.example.net/en/11999", "http://spam-farm.example.com/es/26", "http://m.spam-farm.example.net/en/7",
     "http://free-bets.example.net/en/5462", "https://www.free-bets.example.com/fr/31?page=2", "https://sports-bets-live.example.net/odds",
+    "http://ads-track.example.net/en/77", "https://m.ads-track.example.com/de/8051.html", "http://banner-ads.example.net/track?id=1",
+    "https://adult-x.example.net/en/6920", "http://blog.adult-x.example.com/fr/14",
     "https://hot-singles.example.net/xxx", "http://free-porn-tube.example.com/videos/adult", "https://adult-cams.example.net/live-sex",
     "http://poker-bonus.example.com/free-spins", "https://viagra-discount.example.net/buy", "http://payday-loans-fast.example.com/apply",
     "https://replica-watches.example.net/cheap", "http://crack-keygen.example.com/serial/download", "https://torrent-warez.example.net/free",
@@ -44,6 +46,7 @@ HARMLESS = [
     "https://news.example.com/en/2024/05/election", "https://docs.example.net/guide/install.html", "http://university.example.net/physics/lecture3",
     "https://library.example.com/catalogue/books/history", "https://museum.example.net/es/visita", "http://recipes.example.com/soup/onion",
     "https://weather.example.net/fr/paris", "http://blog.gardens.example.com/en/roses-in-may", "https://city.example.net/de/rathaus",
+    "http://blog.ththan.example.net/en/960", "https://m.therat.example.com/es/49", "https://ththing.example.net/en/29347", "http://www.therin.example.com/en/1572",
     "https://science.example.com/articles/1021", "http://trains.example.net/timetable/en/7", "https://www.thernd.example.com/en/9063/",
 ]
 LABELLED = [(u, 1) for u in UNWANTED] + [(u, 0) for u in HARMLESS]
