@@ -8,6 +8,7 @@ from shelfcast.llm import (
     dart_minhash,
     decontaminate,
     deep_shallow,
+    mixture,
     quality,
     quality_rules,
     suffix_tree,
@@ -138,3 +139,9 @@ SELECT page_id, strlen(h) AS payload_bytes,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM x
 """
+
+
+@query
+def op8_source_mixing(spark, root):
+    mix = mixture.mixed(table(spark, root, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
