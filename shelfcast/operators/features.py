@@ -128,21 +128,28 @@ def chronological_split(
 ) -> DataFrame:
     """Mark the last ``test_size`` rows of each series ``test``, all others ``train``.
 
-    A series that would be left without training rows fails the job.
+    Without keys, a series that would be left without training rows fails the job. With keys its
+    rows are marked ``short``, and the other series go on; ``short_series`` lists them.
     """
     if test_size <= 0:
         raise ValueError("test_size must be positive")
     newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(date)))
     size = F.count(F.lit(1)).over(W.partitionBy(*keys))
     message = F.concat(F.lit(f"test_size {test_size} leaves no training rows out of "), size.cast("string"))
+    too_short = F.lit("short") if keys else F.raise_error(message).cast("string")
     side = (
-        F.when(size <= test_size, F.raise_error(message).cast("string"))
+        F.when(size <= test_size, too_short)
         .when(newest <= test_size, "test")
         .otherwise("train")
     )
     return features.withColumn("split", side)
 
 
+def short_series(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys and number of rows of the series that are too short to be trained on."""
+    return marked.where(F.col("split") == "short").groupBy(*keys).agg(F.count(F.lit(1)).alias("Rows"))
+
+
 def split_frames(
     features: DataFrame, test_size: int = TEST_DAYS, keys: Sequence[str] = (), date: str = "Date"
 ) -> tuple[DataFrame, DataFrame]:

@@ -228,8 +228,14 @@ def bands(value: Column, sigma: Column, step: Column) -> dict[str, Column]:
 def with_bands(
     forecast: DataFrame, sigma: DataFrame, keys: Sequence[str] = (), rounded: bool = True
 ) -> DataFrame:
-    """Join the residual sigma of each model (and series) and add the bands."""
-    joined = forecast.join(sigma, ["Model", *keys], "left")
+    """Add the bands, by the residual sigma of each model and series.
+
+    Without keys ``sigma`` is one row, that of the model that made the forecast.
+    """
+    if keys:
+        joined = forecast.join(sigma, ["Model", *keys], "left")
+    else:
+        joined = forecast.withColumn("Sigma", sigma.select("Sigma").scalar())
     columns = bands(F.col("Predicted"), F.col("Sigma"), F.col("Step"))
     return joined.select(
         "Model",

@@ -25,18 +25,19 @@ FOREST = "Random Forest"
 BOOSTING = "Gradient Boosting"
 FITTED = (RIDGE, FOREST, BOOSTING)
 
-# A series of a few years trains in a few partitions, the pooled table of many series in as
-# many as its rows need.
-ROWS_PER_PARTITION = 50_000
-FEWEST_PARTITIONS = 4
-
-# Memory for split statistics per task of a small fit; large ones use Spark's default.
-SMALL_FIT_MB, LARGE_FIT_MB = 64, 256
-
 
 @dataclass(frozen=True)
 class ModelSettings:
+    """Settings of the candidates; an artifact records them.
+
+    Trees draw their row samples by partition, so ``partitions`` is part of the model and never
+    follows from the number of rows. The default suits one series of some years; whoever pools
+    many series asks for more.
+    """
+
     seed: int = 42
+    partitions: int = 4
+    statistics_mb: int = 256
     ridge_alpha: float = 10.0
     forest_trees: int = 200
     forest_depth: int = 8
@@ -53,18 +54,6 @@ class TrainingSize:
     rows: int
     spread: float
 
-    @property
-    def partitions(self) -> int:
-        return max(FEWEST_PARTITIONS, -(-self.rows // ROWS_PER_PARTITION))
-
-    @property
-    def is_small(self) -> bool:
-        return self.partitions == FEWEST_PARTITIONS
-
-    @property
-    def statistics_mb(self) -> int:
-        return SMALL_FIT_MB if self.is_small else LARGE_FIT_MB
-
 
 def training_size(train: DataFrame, target: str) -> TrainingSize:
     row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
@@ -87,7 +76,7 @@ def estimator(name: str, spec: FeatureSpec, size: TrainingSize, settings: ModelS
             maxDepth=settings.forest_depth,
             minInstancesPerNode=settings.forest_leaf,
             featureSubsetStrategy="all",
-            maxMemoryInMB=size.statistics_mb,
+            maxMemoryInMB=settings.statistics_mb,
             seed=settings.seed,
             **common,
         )
@@ -98,7 +87,7 @@ def estimator(name: str, spec: FeatureSpec, size: TrainingSize, settings: ModelS
             stepSize=settings.boosting_rate,
             subsamplingRate=settings.boosting_rows,
             featureSubsetStrategy=str(settings.boosting_columns),
-            maxMemoryInMB=size.statistics_mb,
+            maxMemoryInMB=settings.statistics_mb,
             seed=settings.seed,
             **common,
         )
@@ -116,7 +105,7 @@ def fit(
 ) -> dict[str, PipelineModel]:
     """Fit the named candidates on one settled training table.
 
-    Rows get a fixed place by key and date, so a seed gives the same trees on any cluster.
+    Rows get a fixed place by key and date, so seed and partitions give the same trees on any cluster.
     """
     size = training_size(train, spec.target)
     if size.rows == 0:
@@ -124,7 +113,7 @@ def fit(
     place = [*keys, spec.date]
     rows = (
         train.select(*place, spec.target, *spec.names)
-        .repartition(size.partitions, *place)
+        .repartition(settings.partitions, *place)
         .sortWithinPartitions(*place)
         .persist()
     )
@@ -132,7 +121,7 @@ def fit(
     pool = ThreadPool(max(1, len(names)))
     try:
         train_one = inheritable_thread_target(train.sparkSession)(
-            lambda name: estimator(name, spec, size, settings).fit(_placed_for(name, rows, size))
+            lambda name: estimator(name, spec, size, settings).fit(rows)
         )
         return dict(zip(names, pool.map(train_one, names)))
     finally:
@@ -140,12 +129,6 @@ def fit(
         rows.unpersist()
 
 
-def _placed_for(name: str, rows: DataFrame, size: TrainingSize) -> DataFrame:
-    """Boosting is hundreds of dependent jobs; on a small table their overhead is all that
-    counts, and one partition has the least of it."""
-    return rows.coalesce(1) if name == BOOSTING and size.is_small else rows
-
-
 def baseline_predictions(
     test: DataFrame, spec: FeatureSpec = FeatureSpec(), keys: Sequence[str] = ()
 ) -> DataFrame:

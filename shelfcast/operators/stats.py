@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,50 +65,68 @@ def decompose(
     )
 
 
-def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Coefficients, residual sum of squares, and the diagonal of the inverse cross product.
+def _most_lags(n: int) -> int:
+    """Lags tried on a series of n values; below zero if it is too short for any."""
+    return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+
+
+def _regression_rows(series: DataFrame, keys: Sequence[str], value: str, date: str, lags: int) -> DataFrame:
+    """One row per value: the step to it (``_0``), the level before it (``_1``), a constant
+    (``_2``) and the ``lags`` steps before that (``_3`` on); ``_step`` counts the steps from 0."""
+    order, whole = W.partitionBy(*keys).orderBy(date), W.partitionBy(*keys)
+    known = series.select(*keys, date, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    # Levels from their mean: a level in the millions stands beside a constant.
+    centred = known.withColumns(
+        {
+            "_n": F.count(F.lit(1)).over(whole),
+            "_flat": F.min("_y").over(whole) == F.max("_y").over(whole),
+            "_step": F.row_number().over(order) - 2,
+            "_1": F.lag("_y").over(order) - F.avg("_y").over(whole),
+            "_0": F.col("_y") - F.lag("_y").over(order),
+            "_2": F.lit(1.0),
+        }
+    )
+    return centred.withColumns({f"_{k + 2}": F.lag("_0", k).over(order) for k in range(1, lags + 1)})
 
-    Columns are brought to length one first: a level in the millions stands beside a constant.
-    """
-    length = np.linalg.norm(x, axis=0)
-    length[length == 0] = 1.0
-    inverse = np.linalg.pinv(x / length)
-    beta = inverse @ y / length
-    residual = y - x @ beta
-    return beta, float(residual @ residual), (inverse**2).sum(axis=1) / length**2
 
+def _cross_products(rows: DataFrame, keys: Sequence[str], lags: int, used: Column) -> DataFrame:
+    """Sums of all products of two columns per series, over the steps from ``used`` lags on.
 
-def _lagged_design(y: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
-    """Differences to explain, and the level, a constant and ``lags`` earlier differences."""
-    steps = np.diff(y)
-    target = steps[lags:]
-    earlier = [steps[lags - k : len(steps) - k] for k in range(1, lags + 1)]
-    return target, np.column_stack([y[lags:-1], np.ones(len(target)), *earlier])
+    Columns of longer lags count as zeros. One aggregate: a map-side sum of a fixed number of
+    products, whatever the length of the series.
+    """
+    inside = F.col("_step") >= used
+    columns = [f"_{i}" for i in range(lags + 3)]
+    masked = rows.withColumn("_used", used).withColumns(
+        {c: F.when(inside, F.when(F.lit(max(i - 2, 0)) <= used, F.col(c)).otherwise(0.0)) for i, c in enumerate(columns)}
+    )
+    products = [F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)) for i, a in enumerate(columns) for b in columns[i:]]
+    return masked.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        F.max("_flat").alias("_flat"),
+        F.max("_used").alias("_used"),
+        F.count_if(inside).alias("Observations"),
+        F.array(*products).alias("_products"),
+    )
 
 
-def adf_statistic(y: np.ndarray) -> tuple[float, int, int] | None:
-    """(t-value of the level, lags used, observations used); None if it is not defined.
+def _square(products: Sequence[float], lags: int) -> np.ndarray:
+    size = lags + 3
+    square = np.zeros((size, size))
+    square[np.triu_indices(size)] = products
+    return square + np.triu(square, 1).T
 
-    The lag count is the one with the lowest Akaike criterion on the common sample.
-    """
-    n = len(y)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    if most < 0 or np.all(y == y[0]):
-        return None
-    target, design = _lagged_design(y, most)
-    criteria = []
-    for lags in range(most + 1):
-        used = design[:, : 2 + lags]
-        residual = max(_least_squares(used, target)[1], np.finfo(float).tiny)
-        criteria.append((len(target) * math.log(residual / len(target)) + 2 * used.shape[1], lags))
-    lags = min(criteria)[1]
-    target, design = _lagged_design(y, lags)
-    beta, residual, inverse = _least_squares(design, target)
-    freedom = len(target) - design.shape[1]
-    if freedom <= 0:
-        return None
-    error = math.sqrt(residual / freedom * inverse[0])
-    return (float(beta[0] / error) if error > 0 else -math.inf), lags, len(target)
+
+def _solve(square: np.ndarray, lags: int) -> tuple[float, float, float]:
+    """Coefficient of the level, residual sum of squares, and the level's entry of the inverse,
+    from cross products scaled to a diagonal of ones."""
+    size = np.sqrt(np.diag(square)[: lags + 3])
+    size[size == 0] = 1.0
+    scaled = square[: lags + 3, : lags + 3] / np.outer(size, size)
+    inverse = np.linalg.pinv(scaled[1:, 1:], hermitian=True)
+    beta = inverse @ scaled[1:, 0]
+    residual = max(scaled[0, 0] - beta @ scaled[1:, 0], 0.0) * size[0] ** 2
+    return beta[0] * size[0] / size[1], residual, inverse[0, 0] / size[1] ** 2
 
 
 def adf_p_value(tau: float) -> float:
@@ -128,33 +146,82 @@ def adf_critical(observations: int) -> dict[str, float]:
     }
 
 
+def _chosen_lags(products: Sequence[float], most: int, observations: int, lags: int) -> int:
+    """The lag count with the lowest Akaike criterion on the common sample."""
+    square = _square(products, lags)
+    criteria = []
+    for k in range(most + 1):
+        residual = max(_solve(square, k)[1], np.finfo(float).tiny)
+        criteria.append((observations * math.log(residual / observations) + 2 * (k + 2), k))
+    return min(criteria)[1]
+
+
+def _level_t_value(products: Sequence[float], used: int, observations: int, lags: int) -> float | None:
+    freedom = observations - used - 2
+    if freedom <= 0:
+        return None
+    beta, residual, inverse = _solve(_square(products, lags), used)
+    error = math.sqrt(residual / freedom * inverse)
+    return beta / error if error > 0 else -math.inf
+
+
+def _nulls_unless(found: DataFrame, names: Sequence[str], wanted: bool) -> DataFrame:
+    """A row of nulls if there is no result; no row if there was no series either."""
+    count = found.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == 0) & F.lit(wanted))
+    types = dict(found.dtypes)
+    return count.select(*[F.lit(None).cast(types[n]).alias(n) for n in names])
+
+
 def adf_test(
     series: DataFrame, keys: Sequence[str] = (), value: str = "Sales", date: str = "Date"
 ) -> DataFrame:
     """Augmented Dickey-Fuller test per series, with a constant term.
 
-    A group here is one aggregated series, at most one row per calendar period; many
-    series run side by side. Series that are constant or too short give nulls.
+    Lagged columns and sums of their products are Spark's; what runs in Python is the solution of
+    a system of one row per series with as many unknowns as lags. Series that are constant or too
+    short give nulls.
     """
-    names = ["Statistic", "P_Value", *CRITICAL]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        y = group.sort_values(date)[value].dropna().to_numpy(dtype=float)
-        found = adf_statistic(y) if len(y) else None
-        row = {k: group[k].iloc[0] for k in keys}
-        if found is None:
-            row.update({name: None for name in [*names, "Lags", "Observations", "Stationary"]})
-        else:
-            tau, lags, used = found
-            p = adf_p_value(tau)
-            row.update(Statistic=tau, P_Value=p, Lags=lags, Observations=used, Stationary=p < 0.05)
-            row.update(adf_critical(used))
-        return pd.DataFrame([row], columns=[*keys, *names, "Lags", "Observations", "Stationary"])
-
-    types = dict(series.dtypes)
-    schema = ", ".join(
-        [f"`{k}` {types[k]}" for k in keys]
-        + [f"{name} double" for name in names]
-        + ["Lags int", "Observations int", "Stationary boolean"]
+    sizes = series.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    lags = max(_most_lags(longest), 0)
+
+    @F.pandas_udf("int")
+    def chosen(products: pd.Series, most: pd.Series, observations: pd.Series) -> pd.Series:
+        return pd.Series([_chosen_lags(p, m, n, lags) for p, m, n in zip(products, most, observations)], dtype="Int32")
+
+    @F.pandas_udf("double")
+    def t_value(products: pd.Series, used: pd.Series, observations: pd.Series) -> pd.Series:
+        found = [_level_t_value(p, u, n, lags) for p, u, n in zip(products, used, observations)]
+        return pd.Series(found, dtype=object)
+
+    @F.pandas_udf("double")
+    def p_value(tau: pd.Series) -> pd.Series:
+        return tau.map(adf_p_value)
+
+    rows = _regression_rows(series, keys, value, date, lags)
+    n = F.col("_n")
+    most = F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2).cast("int")
+    testable = (F.col("_used") >= 0) & ~F.col("_flat") & (F.col("Observations") > 0)
+    first = _cross_products(rows, keys, lags, most)
+    picked = first.where(testable).select(*keys, chosen("_products", "_used", "Observations").alias("Lags"))
+    every = first.select(*keys)
+    if keys:
+        same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"p.`{k}`")) for k in keys]
+        known = rows.alias("r").join(picked.alias("p"), same).select("r.*", "p.Lags")
+    else:
+        known = rows.withColumn("Lags", picked.select("Lags").scalar()).where(F.col("Lags").isNotNull())
+    second = _cross_products(known, keys, lags, F.col("Lags")).withColumnRenamed("_used", "Lags").where("_n is not null")
+    tested = second.select(
+        *keys, "Lags", F.col("Observations").cast("int").alias("Observations"), t_value("_products", "Lags", "Observations").alias("Statistic")
+    ).where(F.col("Statistic").isNotNull())
+    size = F.col("Observations").cast("double")
+    found = tested.withColumn("P_Value", p_value("Statistic")).withColumns(
+        {name: sum((F.lit(w) / F.pow(size, F.lit(float(i))) for i, w in enumerate(weights)), F.lit(0.0)) for name, weights in CRITICAL.items()}
     )
-    return series.select(*keys, date, value).groupBy(*keys).applyInPandas(run, schema)
+    found = found.withColumn("Stationary", F.col("P_Value") < 0.05)
+    results = ["Statistic", "P_Value", *CRITICAL, "Lags", "Observations", "Stationary"]
+    if not keys:
+        return found.select(*results).unionByName(_nulls_unless(found, results, longest > 0))
+    same = [F.col(f"e.`{k}`").eqNullSafe(F.col(f"f.`{k}`")) for k in keys]
+    joined = every.alias("e").join(found.alias("f"), same, "left")
+    return joined.select(*[F.col(f"e.`{k}`").alias(k) for k in keys], *results)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from shelfcast.functions import calendar, clean
 from shelfcast.operators import measures as m
 from shelfcast.operators.filters import complete_keys
-from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.operators.quantiles import MOST_BROADCAST_GROUPS, exact_quantiles, small
+from shelfcast.session import settle
 
 
 def group_summary(facts: DataFrame, key: str) -> DataFrame:
@@ -107,8 +108,12 @@ def order_totals(facts: DataFrame) -> DataFrame:
 
 
 def segment_order_value(orders: DataFrame) -> DataFrame:
-    """Total, number, mean and exact median of order values per segment."""
-    known = complete_keys(orders.select("Segment", "Order_Sales"), "Segment")
+    """Total, number, mean and exact median of order values per segment.
+
+    The orders are read several times and are written to the shared folder once. With the few
+    brackets broadcast, a segment's orders are summed where they are and never brought together.
+    """
+    known = settle(complete_keys(orders.select("Segment", "Order_Sales"), "Segment"))
     means = known.groupBy("Segment").agg(
         F.sum(F.col("Order_Sales").cast("decimal(38,4)")).cast("double").alias("Total_Sales"),
         F.count("Order_Sales").alias("Order_Count"),
@@ -125,8 +130,9 @@ def segment_order_value(orders: DataFrame) -> DataFrame:
 
 def segment_order_box(orders: DataFrame) -> DataFrame:
     """Quartiles, whiskers within 1.5 quartile ranges, and outliers per segment."""
-    known = complete_keys(orders.select("Segment", "Order_Sales"), "Segment")
+    known = settle(complete_keys(orders.select("Segment", "Order_Sales"), "Segment"))
     quartiles = exact_quantiles(known, ["Segment"], "Order_Sales", {"Q1": 0.25, "Median": 0.5, "Q3": 0.75})
+    quartiles = small(quartiles, MOST_BROADCAST_GROUPS)
     reach = 1.5 * (F.col("Q3") - F.col("Q1"))
     value = F.col("Order_Sales")
     inside = value.between(F.col("Q1") - reach, F.col("Q3") + reach)

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from shelfcast.functions import calendar
 from shelfcast.operators import features as ft
 from shelfcast.operators import forecast as fc
-from shelfcast.operators import metrics, models, quality, series, stats, summary
+from shelfcast.operators import measures, metrics, models, quality, series, stats, summary
 from shelfcast.operators.features import FeatureSpec
 from shelfcast.operators.filters import Slice
+from shelfcast.operators.quantiles import exact_quantiles
 from shelfcast.plans.trainer import ForecastTrainer
-from shelfcast.session import scratch_path
+from shelfcast.session import scratch_path, settle
 from shelfcast.sources import files
 from shelfcast.sources.artifacts import load_artifact, save_artifact
 from shelfcast.sources.star import LINE_MEASURES, SalesStar
@@ -49,13 +50,9 @@ def rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(f"`{n}`"), places) for n in names})
 
 
-# Sums of ten-thousandths divided by a window length often end in an exact half of the last
-# place kept; this shift, added on both sides of a comparison, keeps rounding off that edge.
-OFF_HALF = 1e-6
-
-
 def rounded_means(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n) + OFF_HALF, 2) for n in names})
+    """Means of money, rounded as decimals: a mean that ends in an exact half is one there too."""
+    return df.withColumns({n: F.round(F.col(n).cast("decimal(28,10)"), 2).cast("double") for n in names})
 
 
 def same_day(day):
@@ -111,6 +108,23 @@ def monthly_series_by_category(spark, root):
     return series.monthly_series(facts, ["Category"])
 
 
+def _one_product(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of a single product: a series with weeks and months without sales."""
+    wanted = ["Order ID", "Customer ID", "Order Date", "Product ID", "Sales", "Quantity", "Profit", "Discount"]
+    lines = SalesStar(spark, root).lines(wanted)
+    return measures.order_facts(lines.where(F.col("Product ID") == 42))
+
+
+@query
+def weekly_series_one_product(spark, root):
+    return series.weekly_series(_one_product(spark, root))
+
+
+@query
+def monthly_series_one_product(spark, root):
+    return series.monthly_series(_one_product(spark, root))
+
+
 @query
 def monthly_sales_profit(spark, root):
     facts = SalesStar(spark, root).order_facts((), CHOSEN)
@@ -124,7 +138,8 @@ def monthly_by_year(spark, root):
 
 @query
 def monthly_of_one_year(spark, root):
-    monthly = series.monthly_totals(SalesStar(spark, root).order_facts(), names=["Sales"])
+    year = Slice(start=dt.date(1997, 1, 1), end=dt.date(1997, 12, 31))
+    monthly = series.monthly_totals(SalesStar(spark, root).order_facts((), year), names=["Sales"])
     return series.by_year(monthly, 1997).select("Year", "Month", "Sales")
 
 
@@ -163,6 +178,16 @@ def category_summary(spark, root):
     return rounded(summary.group_summary(facts, "Category"), 6, "Sales_Share")
 
 
+@query
+def category_summary_null_orders(spark, root):
+    """Lines whose order id is missing have their sums, but are no order."""
+    wanted = ["Order ID", "Ship Mode", "Category", "Sales", "Profit", "Quantity"]
+    lines = SalesStar(spark, root).lines(wanted)
+    known = F.when(F.col("Ship Mode") != "1-URGENT", F.col("Order ID"))
+    found = summary.group_summary(lines.withColumn("Order ID", known), "Category")
+    return rounded(found, 6, "Sales_Share")
+
+
 @query
 def region_summary(spark, root):
     facts = SalesStar(spark, root).customer_facts(["Region"])
@@ -229,6 +254,14 @@ def segment_order_box(spark, root):
     return rounded(summary.segment_order_box(orders), 6, "Q1", "Median", "Q3")
 
 
+@query
+def line_value_box(spark, root):
+    """Quartiles of line sales by ship mode: groups larger than the sketch holds exactly."""
+    lines = SalesStar(spark, root).lines(["Ship Mode", "Sales"])
+    boxes = exact_quantiles(settle(lines), ["Ship Mode"], "Sales", {"Q1": 0.25, "Median": 0.5, "Q3": 0.75})
+    return rounded(boxes, 6, "Q1", "Median", "Q3")
+
+
 @query
 def dow_sales(spark, root):
     return summary.weekday_sales(SalesStar(spark, root).order_facts())
@@ -343,8 +376,10 @@ def preview_lines(spark, root):
 
 @query
 def table_shape(spark, root):
-    lines = SalesStar(spark, root).lines()
-    return lines.agg(F.count(F.lit(1)).alias("Rows"), F.lit(len(lines.columns)).alias("Columns"))
+    star = SalesStar(spark, root)
+    # Lookups keep the number of lines, and the columns are known without them.
+    rows = star.lines(["Order ID"]).agg(F.count(F.lit(1)).alias("Rows"))
+    return rows.select("Rows", F.lit(len(star.lines().columns)).alias("Columns"))
 
 
 @query
@@ -359,6 +394,21 @@ def sales_file_summary(spark, root):
     return rounded(found, 4, "Sales", "Profit", "Profit_Margin")
 
 
+@query
+def sales_file_quoted(spark, root):
+    """A text file with line breaks inside quoted names, and two forms of dates."""
+    path = scratch_path(spark, "sales")
+    wanted = ["Order ID", "Order Date", "Ship Date", "Product Name", "Category", "Sales", "Quantity", "Discount", "Profit"]
+    lines = SalesStar(spark, root).lines(wanted)
+    text = {c: F.col(f"`{c}`").cast("string") for c in wanted}
+    text["Product Name"] = F.concat(text["Product Name"], F.lit('\n"large", '), text["Category"])
+    text["Order Date"] = F.when(F.col("Quantity") > 25, F.date_format("Order Date", "M/d/yyyy")).otherwise(text["Order Date"])
+    text = lines.select(*[c.alias(n) for n, c in text.items()])
+    text.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
+    found = summary.group_margin(files.read_sales(spark, path, multi_line=True), "Category")
+    return rounded(found, 4, "Sales", "Profit", "Profit_Margin")
+
+
 # ---- features --------------------------------------------------------------------------
 
 
@@ -583,15 +633,10 @@ def metrics_file(spark, root):
 
 # ---- fitted models ---------------------------------------------------------------------
 
-_trainers: dict[tuple[str, str], ForecastTrainer] = {}
-
 
-def trainer(spark: SparkSession, root: str) -> ForecastTrainer:
-    """One trainer per session and folder, so the queries on fitted models share the fits."""
-    key = (spark.sparkContext.applicationId, root)
-    if key not in _trainers:
-        _trainers[key] = ForecastTrainer(_daily_sales(spark, root))
-    return _trainers[key]
+def trainer(spark: SparkSession, root: str, *candidates: str) -> ForecastTrainer:
+    """A trainer of the named candidates, or of all. Each query fits what it reports."""
+    return ForecastTrainer(_daily_sales(spark, root), candidates=candidates or models.FITTED)
 
 
 @query
@@ -620,7 +665,7 @@ def saved_model_metrics(spark, root):
 
 
 def _metrics_of(name: str, spark: SparkSession, root: str) -> DataFrame:
-    return metrics.evaluate(trainer(spark, root).predictions_of(name))
+    return metrics.evaluate(trainer(spark, root, name).predictions_of(name))
 
 
 @query
@@ -628,6 +673,18 @@ def ridge_metrics(spark, root):
     return _metrics_of(models.RIDGE, spark, root)
 
 
+@query
+def ridge_against_baseline(spark, root):
+    """The comparison table of two models."""
+    return trainer(spark, root, models.RIDGE).train_and_evaluate()
+
+
+@query
+def champion_of_two(spark, root):
+    """The baseline does not compete, so ridge wins over it whatever their errors."""
+    return metrics.champion(metrics.evaluate(trainer(spark, root, models.RIDGE).predictions))
+
+
 @query
 def forest_metrics(spark, root):
     return _metrics_of(models.FOREST, spark, root)

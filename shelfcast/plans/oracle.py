@@ -34,6 +34,9 @@ chosen AS (
     AND "Segment" IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')
 )"""
 
+_ONE_PRODUCT = """
+one AS (SELECT * FROM lines WHERE "Product ID" = 42)"""
+
 _SUMS = """
     CAST(SUM("Sales") AS DOUBLE) AS "Sales",
     CAST(SUM("Quantity") AS BIGINT) AS "Quantity",
@@ -215,7 +218,7 @@ featured AS (
 
 def _rolling_value(name: str, days: int) -> str:
     column = f"rolling_{name}_{days}"
-    rounded = {"mean": f"ROUND({column} + 1e-6, 2)", "std": f"ROUND({column}, 2)"}
+    rounded = {"mean": f"ROUND(({column})::DECIMAL(28,10), 2)::DOUBLE", "std": f"ROUND({column}, 2)"}
     return f"{rounded.get(name, column)} AS {column}"
 
 
@@ -252,6 +255,45 @@ _THREE = "\nUNION ALL\n".join(
     for name, column in [(_BASELINE, "rolling_mean_7"), ("Last Week", "lag_7"), ("30-Day MA", "rolling_mean_30")]
 )
 
+# Ridge in plain SQL: features as one list, scaled on the training rows; their cross products
+# with the penalty on the diagonal and the target beside them; one sweep for each feature.
+_ROLLING_NAMES = ", ".join(f"rolling_{n}_{d}" for d in _WINDOW_DAYS for n in ("mean", "std", "min", "max"))
+_RIDGE = f"""
+inputs AS (
+  SELECT "Date", "Sales", ROW_NUMBER() OVER (ORDER BY "Date" DESC) AS back,
+    [isodow("Date") - 1, day("Date"), month("Date"), quarter("Date"), year("Date"),
+     CASE WHEN isodow("Date") >= 6 THEN 1 ELSE 0 END, dayofyear("Date"), weekofyear("Date"),
+     sin(2 * pi() * month("Date") / 12), cos(2 * pi() * month("Date") / 12),
+     sin(2 * pi() * (isodow("Date") - 1) / 7), cos(2 * pi() * (isodow("Date") - 1) / 7),
+     sin(2 * pi() * day("Date") / 31), cos(2 * pi() * day("Date") / 31),
+     {_LAG_NAMES}, {_ROLLING_NAMES}, rolling_mean_7 / (rolling_mean_30 + 1e-5), lag_1 - lag_7]::DOUBLE[] AS x
+  FROM featured WHERE rn > 30),
+cells AS (SELECT "Date", "Sales", back, unnest(range(1, len(x) + 1)) AS j, unnest(x) AS v FROM inputs),
+scales AS (SELECT j, AVG(v) AS m, STDDEV_POP(v) AS s FROM cells WHERE back > 90 GROUP BY j),
+level AS (SELECT AVG("Sales") AS y0 FROM inputs WHERE back > 90),
+scaled AS MATERIALIZED (
+  SELECT "Date", "Sales", back, j, CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END AS z FROM cells JOIN scales USING (j)),
+products AS (
+  SELECT a.j AS i, b.j AS k, SUM(a.z * b.z) + CASE WHEN a.j = b.j THEN 10 ELSE 0 END AS g
+  FROM scaled a JOIN scaled b USING ("Date") WHERE a.back > 90 GROUP BY 1, 2
+  UNION ALL
+  SELECT j, 1000, SUM(z * ("Sales" - y0)) FROM scaled, level WHERE back > 90 GROUP BY 1),
+rows_of AS (SELECT i, list(g ORDER BY k) AS r FROM products GROUP BY i),
+sweep(p, m) AS (
+  SELECT 1, (SELECT list(r ORDER BY i) FROM rows_of)
+  UNION ALL
+  SELECT p + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = p
+      THEN list_transform(m[p], lambda v: v / m[p][p])
+      ELSE list_transform(list_zip(m[i], m[p]), lambda t: t[1] - m[i][p] * t[2] / m[p][p]) END)
+  FROM sweep WHERE p <= len(m)),
+weights AS (
+  SELECT unnest(range(1, len(m) + 1)) AS j, unnest(list_transform(m, lambda r: r[len(r)])) AS w
+  FROM (SELECT m FROM sweep ORDER BY p DESC LIMIT 1)),
+ridge_rows AS (
+  SELECT "Date", "Sales" AS actual, ANY_VALUE(y0) + SUM(z * w) AS ridge
+  FROM scaled JOIN weights USING (j), level WHERE back <= 90 GROUP BY "Date", "Sales")"""
+_RIDGE_METRICS = _metric_select("Ridge Regression", "ridge", True).replace("FROM test_rows", "FROM ridge_rows")
+
 _SIGMA = """
 sigma AS (SELECT STDDEV_POP(actual - GREATEST(rolling_mean_7, 0)) AS s FROM test_rows)"""
 
@@ -335,6 +377,25 @@ ORACLE: dict[str, str] = {
     "daily_series_no_fill": _with(_LINES, _filled("day", _DAILY), select="SELECT * FROM found"),
     "daily_series_by_region": _with(_LINES, _filled("day", _DAILY, key="Region"), select=_ALL_FILLED),
     "daily_series_filtered": _with(_LINES, _CHOSEN, _filled("day", _DAILY, "chosen"), select=_ALL_FILLED),
+    "weekly_series_one_product": _with(_LINES, _ONE_PRODUCT, _filled("week", _COLUMNS, "one"), select=_ALL_FILLED),
+    "monthly_series_one_product": _with(_LINES, _ONE_PRODUCT, _filled("month", _COLUMNS, "one"), select=_ALL_FILLED),
+    "category_summary_null_orders": _with(
+        _LINES,
+        select="""
+SELECT "Category", "Sales", "Profit", "Quantity", "Orders", "Profit" / "Sales" * 100 AS "Profit_Margin",
+  ROUND("Sales" / SUM("Sales") OVER () * 100, 6) AS "Sales_Share"
+FROM (SELECT "Category", CAST(SUM("Sales") AS DOUBLE) AS "Sales", CAST(SUM("Profit") AS DOUBLE) AS "Profit",
+    CAST(SUM("Quantity") AS BIGINT) AS "Quantity",
+    CAST(COUNT(DISTINCT CASE WHEN "Ship Mode" <> '1-URGENT' THEN "Order ID" END) AS BIGINT) AS "Orders"
+  FROM lines GROUP BY "Category")""",
+    ),
+    "line_value_box": _with(
+        _LINES,
+        select="""
+SELECT "Ship Mode", ROUND(quantile_cont("Sales"::DOUBLE, 0.25), 6) AS "Q1",
+  ROUND(quantile_cont("Sales"::DOUBLE, 0.5), 6) AS "Median", ROUND(quantile_cont("Sales"::DOUBLE, 0.75), 6) AS "Q3"
+FROM lines GROUP BY "Ship Mode" """,
+    ),
     "weekly_series": _with(_LINES, _filled("week", _COLUMNS), select=_ALL_FILLED),
     "weekly_series_by_segment": _with(_LINES, _filled("week", _COLUMNS, key="Segment"), select=_ALL_FILLED),
     "monthly_series": _with(_LINES, _filled("month", _COLUMNS), select=_ALL_FILLED),
@@ -379,8 +440,8 @@ ORACLE: dict[str, str] = {
         _filled("day", _SALES_PROFIT),
         select="""SELECT "Date", "Sales", "Profit", """
         + ", ".join(
-            f"""ROUND(CASE WHEN ROW_NUMBER() OVER (ORDER BY "Date") >= {d} THEN AVG("Sales") OVER
-  (ORDER BY "Date" ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW) END + 1e-6, 2) AS "MA_{d}" """
+            f"""ROUND((CASE WHEN ROW_NUMBER() OVER (ORDER BY "Date") >= {d} THEN AVG("Sales") OVER
+  (ORDER BY "Date" ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW) END)::DECIMAL(28,10), 2)::DOUBLE AS "MA_{d}" """
             for d in (7, 30)
         )
         + " FROM filled",
@@ -598,6 +659,12 @@ SELECT *, "MAE" = MIN("MAE") OVER () AS "Best_MAE", "RMSE" = MIN("RMSE") OVER ()
   "WAPE_%" = MIN("WAPE_%") OVER () AS "Best_WAPE_%", "R2" = MAX("R2") OVER () AS "Best_R2"
 FROM three""",
     ),
+    "ridge_metrics": _with(*_FEATURES, _RIDGE, select=_RIDGE_METRICS, recursive=True),
+    "saved_model_metrics": _with(*_FEATURES, _RIDGE, select=_RIDGE_METRICS, recursive=True),
+    "ridge_against_baseline": _with(
+        *_FEATURES, _TEST, _RIDGE, select=f"{_BASELINE_METRICS}\nUNION ALL\n{_RIDGE_METRICS}", recursive=True
+    ),
+    "champion_of_two": _with(*_FEATURES, _RIDGE, select=_RIDGE_METRICS, recursive=True),
     "residual_sigma": _with(
         *_FEATURES, _TEST, _SIGMA, select=f"""SELECT '{_BASELINE}' AS "Model", ROUND(s, 2) AS "Sigma" FROM sigma"""
     ),
@@ -624,7 +691,7 @@ aged AS (
         + ", "
         + ", ".join(
             {
-                "mean": f'ROUND(AVG("Sales") FILTER (WHERE age <= {d}) + 1e-6, 2)',
+                "mean": f'ROUND((AVG("Sales") FILTER (WHERE age <= {d}))::DECIMAL(28,10), 2)::DOUBLE',
                 "std": f'ROUND(STDDEV_POP("Sales") FILTER (WHERE age <= {d}), 2)',
                 "min": f'MIN("Sales") FILTER (WHERE age <= {d})',
                 "max": f'MAX("Sales") FILTER (WHERE age <= {d})',
@@ -676,3 +743,5 @@ SELECT 'Forecast', "Date", "Forecast_Sales", "Lower_95", "Upper_95" FROM bands""
     "forecast_file": _with(*_FORECAST, select=f"SELECT {_BAND_NAMES} FROM bands", recursive=True),
     "metrics_file": _with(*_FEATURES, _TEST, select=_BASELINE_METRICS),
 }
+
+ORACLE["sales_file_quoted"] = ORACLE["sales_file_summary"]

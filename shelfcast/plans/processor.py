@@ -13,7 +13,8 @@ from shelfcast.sources import files
 class SalesProcessor:
     """Lazy views over a sales file or over clean lines that are at hand already.
 
-    Nothing is read before a result is asked for. ``raw_df`` stays beside ``clean_df``.
+    Nothing is read before a result is asked for; then the records of a file are checked
+    first. ``raw_df`` stays beside ``clean_df``.
     """
 
     def __init__(
@@ -22,18 +23,21 @@ class SalesProcessor:
         filepath: str | None = None,
         lines: DataFrame | None = None,
         encoding: str = "ISO-8859-1",
+        multi_line: bool = False,
     ):
         if (filepath is None) == (lines is None):
             raise ValueError("give either a file path or a table of lines")
         self.spark = spark
         self.filepath = filepath
         self.encoding = encoding
+        self.multi_line = multi_line
         self.raw_df: DataFrame | None = None
         self.clean_df: DataFrame | None = lines
 
     def load_and_clean_data(self) -> DataFrame:
         if self.clean_df is None:
-            self.raw_df = files.read_raw_sales(self.spark, self.filepath, self.encoding)
+            self.raw_df = files.read_raw_sales(self.spark, self.filepath, self.encoding, self.multi_line)
+            files.check_sales(self.raw_df)
             self.clean_df = files.clean_sales(self.raw_df)
         return self.clean_df
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict
 from functools import cached_property, reduce
 
 from pyspark.ml import PipelineModel
@@ -146,6 +147,7 @@ class ForecastTrainer:
             residual_sigma=overall["Sigma"],
             metrics={s.pop("Model"): s for s in scores},
             last_training_date=last,
+            settings=asdict(self.settings),
             models=self.models,
             deployed=self.refit(name),
         )

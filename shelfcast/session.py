@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,38 +19,20 @@ SETTINGS = {
 }
 
 
-# Shuffled bytes one task should handle.
-BYTES_PER_SHUFFLE_TASK = 128 << 20
-MOST_SHUFFLE_TASKS = 20_000
-
-
-def size_settings(input_bytes: int) -> dict[str, str]:
-    """Settings for an input of this size.
-
-    Adaptive execution merges shuffle partitions that turn out small but cannot add any, so
-    it starts from as many as the whole input would need. Sums before the first shuffle leave
-    a small part of a very large input, hence the upper limit.
-    """
-    wanted = -(-input_bytes // BYTES_PER_SHUFFLE_TASK)
-    return {
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(min(max(wanted, 200), MOST_SHUFFLE_TASKS)),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(BYTES_PER_SHUFFLE_TASK),
-        "spark.sql.files.maxPartitionBytes": str(4 * BYTES_PER_SHUFFLE_TASK),
-    }
-
-
 def build_session(
     app_name: str = "shelfcast",
     master: str | None = None,
     extra: dict[str, str] | None = None,
-    input_bytes: int | None = None,
 ) -> SparkSession:
-    """A session with the settings above; on a cluster give the size of the input as well."""
+    """A session with the settings above.
+
+    How many shuffle partitions an input needs is for the cluster to say, in
+    ``spark.sql.shuffle.partitions``; adaptive execution merges those that turn out small.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    sized = size_settings(input_bytes) if input_bytes else {}
-    for key, value in {**SETTINGS, **sized, **(extra or {})}.items():
+    for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -65,7 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not context.master.startswith("local"):
+        # local-cluster has executors of its own, which need not share a folder with the driver.
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shelfcast-")
     context.setCheckpointDir(folder)

@@ -29,6 +29,7 @@ class ForecastArtifact:
     residual_sigma: float
     metrics: dict[str, dict[str, float]]
     last_training_date: str
+    settings: dict[str, float] = field(default_factory=dict)
     models: Mapping[str, PipelineModel] = field(default_factory=dict)
     deployed: PipelineModel | None = None
 

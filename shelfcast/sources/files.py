@@ -13,21 +13,37 @@ from shelfcast.functions import calendar, clean
 from shelfcast.sources.columns import FORECAST_SCHEMA, METRICS_SCHEMA
 
 
-def read_raw_sales(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_raw_sales(
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = False
+) -> DataFrame:
     """The sales file with every column as text, under the names of its header.
 
     Files with more columns than the queries use are fine; those columns are not parsed.
-    All files of a folder must have the same header.
+    All files of a folder must have the same header. Quoted fields with line breaks need
+    ``multi_line``, which reads each file in one task.
     """
     return (
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("escape", '"')
         .option("enforceSchema", False)
+        .option("multiLine", multi_line)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
 
 
+def check_sales(raw: DataFrame, date_formats: Sequence[str] = clean.DATE_FORMATS) -> None:
+    """Fail now if a record has more or fewer fields than the header (a quoted line break read
+    without ``multi_line`` among them), or an order date is missing or no date.
+
+    Reports read few columns and would not notice. One pass over all columns.
+    """
+    day = clean.parse_date(F.col("`Order Date`"), "Order Date", True, date_formats)
+    every = [F.count(F.col(f"`{name}`")) for name in raw.columns]
+    raw.agg(F.max(day), *every).collect()
+
+
 def clean_sales(
     raw: DataFrame, date_formats: Sequence[str] = clean.DATE_FORMATS, calendar_columns: bool = True
 ) -> DataFrame:
@@ -61,8 +77,13 @@ def derive_columns(typed: DataFrame, calendar_columns: bool = True) -> DataFrame
     return typed.withColumns(extra)
 
 
-def read_sales(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    return clean_sales(read_raw_sales(spark, path, encoding))
+def read_sales(
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = False
+) -> DataFrame:
+    """Clean lines of a file whose records and order dates have been checked."""
+    raw = read_raw_sales(spark, path, encoding, multi_line)
+    check_sales(raw)
+    return clean_sales(raw)
 
 
 def write_sales_table(lines: DataFrame, path: str) -> None:

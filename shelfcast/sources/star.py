@@ -9,6 +9,9 @@ summed to a coarser grain *before* the lookup join: line items are summed by the
 key with a map-side combine, so a key that holds a large part of all lines reaches the
 join as a few rows. Money is exact: a decimal in flat lines, a pair of whole numbers in
 facts, so sums do not depend on the order in which partitions arrive.
+
+A line whose order, part or customer is unknown counts in every total that does not need
+what is missing. Without an order it has no date, so no dated slice and no series holds it.
 """
 
 from __future__ import annotations
@@ -65,6 +68,11 @@ CUSTOMER_COLUMNS = ("Segment", "City", "State", "Region")
 LINE_MEASURES = ("Sales_Hi", "Sales_Lo", "Profit_Hi", "Profit_Lo", "Quantity", "Discount_Sum")
 
 
+def _known_order() -> Column:
+    """Lines without an order id have their sums, but are no order."""
+    return F.col("Order ID").isNotNull().cast("bigint")
+
+
 class SalesStar:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -155,7 +163,7 @@ class SalesStar:
         if chosen.categories is not None:
             parts = apply_slice(self._parts(["Category"]), Slice(categories=chosen.categories))
             items = items.join(parts, "Product ID", "left_semi")
-        per_order = sum_measures(items, ["Order ID"]).withColumn("Orders", F.lit(1).cast("bigint"))
+        per_order = sum_measures(items, ["Order ID"]).withColumn("Orders", _known_order())
         wanted = {"Customer ID", "Order Date", *attributes}
         if chosen.regions is not None:
             wanted.add("Region")
@@ -175,7 +183,7 @@ class SalesStar:
         """
         items = self._items(["Order ID", "Product ID", *LINE_MEASURES])
         known = items.join(self._parts(attributes), "Product ID", "left")
-        facts = sum_measures(known, ["Order ID", *attributes]).withColumn("Orders", F.lit(1).cast("bigint"))
+        facts = sum_measures(known, ["Order ID", *attributes]).withColumn("Orders", _known_order())
         return facts.join(self._orders(order_columns), "Order ID", "left") if order_columns else facts
 
     def customer_facts(

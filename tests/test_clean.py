@@ -118,3 +118,33 @@ def test_sales_table_is_partitioned_by_year(spark, sales_file, tmp_path):
 def test_processor_needs_one_source(spark):
     with pytest.raises(ValueError):
         SalesProcessor(spark)
+
+
+SHORT_HEADER = "Order ID,Order Date,Ship Date,Category,Product Name,Sales,Quantity,Discount,Profit"
+
+
+def written(tmp_path, *records):
+    path = tmp_path / "sales.csv"
+    path.write_bytes("\n".join([SHORT_HEADER, *records]).encode("latin-1") + b"\n")
+    return str(path)
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = written(tmp_path, '1,2017-01-02,2017-01-03,Tech,"a\nb",10.0,1,0,1', "2,1/5/2017,2017-01-06,Tech,c,10.0,1,0,1")
+    lines = files.read_sales(spark, path, multi_line=True)
+    assert lines.groupBy("Category").agg(F.sum("Sales")).collect()[0][1] == 20.0
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_sales(spark, path)
+
+
+@pytest.mark.parametrize("record", ["3,2017-01-02", "3,2017-01-02,,Tech,x,1,1,0,1,more"])
+def test_records_of_another_length_fail(spark, tmp_path, record):
+    path = written(tmp_path, "1,2017-01-02,2017-01-03,Tech,a,10.0,1,0,1", record)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_sales(spark, path)
+
+
+def test_a_bad_date_fails_before_any_report(spark, tmp_path):
+    path = written(tmp_path, "1,notadate,2017-01-03,Tech,a,10.0,1,0,1")
+    with pytest.raises(Exception, match="not a date"):
+        SalesProcessor(spark, path).get_category_summary()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import FEATURE_NAMES, calendar_features
 from shelfcast.operators.features import (
-    FeatureSpec, buffer_features, build_features, chronological_split, split_frames, split_parts,
+    FeatureSpec, buffer_features, build_features, chronological_split, short_series, split_frames, split_parts,
 )
 
 from helpers import daily, day
@@ -121,3 +121,13 @@ def test_split_parts(spark):
     assert [p.count() for p in parts] == [20, 10, 20, 10, 20, 10]
     assert parts.x_test.columns == ["Date", *SPEC.names] and parts.y_test.columns == ["Date", "Sales"]
     assert parts.dates_test.columns == ["Date"]
+
+
+def test_a_short_series_does_not_stop_the_others(spark):
+    both = daily(spark, range(50), key="West").unionByName(daily(spark, range(8), key="East"))
+    marked = chronological_split(both, 10, ["Region"])
+    counts = {(r["Region"], r["split"]): r["count"] for r in marked.groupBy("Region", "split").count().collect()}
+    assert counts == {("West", "train"): 40, ("West", "test"): 10, ("East", "short"): 8}
+    assert [tuple(r) for r in short_series(marked, ["Region"]).collect()] == [("East", 8)]
+    train, test = split_frames(both, 10, ["Region"])
+    assert (train.count(), test.count()) == (40, 10)

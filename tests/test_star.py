@@ -196,3 +196,26 @@ def test_dates_reach_the_scan(star):
     chosen = Slice(dt.date(1997, 1, 10), dt.date(1997, 2, 20))
     text = star.order_facts((), chosen)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate,1997-01-10T00:00)" in text
+
+
+def test_lines_without_an_order_id_are_no_order(spark, data, tmp_path):
+    names = ["region", "nation", "customer", "part", "orders", "lineitem"]
+    schemas = [
+        "r_regionkey int, r_name string", "n_nationkey int, n_name string, n_regionkey int",
+        "c_custkey bigint, c_nationkey int, c_mktsegment string", "p_partkey bigint, p_name string, p_brand string, p_type string",
+        "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+        "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz",
+    ]
+    day = dt.datetime(1997, 6, 1)
+    lines = [(1, 1, 1.0, 10.0, 0.0, day), (None, 1, 1.0, 10.0, 0.0, day), (None, 1, 1.0, 5.0, 0.0, day), (999, 1, 1.0, 100.0, 0.0, day)]
+    for name, schema, rows in zip(names, schemas, [*data[:5], lines]):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    star = SalesStar(spark, str(tmp_path))
+    got = summary.headline(star.order_facts()).first()
+    # Two orders have an id; the order of one of them is unknown, and counts in totals.
+    assert (got["Total_Sales"], got["Total_Orders"], got["Avg_Order_Value"]) == (125.0, 2, 62.5)
+    assert got["Total_Orders"] == summary.headline(star.lines()).first()["Total_Orders"]
+    category = summary.group_summary(star.part_order_facts(["Category"], ()), "Category").first()
+    assert (category["Sales"], category["Orders"]) == (125.0, 2)
+    # Without an order there is no date: no series holds such lines.
+    assert series.daily_totals(star.order_facts()).agg(F.sum("Sales")).first()[0] == 10.0

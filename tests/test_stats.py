@@ -51,18 +51,50 @@ def adf_by_normal_equations(y, lags):
     return beta[1] / np.sqrt(e @ e / (len(z) - x.shape[1]) * inverse[1, 1])
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_adf_statistic(seed):
-    rng = np.random.default_rng(seed)
-    y = 1000 + np.cumsum(rng.normal(size=150)) + 3 * rng.normal(size=150)
-    tau, lags, used = stats.adf_statistic(y)
-    assert used == 149 - lags
-    assert tau == pytest.approx(adf_by_normal_equations(y, lags), rel=1e-8)
-
-
-def test_adf_survives_large_levels():
-    y = 4e7 + np.random.default_rng(4).normal(size=80) * 1e6
-    assert stats.adf_statistic(y)[0] == pytest.approx(stats.adf_statistic(y / 1e6)[0], rel=1e-6)
+def lags_by_criterion(y):
+    n = len(y)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+    dy = np.diff(y)
+    criteria = []
+    for lags in range(most + 1):
+        x = np.array([[1.0, y[t], *[dy[t - k] for k in range(1, lags + 1)]] for t in range(most, len(dy))])
+        z = dy[most:]
+        e = z - x @ np.linalg.lstsq(x, z, rcond=None)[0]
+        criteria.append((len(z) * np.log(e @ e / len(z)) + 2 * (lags + 2), lags))
+    return min(criteria)[1]
+
+
+def test_adf_against_the_textbook(spark):
+    """Series of several lengths and levels in one job; each has its own number of lags."""
+    series = {}
+    for seed, (n, level) in enumerate([(150, 1000), (80, 4e7), (24, 0), (61, -5), (400, 10)]):
+        rng = np.random.default_rng(seed)
+        series[f"s{seed}"] = level + (np.cumsum(rng.normal(size=n)) + 3 * rng.normal(size=n)) * max(level / 1000, 1)
+    frame = None
+    for name, y in series.items():
+        one = daily(spark, y, key=name)
+        frame = one if frame is None else frame.unionByName(one)
+    got = {r["Region"]: r for r in stats.adf_test(frame, ["Region"]).collect()}
+    for name, y in series.items():
+        r = got[name]
+        assert r["Lags"] == lags_by_criterion(y - y.mean())
+        assert r["Observations"] == len(y) - 1 - r["Lags"]
+        assert r["Statistic"] == pytest.approx(adf_by_normal_equations(y - y.mean(), r["Lags"]), rel=1e-6)
+        assert r["P_Value"] == pytest.approx(stats.adf_p_value(r["Statistic"]))
+        assert r["Critical_5"] == pytest.approx(stats.adf_critical(r["Observations"])["Critical_5"])
+        assert r["Stationary"] == (r["P_Value"] < 0.05)
+
+
+def test_adf_sends_no_series_to_python(spark):
+    plan = stats.adf_test(daily(spark, np.random.default_rng(1).normal(size=60), key="a"), ["Region"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in text and "ArrowEvalPython" in text
+
+
+def test_adf_of_no_series_and_of_a_flat_one(spark):
+    assert stats.adf_test(daily(spark, [])).count() == 0
+    flat = stats.adf_test(daily(spark, [5.0] * 30)).collect()
+    assert len(flat) == 1 and flat[0]["Statistic"] is None
 
 
 def test_adf_tables():

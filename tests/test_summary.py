@@ -152,3 +152,33 @@ def test_dashboard_follows_the_slice(spark, shop):
     assert board.top_products().count() == 1 and board.category_tree().count() == 2
     assert board.weekdays().count() == 7 and board.monthly_trend().count() == 1
     assert tuple(board.date_bounds().first()) == (shop.agg(F.min("Order Date")).first()[0], shop.agg(F.max("Order Date")).first()[0])
+
+
+def test_a_quantile_outside_its_bracket_fails(spark, monkeypatch):
+    from shelfcast.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "MARGIN", -0.2)  # brackets that miss
+    frame = spark.range(1000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(Exception, match="outside its bracket"):
+        exact_quantiles(frame, ["g"], "v", {"m": 0.5}).collect()
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_quantiles_with_and_without_a_broadcast(spark, monkeypatch, most):
+    from shelfcast.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "MOST_BROADCAST_GROUPS", most)
+    frame = spark.range(30_000).select((F.col("id") % 3).alias("g"), F.pmod(F.col("id") * 7919, F.lit(20_011)).cast("double").alias("v"))
+    wanted = {"a": 0.25, "b": 0.5, "c": 0.999}
+    got = {r["g"]: r for r in exact_quantiles(frame, ["g"], "v", wanted).collect()}
+    for g in range(3):
+        values = [i * 7919 % 20_011 for i in range(30_000) if i % 3 == g]
+        for name, p in wanted.items():
+            assert got[g][name] == pytest.approx(quantile_truth(values, p), rel=1e-12)
+
+
+def test_orders_of_a_segment_are_not_brought_together(spark):
+    orders = spark.range(5000).select((F.col("id") % 2).cast("string").alias("Segment"), F.col("id").cast("double").alias("Order_Sales"))
+    plan = summary.segment_order_box(orders)._jdf.queryExecution().executedPlan().toString()
+    # The one exchange by segment is above a partial aggregate.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

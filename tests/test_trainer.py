@@ -123,8 +123,12 @@ def test_shared_folder_follows_the_session(spark):
     assert session.settle(spark.range(0)).count() == 0
 
 
-def test_settings_follow_the_input():
-    parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert session.size_settings(1)[parts] == "200"
-    assert session.size_settings(1 << 40)[parts] == str((1 << 40) // (128 << 20))
-    assert session.size_settings(100 << 50)[parts] == "20000"
+def test_trees_do_not_depend_on_the_number_of_other_rows(spark):
+    """The settings decide where rows go; nothing follows from the size of the table."""
+    few, many = (models.ModelSettings(forest_trees=3, boosting_rounds=3, partitions=n) for n in (2, 5))
+    for settings in (few, many):
+        for rows in (1, 10**9):
+            size = models.TrainingSize(rows, 1.0)
+            forest = models.estimator(models.FOREST, models.FeatureSpec(), size, settings).getStages()[-1]
+            assert forest.getMaxMemoryInMB() == settings.statistics_mb
+    assert models.TrainingSize.__dataclass_fields__.keys() == {"rows", "spread"}
