@@ -10,10 +10,11 @@ equal to their weighted Jaccard similarity. A document needs only the darts of r
 limit is doubled. The plane is cut into regions that double in width and height, so a shingle asks
 the hash for a few regions only, and most of them are empty.
 
-Signatures are cut into bands. Documents that share a band are compared exactly: each with the one
-of smallest number in the band, and then those that are not near that one with the others that
-share the band, as far as the triangle inequality does not rule them out and they are not already
-connected. So a group of near copies costs a comparison each, not one for each pair.
+Signatures are cut into bands. Documents that share a band are compared exactly: first each with
+the centre of the band, the document that meets most others, so that a group of near copies costs a
+comparison each and not one for each pair. A document that is not near a centre may still be near
+others that have the same centre: such open documents are compared with those in blocks, through an
+inverted index of their shingles, and only links that connect something new are put out.
 """
 
 from __future__ import annotations
@@ -219,6 +220,73 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_compare, "a long, b long, similarity double")
 
 
+# ---- open documents --------------------------------------------------------------------
+
+BLOCK = 2048
+
+
+def _connecting_links(rows: pa.Table, threshold: float) -> pa.Table:
+    """Links between the open documents of a group and its members, as far as they connect
+    components that are not connected yet."""
+    is_open = rows.column("is_open").to_numpy(zero_copy_only=False)
+    row, label = rows.column("row").to_numpy(), rows.column("component").to_numpy()
+    text, shingle, weight = weighted_sets([t.encode() for t in rows.column("text").to_pylist()])
+    sizes = np.bincount(text, weight, len(row))
+    first = np.searchsorted(text, np.arange(len(row) + 1))
+    order = np.argsort(shingle, kind="stable")
+    listed = shingle[order]
+    parent = {c: c for c in np.unique(label).tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    links = []
+    for y in np.flatnonzero(is_open).tolist():
+        own, own_weight = shingle[first[y] : first[y + 1]], weight[first[y] : first[y + 1]]
+        low, high = np.searchsorted(listed, own), np.searchsorted(listed, own, "right")
+        n = high - low
+        at = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        shared = np.bincount(text[at], np.minimum(weight[at], np.repeat(own_weight, n)), len(row))
+        near = shared / (sizes[y] + sizes - shared) >= threshold
+        for x in np.flatnonzero(near & ~is_open & (row != row[y])).tolist():
+            p, q = root(int(label[y])), root(int(label[x]))
+            if p != q:
+                parent[p] = q
+                links.append((int(row[y]), int(row[x])))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _open_links(compared: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links of documents that are not near a centre, to others with the same centre.
+
+    Both sides of a centre's group are cut into blocks, so that a group of any size is spread.
+    """
+    members = compared.select(F.col("b").alias("centre"), F.col("a").alias("row"), (F.col("similarity") < threshold).alias("is_open"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    groups = (
+        members.groupBy("centre")
+        .agg(F.count("*").alias("n"), F.count_if("is_open").alias("n_open"))
+        .where("n > 1 and n_open > 0")
+        .select("centre", blocks(F.col("n")).alias("blocks"), blocks(F.col("n_open")).alias("open_blocks"))
+    )
+    label = connected_components(links).withColumnRenamed("node", "row")
+    named = (
+        members.join(groups, "centre")
+        .join(label, "row", "left")
+        .join(texts, "row")
+        .select("centre", "row", "is_open", "text", F.coalesce("component", "row").alias("component"), "blocks", "open_blocks")
+    )
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["centre", "row", "is_open", "text", "component"]
+    asking = named.where("is_open").select(*columns, own("open_blocks").alias("i"), every("blocks").alias("j"))
+    asked = named.withColumn("is_open", F.lit(False)).select(*columns, every("open_blocks").alias("i"), own("blocks").alias("j"))
+    return asking.union(asked).groupBy("centre", "i", "j").applyInArrow(lambda t: _connecting_links(t, threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: row (its number in this result), doc_id, r1, r2 (hashes of id and text),
     class_id, class_size and is_first.
@@ -247,8 +315,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     chosen = signed.where("bands is not null").join(texts.select(F.col("text_row").alias("row")), "row", "left_semi")
     banded = chosen.select("row", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meetings = settle(banded.join(centres, "band").where("row <> centre"))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = settle(banded.join(sizes, "band"))
+    # The centre of a band: the one of its documents that meets most others in all bands.
+    popular = met.groupBy("row").agg(F.sum("n").alias("meets"))
+    centres = met.join(popular, "row").groupBy("band").agg(F.max(F.struct("meets", (-F.col("row")).alias("row"))).alias("best"))
+    centres = centres.select("band", (-F.col("best.row")).alias("centre"))
+    meetings = met.join(centres, "band").where("row <> centre")
 
     pairs = meetings.select(F.col("row").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = settle(pairs)
@@ -260,25 +333,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     compared = settle(compare(pairs, found))
     links = compared.where(F.col("similarity") >= threshold).select("a", "b")
 
-    # What is not near its centre may be near others in the band.
-    known = compared.select(F.col("a").alias("row"), F.col("b").alias("centre"), (1 - F.col("similarity")).alias("far"))
-    placed = meetings.join(known, ["row", "centre"])
-    apart = placed.where(F.col("far") > 1 - threshold)
-    if not apart.isEmpty():
-        label = connected_components(links)
-        named = placed.join(label.withColumnRenamed("node", "row"), "row", "left").select(
-            "band", "row", "far", F.coalesce("component", "row").alias("component")
-        )
-        named = settle(named)
-        other = named.select("band", *[F.col(c).alias(f"{c}_b") for c in ("row", "far", "component")])
-        more = (
-            named.where(F.col("far") > 1 - threshold)
-            .join(other, "band")
-            .where((F.col("component") != F.col("component_b")) & (F.abs(F.col("far") - F.col("far_b")) <= 1 - threshold + 1e-9))
-            .select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b"))
-            .distinct()
-        )
-        links = links.union(compare(more, found).where(F.col("similarity") >= threshold).select("a", "b"))
+    links = links.union(settle(_open_links(compared, links, found, threshold)))
 
     label = connected_components(links).select(F.col("node").alias("text_row"), "component")
     classes = texts.join(label, "text_row", "left").select("k1", "k2", F.coalesce("component", "text_row").alias("class"))
