@@ -1,8 +1,9 @@
 """Recursive forecasts: each predicted day feeds the features of the next.
 
 The steps of one series depend on each other, the series do not. So each series is one
-row with its newest values; a batch of rows walks through all steps together, and the
-forecast is one job whatever the horizon.
+row with its newest values. With the baseline or a linear model a batch of rows walks through
+all steps together, in one job whatever the horizon. Tree models predict through Spark, one
+step of all series after the other, with the lineage cut in the shared folder every few steps.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import LinearRegressionModel, RandomForestRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import LinearRegressionModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import calendar_features
 from shelfcast.functions.clean import not_negative
 from shelfcast.operators.features import FeatureSpec, buffer_features, isolate_target
-from shelfcast.session import scratch_path
+from shelfcast.session import settle
 
 HORIZON = 90
 
@@ -31,75 +32,26 @@ Z_80, Z_95 = 1.28, 1.96
 
 BAND_COLUMNS = ["Forecast_Sales", "Lower_80", "Upper_80", "Lower_95", "Upper_95"]
 
-# A fitted model as plain numbers: small, and readable by any Python worker.
+# Steps of a tree model between two cuts of the lineage.
+STEPS_PER_CUT = 10
+
+# The baseline or a linear model as plain numbers: small, and readable by any Python worker.
 Scorer = dict[str, Any]
 
 
 def score(scorer: Scorer, x: np.ndarray) -> np.ndarray:
-    """Predictions for rows of features.
-
-    Leaves of a tree point to themselves, so ``depth`` rounds bring every row to its leaf.
-    """
+    """Predictions for rows of features."""
     if scorer["kind"] == "column":
         return x[:, scorer["index"]]
-    if scorer["kind"] == "linear":
-        return x @ scorer["weights"] + scorer["intercept"]
-    at = np.tile(scorer["roots"], (len(x), 1))
-    rows = np.arange(len(x))[:, None]
-    for _ in range(scorer["depth"]):
-        goes_left = x[rows, scorer["feature"][at]] <= scorer["threshold"][at]
-        at = np.where(goes_left, scorer["left"][at], scorer["right"][at])
-    return scorer["value"][at] @ scorer["weights"]
+    return x @ scorer["weights"] + scorer["intercept"]
 
 
 def baseline_scorer(spec: FeatureSpec) -> Scorer:
     return {"kind": "column", "index": spec.names.index("rolling_mean_7")}
 
 
-def _tree_scorer(model, spark: SparkSession) -> Scorer:
-    """Nodes of a fitted ensemble, read from its saved form.
-
-    Their number is bounded by the number of trees and their depth, not by the data.
-    """
-    path = scratch_path(spark, "ensemble")
-    model.write().overwrite().save(path)
-    nodes = (
-        spark.read.parquet(f"{path}/data")
-        .select(
-            "treeID",
-            "nodeData.id",
-            "nodeData.prediction",
-            "nodeData.leftChild",
-            "nodeData.rightChild",
-            "nodeData.split.featureIndex",
-            F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("threshold"),
-        )
-        .toPandas()
-        .sort_values(["treeID", "id"])
-    )
-    sizes = nodes.groupby("treeID").size().to_numpy()
-    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    first = np.repeat(roots, sizes)
-    own = np.arange(len(nodes))
-    leaf = nodes["leftChild"].to_numpy() < 0
-    weights = np.asarray(model.treeWeights, dtype=float)
-    if isinstance(model, RandomForestRegressionModel):
-        weights = weights / weights.sum()
-    return dict(
-        kind="trees",
-        feature=np.where(leaf, 0, nodes["featureIndex"].to_numpy()),
-        threshold=np.where(leaf, np.inf, nodes["threshold"].to_numpy(dtype=float)),
-        left=np.where(leaf, own, first + nodes["leftChild"].to_numpy()),
-        right=np.where(leaf, own, first + nodes["rightChild"].to_numpy()),
-        value=nodes["prediction"].to_numpy(),
-        roots=roots,
-        weights=weights,
-        depth=model.getMaxDepth(),
-    )
-
-
-def scorer_of(model: PipelineModel, spark: SparkSession) -> Scorer:
-    """The prediction of a fitted pipeline in numbers."""
+def scorer_of(model: PipelineModel) -> Scorer | PipelineModel:
+    """A linear model in numbers; any other model as it is."""
     regressor = model.stages[-1]
     if isinstance(regressor, LinearRegressionModel):
         return {
@@ -107,7 +59,7 @@ def scorer_of(model: PipelineModel, spark: SparkSession) -> Scorer:
             "weights": regressor.coefficients.toArray(),
             "intercept": regressor.intercept,
         }
-    return _tree_scorer(regressor, spark)
+    return model
 
 
 def series_state(
@@ -167,6 +119,11 @@ def next_day_features(
 ) -> DataFrame:
     """What a model sees for the first future day of each series."""
 
+    seen = _with_next_features(state, spec, ddof)
+    return seen.select(*keys, F.date_add("Last_Date", 1).alias(spec.date), *spec.names)
+
+
+def _with_next_features(state: DataFrame, spec: FeatureSpec, ddof: int) -> DataFrame:
     @F.pandas_udf("array<double>")
     def values(histories: pd.Series, calendars: pd.Series) -> pd.Series:
         buffer, known = _buffers(histories, spec.memory)
@@ -174,16 +131,33 @@ def next_day_features(
         return pd.Series(list(buffer_features(spec, buffer, known, days, ddof)))
 
     seen = state.withColumn("_values", values("History", future_calendar(F.col("Last_Date"), 1)))
-    return seen.select(
-        *keys,
-        F.date_add("Last_Date", 1).alias(spec.date),
-        *[F.col("_values")[i].alias(name) for i, name in enumerate(spec.names)],
-    )
+    return seen.withColumns({name: F.col("_values")[i] for i, name in enumerate(spec.names)}).drop("_values")
+
+
+def _walk_through_model(
+    state: DataFrame, model: PipelineModel, spec: FeatureSpec, keys: Sequence[str], horizon: int, ddof: int
+) -> DataFrame:
+    """``state`` with ``_path``, the predictions of all steps, and the last date it started from."""
+    first = F.col("Last_Date").alias("_start")
+    current = state.select(*keys, "Last_Date", "History", first, F.array().cast("array<double>").alias("_path"))
+    for step in range(1, horizon + 1):
+        scored = model.transform(_with_next_features(current, spec, ddof))
+        value = F.array(not_negative(F.col("prediction")))
+        current = scored.select(
+            *keys,
+            F.date_add("Last_Date", 1).alias("Last_Date"),
+            F.slice(F.concat("History", value), F.greatest(F.size("History") + 2 - spec.memory, F.lit(1)), spec.memory).alias("History"),
+            "_start",
+            F.concat("_path", value).alias("_path"),
+        )
+        if step % STEPS_PER_CUT == 0:
+            current = settle(current)
+    return current.select(*keys, F.col("_start").alias("Last_Date"), "_path")
 
 
 def recursive_forecast(
     state: DataFrame,
-    scorer: Scorer,
+    scorer: Scorer | PipelineModel,
     model: str,
     spec: FeatureSpec = FeatureSpec(),
     keys: Sequence[str] = (),
@@ -195,15 +169,17 @@ def recursive_forecast(
     ``ddof`` 0 takes the population deviation for the rolling deviation of future days,
     as opposed to the sample one in training; 1 uses the sample form for both.
     """
-    shared = state.sparkSession.sparkContext.broadcast(scorer)
+    if isinstance(scorer, PipelineModel):
+        walked = _walk_through_model(state, scorer, spec, keys, horizon, ddof)
+    else:
 
-    @F.pandas_udf("array<double>")
-    def predictions(histories: pd.Series, calendars: pd.Series) -> pd.Series:
-        return pd.Series(list(walk(shared.value, spec, histories, calendars, horizon, ddof)))
+        @F.pandas_udf("array<double>")
+        def predictions(histories: pd.Series, calendars: pd.Series) -> pd.Series:
+            return pd.Series(list(walk(scorer, spec, histories, calendars, horizon, ddof)))
 
-    walked = state.withColumn(
-        "_path", predictions("History", future_calendar(F.col("Last_Date"), horizon))
-    )
+        walked = state.withColumn(
+            "_path", predictions("History", future_calendar(F.col("Last_Date"), horizon))
+        )
     return walked.select(*keys, "Last_Date", F.posexplode("_path").alias("_i", "Predicted")).select(
         F.lit(model).alias("Model"),
         *keys,

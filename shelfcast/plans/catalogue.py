@@ -19,6 +19,7 @@ from shelfcast.operators import measures, metrics, models, quality, series, stat
 from shelfcast.operators.features import FeatureSpec
 from shelfcast.operators.filters import Slice
 from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.plans.dashboard import Dashboard
 from shelfcast.plans.trainer import ForecastTrainer
 from shelfcast.session import scratch_path, settle
 from shelfcast.sources import files
@@ -292,9 +293,9 @@ def best_category(spark, root):
 @query
 def filter_options(spark, root):
     star = SalesStar(spark, root)
-    people = star.customer_facts(["Region", "Segment"])
+    people = star.buyers(["Region", "Segment"])
     return (
-        summary.distinct_values(star.product_facts(["Category"]), "Category")
+        summary.distinct_values(star.sold_parts(["Category"]), "Category")
         .unionByName(summary.distinct_values(people, "Region"))
         .unionByName(summary.distinct_values(people, "Segment"))
         .orderBy("Filter", "Value")
@@ -623,6 +624,16 @@ def forecast_file(spark, root):
     return files.read_forecast(spark, path)
 
 
+@query
+def forecast_export(spark, root):
+    """The first 30 days as the dashboard exports them, read back."""
+    ahead = _baseline_bands(spark, root).select("Date", *fc.BAND_COLUMNS)
+    board = Dashboard(SalesStar(spark, root).lines(["Order Date"]), forecast=ahead)
+    path = scratch_path(spark, "export")
+    board.export_forecast(30, path)
+    return files.read_forecast(spark, path)
+
+
 @query
 def metrics_file(spark, root):
     """Write the metrics as a result file and read them back."""
@@ -664,6 +675,17 @@ def saved_model_metrics(spark, root):
     return metrics.evaluate(models.predict(loaded.models, test, SPEC))
 
 
+@query
+def saved_model_facts(spark, root):
+    """What a saved artifact says of its model, read back."""
+    path = scratch_path(spark, "artifact")
+    save_artifact(spark, trainer(spark, root, models.RIDGE).artifact(), path)
+    loaded = load_artifact(spark, path)
+    lags, windows = (",".join(map(str, x)) for x in (loaded.lags, loaded.windows))
+    row = (loaded.model_name, lags, windows, loaded.test_size, loaded.last_training_date)
+    return spark.createDataFrame([row], "Model string, Lags string, Windows string, Test_Size int, Last_Date string")
+
+
 def _metrics_of(name: str, spark: SparkSession, root: str) -> DataFrame:
     return metrics.evaluate(trainer(spark, root, name).predictions_of(name))
 

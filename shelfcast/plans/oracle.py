@@ -660,7 +660,6 @@ SELECT *, "MAE" = MIN("MAE") OVER () AS "Best_MAE", "RMSE" = MIN("RMSE") OVER ()
 FROM three""",
     ),
     "ridge_metrics": _with(*_FEATURES, _RIDGE, select=_RIDGE_METRICS, recursive=True),
-    "saved_model_metrics": _with(*_FEATURES, _RIDGE, select=_RIDGE_METRICS, recursive=True),
     "ridge_against_baseline": _with(
         *_FEATURES, _TEST, _RIDGE, select=f"{_BASELINE_METRICS}\nUNION ALL\n{_RIDGE_METRICS}", recursive=True
     ),
@@ -744,4 +743,14 @@ SELECT 'Forecast', "Date", "Forecast_Sales", "Lower_95", "Upper_95" FROM bands""
     "metrics_file": _with(*_FEATURES, _TEST, select=_BASELINE_METRICS),
 }
 
+# A loaded model predicts as the one that was saved.
+ORACLE["saved_model_metrics"] = ORACLE["ridge_against_baseline"]
+ORACLE["forecast_export"] = ORACLE["forecast_first_30_days"]
+ORACLE["saved_model_facts"] = _with(
+    _LINES,
+    select=f"""
+SELECT 'Ridge Regression' AS "Model", '{",".join(map(str, _LAG_DAYS))}' AS "Lags",
+  '{",".join(map(str, _WINDOW_DAYS))}' AS "Windows", CAST(90 AS INTEGER) AS "Test_Size",
+  strftime(MAX("Order Date"), '%Y-%m-%d') AS "Last_Date" FROM lines""",
+)
 ORACLE["sales_file_quoted"] = ORACLE["sales_file_summary"]

@@ -107,10 +107,10 @@ class ForecastTrainer:
             self._refits.update(models.fit(self.feat_df, [name], self.spec, self.settings, self.keys))
         return self._refits[name]
 
-    def _scorer(self, name: str) -> forecast.Scorer:
+    def _scorer(self, name: str) -> forecast.Scorer | PipelineModel:
         if name == BASELINE:
             return forecast.baseline_scorer(self.spec)
-        return forecast.scorer_of(self.refit(name), self.spark)
+        return forecast.scorer_of(self.refit(name))
 
     def generate_recursive_forecast(
         self, horizon_days: int = forecast.HORIZON, model: str | None = None

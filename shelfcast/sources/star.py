@@ -186,6 +186,15 @@ class SalesStar:
         facts = sum_measures(known, ["Order ID", *attributes]).withColumn("Orders", _known_order())
         return facts.join(self._orders(order_columns), "Order ID", "left") if order_columns else facts
 
+    def sold_parts(self, columns: Sequence[str]) -> DataFrame:
+        """The asked columns of parts that have a line."""
+        return self._parts(columns).join(self._items(["Product ID"]), "Product ID", "left_semi")
+
+    def buyers(self, columns: Sequence[str]) -> DataFrame:
+        """The asked columns of customers with an order that has a line."""
+        orders = self._orders(["Customer ID"]).join(self._items(["Order ID"]), "Order ID", "left_semi")
+        return self._customers(columns).join(orders, "Customer ID", "left_semi")
+
     def customer_facts(
         self, attributes: Sequence[str], period=None, chosen: Slice = ALL
     ) -> DataFrame:
