@@ -6,7 +6,7 @@ the next one's ``docs``. All but the last return the columns of documents; the l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import dart_minhash, decontaminate, mixture, quality, suffix_tree
@@ -16,10 +16,15 @@ from shelfcast.session import settle
 LEAST_QUALITY = 0.3
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a document as one, out of the way of the operators' own names."""
+    return F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return scored.where(F.col("score") >= LEAST_QUALITY).drop("score")
+    scored = quality.score(docs.select("doc_id", "text", whole(docs)), table(spark, sf_dir, "labels"), ["doc"])
+    return scored.where(F.col("score") >= LEAST_QUALITY).select("doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +34,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 35 words or more that occur elsewhere."""
-    kept = suffix_tree.drop_repeats(docs, docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = suffix_tree.drop_repeats(docs.select("text", whole(docs)), ["doc", "text"])
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[changed.get(n, F.col(f"doc.`{n}`")).alias(n) for n in docs.columns])
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     key = F.xxhash64("doc_id", "text")
     found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(*docs.columns)
+    return docs.select(key.alias("_key"), whole(docs)).join(bad, "_key", "left_anti").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

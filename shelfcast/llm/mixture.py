@@ -203,7 +203,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, all columns kept, with ``copies``: how often it takes each."""
-    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
+    """The documents that the mix takes, all columns kept, with ``copies``: how often it takes each.
+
+    A column of that name is replaced.
+    """
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns if n != "copies"]).alias("doc")
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of().alias("size"), whole)
     return mix(sizes).where("copies > 0").select("doc.*", "copies")

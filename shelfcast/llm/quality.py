@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shelfcast.llm.labelled import held_out, training_sample
 from shelfcast.llm.totals import SCHEMA, add_up, parts
@@ -262,16 +263,16 @@ def hash_of(doc_id: int) -> int:
 
 
 def score(docs: DataFrame, labels: DataFrame, columns: list[str], label: str = "quality") -> DataFrame:
-    """``columns`` of every document (with its text if asked for) and ``score``, the probability
-    of label 1.
+    """``columns`` of every document and ``score``, the probability of label 1. A column of that
+    name cannot be among them; put it into a struct.
 
     Only text goes into a score. Defined results: null and empty texts have the score of a document
-    without words; repeated rows get equal scores; extra columns are ignored.
+    without words; repeated rows get equal scores; other columns are ignored.
     """
     vectors, network = fit(docs, labels, label)
     chosen = docs.select(*dict.fromkeys([*columns, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name in columns)
-    return chosen.mapInArrow(lambda it: _score_rows(it, vectors, network, columns), f"{schema}, score double")
+    schema = StructType([*chosen.select(*columns).schema.fields, StructField("score", DoubleType())])
+    return chosen.mapInArrow(lambda it: _score_rows(it, vectors, network, columns), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -1,14 +1,17 @@
 """The pipeline, replayed stage by stage by brute force."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from shelfcast.llm import quality
 from shelfcast.session import settle
+from tests.llm.samples import documents, odd_rows, prose
 from tests.llm.test_mixture import shared_out
 from tests.llm.test_near_dedup import classes
 from tests.llm.test_repeats import covered_by_repeats
@@ -96,3 +99,20 @@ def test_sources_meet_their_targets(stages):
 
 def test_run_gives_the_last_stage(spark, root, stages):
     assert sorted(cp.run(spark, root).collect()) == sorted(stages[5])
+
+
+def test_stages_take_odd_rows_and_other_columns(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns with the operators' own names, no rows."""
+    rng = random.Random(3)
+    rows = odd_rows(rng) + [(100 + i, prose(rng, 60), f"s{i % 3}") for i in range(30)] + [(200, None, None)]
+    spark.createDataFrame([(100 + i, 1) for i in range(30)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "w1 w2 w3"), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (documents(spark, rows), documents(spark, [])):
+        docs = settle(docs.withColumns({n: F.lit("y") for n in ("_key", "doc", "score", "r1", "_size", "copies")}))
+        columns = docs.columns
+        for name, stage in cp.STAGES:
+            after = settle(stage(spark, docs, str(tmp_path)))
+            assert sorted(after.columns) == sorted(columns), name
+            extra = [n for n in columns if n not in ("text", "n_chars", "copies", "doc_id", "lang", "source")]
+            assert after.select(*extra).distinct().count() <= 1, name
+            docs = after
