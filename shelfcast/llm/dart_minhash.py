@@ -339,10 +339,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = texts.join(label, "text_row", "left").select("k1", "k2", F.coalesce("component", "text_row").alias("class"))
     placed = signed.select("row", "doc_id", "r1", "r2", "k1", "k2").join(classes, ["k1", "k2"], "left")
     placed = settle(placed.select("row", "doc_id", "r1", "r2", F.coalesce("class", "row").alias("class")))
-    heads = placed.groupBy("class").agg(
-        F.min("doc_id").alias("class_id"),
-        F.count("*").alias("class_size"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"),
+    # Written, so that the join below has a plain exchange on both sides and a large class can be split.
+    heads = settle(
+        placed.groupBy("class").agg(
+            F.min("doc_id").alias("class_id"),
+            F.count("*").alias("class_size"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head"),
+        )
     )
     return placed.join(heads, "class").select(
         "row", "doc_id", "r1", "r2", "class_id", "class_size", (F.col("row") == F.col("head.row")).alias("is_first")
@@ -355,8 +358,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     The document that stays has the smallest id of its class; of repeated rows one stays.
     """
     first = near_duplicates(docs, threshold).where("is_first").select("r1", "r2")
-    names = docs.columns
-    keys = {"_r1": F.xxhash64(F.col("doc_id").cast("long"), "text"), "_r2": F.xxhash64("text", F.col("doc_id").cast("long"))}
-    first = first.withColumnsRenamed({"r1": "_r1", "r2": "_r2"})
-    kept = docs.withColumns(keys).join(first, ["_r1", "_r2"], "left_semi")
-    return kept.dropDuplicates(["_r1", "_r2"]).select(*names)
+    doc_id = F.col("doc_id").cast("long")
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
+    keyed = docs.select(F.xxhash64(doc_id, "text").alias("r1"), F.xxhash64("text", doc_id).alias("r2"), whole)
+    return keyed.join(first, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select("doc.*")
