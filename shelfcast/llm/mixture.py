@@ -135,7 +135,7 @@ def _plan(rows: pa.Table, most_copies: int) -> pa.Table:
         {
             "source": rows.column("source"),
             "size": rows.column("size"),
-            "copies": pa.array([copies] * len(n), pa.int64()),
+            "copies": pa.array(np.where(size > 0, copies, 0), pa.int64()),
             "more": pa.array(more, pa.int64()),
         }
     )
