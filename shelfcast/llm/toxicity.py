@@ -21,10 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from shelfcast.llm.labelled import held_out, training_sample
 from shelfcast.llm.quality import hash_of, sigmoid
+from shelfcast.llm.totals import SCHEMA, add_up, parts
 from shelfcast.llm.words import BYTE_CODES, FOLDED, U64, Words, find_words, rolling, slices, texts_of
+from shelfcast.session import settle
 
 WINDOW, STRIDE = 32, 24
 WORD_ROWS = CHAR_ROWS = 1 << 15
@@ -35,6 +38,10 @@ GLANCE = 8
 #: Labelled documents of each label that the network is trained on, at most.
 PER_LABEL = 4000
 SLICE = 2 << 20
+SAMPLE_FILES = 8
+# Counts of all rows and of the documents, in parts.
+PART_COUNTS = 1 << 12
+TABLE = WORD_ROWS + CHAR_ROWS + PART_COUNTS
 
 
 # ---- inputs ----------------------------------------------------------------------------
@@ -207,8 +214,11 @@ def _embedding_gradients(v: Vocabulary, inputs: np.ndarray) -> dict:
     return {"word": word, "char": char}
 
 
-def train(network: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 5, epochs: int = 8, batch: int = 128) -> Network:
-    """Fit by Adam; every text is one window."""
+def train(
+    network: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 5, epochs: int = 8, batch: int = 128, least_steps: int = 400
+) -> Network:
+    """Fit by Adam; every text is one window. A small table is gone through more often."""
+    epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
     rng = np.random.default_rng(seed)
     weight = weight / weight.mean()
     p = network.p
@@ -239,7 +249,7 @@ def train(network: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarra
 
 def _odds_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many documents of each label each row of the tables occurs."""
-    counts = np.zeros((2, WORD_ROWS + CHAR_ROWS + 1), np.int64)
+    counts = np.zeros((2, TABLE), np.int64)
     for part in slices(batches, limit=SLICE):
         for text, label in zip(texts_of(part), part.column("label").to_pylist()):
             words = find_words([text], FOLDED)
@@ -247,11 +257,12 @@ def _odds_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v = vocabulary(words)
                 counts[label, np.unique(v.word_row)] += 1
                 counts[label, WORD_ROWS + np.unique(v.char_row)] += 1
-            counts[label, -1] += 1
-    yield pa.RecordBatch.from_pydict({"counts": [counts.tobytes()]})
+            counts[label, WORD_ROWS + CHAR_ROWS] += 1
+    yield parts(counts, PART_COUNTS)
 
 
 def _log_odds(counts: np.ndarray) -> np.ndarray:
+    counts = counts[:, : WORD_ROWS + CHAR_ROWS + 1]
     toxic, other = counts[1] + 0.5, counts[0] + 0.5
     odds = np.log(toxic[:-1] / (counts[1, -1] + 1)) - np.log(other[:-1] / (counts[0, -1] + 1))
     # Rows seen in few documents say little.
@@ -304,12 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     """
     sample = training_sample(labels, label, per_label)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    # At most 2 * per_label rows from here on.
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(sample, "doc_id").select("doc_id", "text", "label", "weight")
-    shape = (2, WORD_ROWS + CHAR_ROWS + 1)
-    counts = np.zeros(shape, np.int64)
-    for row in rows.select("text", "label").mapInArrow(_odds_rows, "counts binary").toLocalIterator():
-        counts += np.frombuffer(row["counts"], np.int64).reshape(shape)
+    # At most 2 * per_label rows, read three times.
+    rows = settle(rows.repartition(SAMPLE_FILES))
+    counts = add_up(rows.select("text", "label").mapInArrow(_odds_rows, SCHEMA), (2, TABLE), PART_COUNTS)
     odds = _log_odds(counts)
     network = Network.fresh(odds[:WORD_ROWS], odds[WORD_ROWS:])
     found = rows.mapInArrow(lambda it: _window_rows(it, odds), "doc_id long, label int, weight double, text binary").collect()
@@ -382,15 +391,16 @@ def _score_rows(batches: Iterator[pa.RecordBatch], network: Network, names: list
 
 
 def score(docs: DataFrame, labels: DataFrame, columns: list[str], label: str = "toxic") -> DataFrame:
-    """``columns`` of every document and ``score``, the probability that it is toxic.
+    """``columns`` of every document and ``score``, the probability that it is toxic. A column of
+    that name cannot be among them; put it into a struct.
 
     Only text goes into a score. Defined results: a null text, an empty one and one without words
-    score 0; repeated rows get equal scores; extra columns are ignored.
+    score 0; repeated rows get equal scores; other columns are ignored.
     """
     network = fit(docs, labels, label)
     chosen = docs.select(*dict.fromkeys([*columns, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name in columns)
-    return chosen.mapInArrow(lambda it: _score_rows(it, network, columns), f"{schema}, score double")
+    schema = StructType([*chosen.select(*columns).schema.fields, StructField("score", DoubleType())])
+    return chosen.mapInArrow(lambda it: _score_rows(it, network, columns), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
