@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfcast.llm.words import BYTE_CODES, PIECE, SPACED, U64, covered, find_words, mix, powers, rolling, slices, texts_of
