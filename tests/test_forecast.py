@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.operators import forecast as fc
-from shelfcast.operators import metrics, models
+from shelfcast.operators import models
 from shelfcast.operators.features import FeatureSpec, build_features
 from shelfcast.operators.models import ModelSettings
 
