@@ -22,8 +22,6 @@ from shelfcast.llm.words import SPACED, U64, Words, covered, find_words, mix, ro
 
 BUCKETS = 1 << 16
 PART = 1 << 11
-#: Trusted documents that the target multinomial is counted on, at most.
-TRUSTED = 20_000
 # Share of the corpus multinomial mixed into the target: the ratio of a bucket without trusted
 # counts is about this.
 MIXED_IN = 0.02
@@ -92,8 +90,10 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(trusted share / corpus share) of each bucket. ``trusted`` has at most TRUSTED ids."""
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted"))), "doc_id", "left")
+    """log(trusted share / corpus share) of each bucket. ``trusted`` has distinct ids, any number of them."""
+    # Both sides grow with the input: sorted and merged at every size, never broadcast.
+    good = trusted.select("doc_id", F.lit(True).alias("trusted")).hint("merge")
+    flagged = docs.select("doc_id", "text").join(good, "doc_id", "left")
     rows = flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(_bucket_counts, SCHEMA)
     counts = add_up(rows, (2, BUCKETS), PART).astype(np.float64)
     if not counts[1].any():
@@ -103,10 +103,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     return np.log(target / corpus)
 
 
-def trusted_documents(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """Ids of documents labelled as good, at most ``limit``, taken by a hash of the id."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as good, each once."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 # ---- judging ---------------------------------------------------------------------------

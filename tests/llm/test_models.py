@@ -182,6 +182,21 @@ def test_likelihood_ratios(spark):
     assert all(r.base_failed and not r.kept and r.n_words == 0 for r in found if r.doc_id in (1, 2, 3))
 
 
+def test_every_trusted_document_counts(spark):
+    """More good labels than any fixed sample: each has a word of its own, and one label comes twice."""
+    n, good = 30_000, 25_000
+    texts = [f"own{i} shared" for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < good)) for i in range(n)] + [(7, 1), (None, 1)], "doc_id long, quality int")
+    trusted = quality_rules.trusted_documents(marks)
+    assert trusted.count() == good
+    text, bucket = quality_rules.buckets(find_words([t.encode() for t in texts], SPACED))
+    corpus, target = (np.bincount(bucket[text < m], minlength=quality_rules.BUCKETS) for m in (n, good))
+    corpus = (corpus + 1) / (corpus + 1).sum()
+    target = (1 - quality_rules.MIXED_IN) * target / target.sum() + quality_rules.MIXED_IN * corpus
+    assert np.allclose(quality_rules.log_ratios(docs, trusted), np.log(target / corpus), atol=1e-12)
+
+
 def test_base_counts(spark):
     text = "a b c a b c\n\n x#|é \na b c a b c\n x#|é\n x#|é \n漢字<>"
     found = quality_rules.judged(documents(spark, [(1, text), (2, "la " * 60), (3, "la la")]), labels(spark, [])).orderBy("doc_id").collect()
