@@ -4,9 +4,10 @@
 2. Every source gets a share of the total by its weight, at most ``most_copies`` times what it has;
    what the stopped sources leave is shared again by weight.
 3. A source takes whole copies of itself while they fit. For the rest of its budget, a number of
-   documents of each size is chosen: the same share of every size, rounded down, and then, for the
-   words still missing, a bounded knapsack over the sizes left (dynamic programming on a bit set:
-   every sum that can be reached), which meets the budget exactly if any choice does.
+   documents of each size is chosen: the same share of every size, rounded down or up by the largest
+   remainder, and then, for the few words still missing, a bounded knapsack over the sizes left
+   (dynamic programming on a bit set: every sum that can be reached). If the budget is not met, fewer
+   sizes are rounded up and the knapsack gets more room.
 4. Which documents of a size are taken is decided by a seeded hash of their ids.
 
 The knapsack works on counts by size, not on documents.
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.llm.words import mix as mix_bits
 from shelfcast.session import settle
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 17
-# The knapsack looks this far: the words still missing beyond it are taken in whole documents,
-# largest first.
+# The knapsack looks this far. Words missing beyond it after the rounding, as only documents of more
+# words than that leave them, are taken in whole documents, largest first.
 REACH = 1 << 20
 # The documents of one size are ranked in parts, by so many leading bits of their hash.
 SHARE_BITS = 12
@@ -75,24 +77,47 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies:
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each size to take so that the sum comes nearest to the budget without passing it.
 
-    Sizes are positive and distinct. The same share of every size is taken first; the bounded
-    knapsack then fits what is missing.
+    Sizes are positive and distinct. The same share of every size is taken first, rounded; the
+    bounded knapsack then fits what is missing. Its room starts at the largest size and grows to
+    REACH until the budget is met.
     """
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    missing = budget - int((sizes * taken).sum())
-    # A knapsack over what is left. Beyond its reach, whole documents from the largest on.
+    shares = [divmod(int(c) * budget, total) for c in counts.tolist()]
+    down = np.array([d for d, _ in shares], np.int64)
+    # The largest remainder first, equal ones in no order of size.
+    ranks = mix_bits(sizes.astype(np.uint64)).tolist()
+    order = [i for i in sorted(range(len(shares)), key=lambda i: (-shares[i][1], ranks[i])) if shares[i][1]]
+    room = min(int(sizes.max()), REACH)
+    while True:
+        taken, missing = _rounded_up(sizes, counts, down, order, budget, room)
+        taken = taken + _knapsack(sizes, counts - taken, missing)
+        if room == REACH or int((sizes * taken).sum()) == budget:
+            return taken
+        room = min(8 * room, REACH)
+
+
+def _rounded_up(
+    sizes: np.ndarray, counts: np.ndarray, down: np.ndarray, order: list[int], budget: int, room: int
+) -> tuple[np.ndarray, int]:
+    """One document more of each size in turn until at most ``room`` words are missing; those are returned too."""
+    taken, missing = down.copy(), budget - int((sizes * down).sum())
+    for i in order:
+        if missing <= room:
+            break
+        if sizes[i] <= missing:
+            taken[i] += 1
+            missing -= int(sizes[i])
     for i in np.argsort(-sizes):
         if missing <= REACH:
             break
         more = min(int(counts[i] - taken[i]), (missing - REACH) // int(sizes[i]))
         taken[i] += more
         missing -= more * int(sizes[i])
-    return taken + _knapsack(sizes, counts - taken, missing)
+    return taken, missing
 
 
 def _knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

@@ -65,6 +65,18 @@ def test_large_budgets_keep_to_the_reach(monkeypatch):
     assert int((sizes * chosen).sum()) == 1500 and (chosen <= counts).all()
 
 
+@pytest.mark.parametrize("count", [2, 7])
+def test_every_size_gets_its_share(count):
+    """Many distinct sizes: the rounded-off words are millions, and must not go to the longest documents."""
+    sizes = np.arange(1, 6001)
+    counts = np.full(len(sizes), count)
+    budget = int((sizes * counts).sum()) * 3 // 5
+    chosen = mixture.fit_counts(sizes, counts, budget)
+    assert int((sizes * chosen).sum()) == budget
+    for part in np.array_split(np.arange(len(sizes)), 10):
+        assert abs(chosen[part].sum() / counts[part].sum() - 0.6) < 0.05
+
+
 CASES = [
     {"a": 100, "b": 100, "c": 100},
     {"a": 10, "b": 1000, "c": 1, "d": 50, None: 300},
