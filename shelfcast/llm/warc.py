@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm.words import slices
 from shelfcast.llm.zip_reader import members, stored_range
-from shelfcast.session import scratch_path
+from shelfcast.session import scratch_path, settle
 
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Compressed records in a package, and in a range read at once, in bytes.
@@ -135,6 +135,18 @@ def _write_packages(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[
         yield package.close()
 
 
+def _typed(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """page_id, url, html and refers_to, the page that a revisit names."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    # Payloads of several pages only. The table is settled, so that the join has plain exchanges on
+    # both sides and the texts of a payload on very many pages can be split over tasks.
+    ids = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    first = settle(ids.where("first < last").select("digest", "first"))
+    revisits = (F.octet_length("html") >= least_bytes) & (F.col("page_id") > F.col("first"))
+    return rows.join(first, "digest", "left").select("page_id", "url", "html", F.when(revisits, F.col("first")).alias("refers_to"))
+
+
 def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write a record for each page into packages under ``folder``; returns (path, records).
 
@@ -143,13 +155,8 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     response (so are rows that repeat that id), and others revisit it. Pages without an id cannot be
     named and are responses.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    revisits = (F.octet_length("html") >= least_bytes) & (F.col("page_id") > F.col("first"))
-    typed = rows.join(first, "digest").select("page_id", "url", "html", F.when(revisits, F.col("first")).alias("refers_to"))
     listed = f"{folder}/packages.parquet"
-    typed.mapInArrow(lambda it: _write_packages(it, f"{folder}/packages"), "path string, records long").write.parquet(listed)
+    _typed(pages, least_bytes).mapInArrow(lambda it: _write_packages(it, f"{folder}/packages"), "path string, records long").write.parquet(listed)
     return pages.sparkSession.read.schema("path string, records long").parquet(listed)
 
 

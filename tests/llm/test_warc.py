@@ -147,6 +147,30 @@ def test_payloads_and_small_packages(spark, monkeypatch):
         assert text == texts[r.page_id]
 
 
+def test_pages_of_one_payload_are_split_over_tasks(spark):
+    """A third of the pages share a long payload: no task writes them all."""
+    rng = random.Random(4)
+    shared, hot = "".join(rng.choice("abcdefgh") for _ in range(20_000)), 400
+    rows = [(i, "http://h/", shared if i % 3 == 0 else f"page {i // 2}" + "x" * (i % 50)) for i in range(3 * hot)]
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        listed = warc.write_packages(pages(spark, rows), scratch_path(spark, "warc"))
+        records = [r["records"] for r in listed.collect()]
+        found = [(r["page_id"], r["refers_to"]) for r in warc.read_packages(spark, listed, ["page_id", "refers_to"]).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(records) == len(rows) and max(records) < hot
+    assert sorted(found, key=repr) == sorted(((p, r) for p, _, _, _, r in expected(rows, 0)), key=repr)
+
+
 def test_a_changed_payload_is_noticed():
     data = warc.record(1, "http://x/", b"payload", None)
     assert warc.parse(data)["payload"] == b"payload"
