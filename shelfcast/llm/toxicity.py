@@ -29,7 +29,8 @@ from shelfcast.llm.totals import SCHEMA, add_up, parts
 from shelfcast.llm.words import BYTE_CODES, FOLDED, U64, Words, find_words, rolling, slices, texts_of
 from shelfcast.session import settle
 
-WINDOW, STRIDE = 32, 24
+# Half a window: a passage of up to WINDOW - STRIDE + 1 words is whole in some window.
+WINDOW, STRIDE = 32, 16
 WORD_ROWS = CHAR_ROWS = 1 << 15
 GRAMS = (3, 4, 5)
 PART = 4  # entries of a word vector, and of an n-gram vector

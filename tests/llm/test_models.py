@@ -159,6 +159,16 @@ def test_windows_cover_every_word():
         assert sorted(set(own[own < 10**6].tolist())) == list(range(words.first[t], words.first[t + 1]))
 
 
+def test_passages_are_whole_in_some_window():
+    """Up to 17 words at every place of a text, the ends included."""
+    n = 150
+    words = find_words([b"w " * n], FOLDED)
+    _, tokens = toxicity.window_table(words, 10**6, np.arange(n))
+    own = [set(row.tolist()) for row in tokens]
+    for size in (1, 10, 17):
+        assert all(any(set(range(a, a + size)) <= w for w in own) for a in range(n - size + 1))
+
+
 # ---- rules -----------------------------------------------------------------------------
 
 
