@@ -15,6 +15,7 @@ from shelfcast.llm import (
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 from shelfcast.llm.tables import ORACLE, QUERIES, query, table
 
@@ -145,3 +146,8 @@ FROM x
 def op8_source_mixing(spark, root):
     mix = mixture.mixed(table(spark, root, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op11_whitening(spark, root):
+    return whitening.components(table(spark, root, "embeddings"))
