@@ -8,6 +8,7 @@ from shelfcast.llm import (
     dart_minhash,
     decontaminate,
     deep_shallow,
+    merkle,
     mixture,
     quality,
     quality_rules,
@@ -151,3 +152,54 @@ def op8_source_mixing(spark, root):
 @query
 def op11_whitening(spark, root):
     return whitening.components(table(spark, root, "embeddings"))
+
+
+@query
+def op12_merkle(spark, root):
+    return merkle.verified(table(spark, root, "documents"))
+
+
+ORACLE["op12_merkle"] = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, *, doc_id::VARCHAR AS id FROM documents),
+crc(r, s, id, c) AS (
+  SELECT r, 0, id, 4294967295::BIGINT FROM f WHERE id IS NOT NULL
+  UNION ALL
+  SELECT r, s + 1, id, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT r, s, id, CASE WHEN s % 8 = 0 THEN xor(c, ascii(id[s // 8 + 1])) ELSE c END AS x FROM crc WHERE s < 8 * len(id))),
+even AS (SELECT r FROM crc WHERE s = 8 * len(id) AND c & 1 = 1),
+pre AS (
+  SELECT f.r, doc_id, source, concat(CASE WHEN id IS NULL THEN '-' ELSE strlen(id) || ':' || id END,
+    CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+    CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+    text, CASE WHEN even.r IS NULL THEN text ELSE replace(text, chr(10), '') END AS changed
+  FROM f LEFT JOIN even USING (r)),
+leaves AS MATERIALIZED (
+  SELECT r, doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    sha256(head || CASE WHEN changed IS NULL THEN '-' ELSE strlen(changed) || ':' || changed END) AS seen FROM pre),
+up(source, lvl, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY doc_id NULLS FIRST, leaf) FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, lvl + 1, [sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')) FOR i IN range((len(nodes) + 2) // 3)]
+  FROM up WHERE len(nodes) > 1),
+sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p FROM up WHERE len(nodes) = 1),
+top(lvl, nodes) AS (
+  SELECT 0, list(subroot ORDER BY p) FROM sub
+  UNION ALL
+  SELECT lvl + 1, [sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')) FOR i IN range((len(nodes) + 2) // 3)]
+  FROM top WHERE len(nodes) > 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+steps AS (
+  SELECT r, lvl, nodes, p // (3 ** lvl)::BIGINT AS own FROM placed JOIN up ON placed.source IS NOT DISTINCT FROM up.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT r, 1000 + lvl, nodes, sub.p // (3 ** lvl)::BIGINT FROM placed JOIN sub ON placed.source IS NOT DISTINCT FROM sub.source, top WHERE len(nodes) > 1),
+around AS (
+  SELECT r, lvl, array_to_string(nodes[own - own % 3 + 1:own], '') AS l, array_to_string(nodes[own + 2:own - own % 3 + 3], '') AS g FROM steps),
+paths AS (SELECT r, list(l || '*' || g ORDER BY lvl) AS path, string_agg(l || g, '' ORDER BY lvl) AS proof FROM around GROUP BY r),
+done AS (
+  SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_concat([seen], coalesce(path, [])), lambda d, s: sha256(replace(s, '*', d))) AS folded_root
+  FROM placed JOIN sub ON placed.source IS NOT DISTINCT FROM sub.source LEFT JOIN paths USING (r))
+SELECT *, folded_root = root AS verified FROM done
+"""
