@@ -8,6 +8,7 @@ from shelfcast.llm import (
     dart_minhash,
     decontaminate,
     deep_shallow,
+    language,
     merkle,
     mixture,
     quality,
@@ -203,3 +204,8 @@ done AS (
   FROM placed JOIN sub ON placed.source IS NOT DISTINCT FROM sub.source LEFT JOIN paths USING (r))
 SELECT *, folded_root = root AS verified FROM done
 """
+
+
+@query
+def op13_language_id(spark, root):
+    return language.judged(table(spark, root, "documents"))
