@@ -1,10 +1,11 @@
 """Toxicity of documents: a bidirectional gated recurrent network over overlapping windows.
 
-A word enters the network as the vector of its hash and the mean vector of its character n-grams
-(bytes of UTF-8, with marks at both ends). A gated recurrent network reads each window of words
+A word enters the network as the vector of its hash, the mean vector of its character n-grams
+(bytes of UTF-8, with marks at both ends) and that of its beginnings. A gated recurrent network reads each window of words
 forwards and another backwards; attention pools their states; a logistic unit gives the window's
 logit. A document has the highest logit of its windows, which overlap and cover it whole, made a
-probability by a line fitted to the documents of the sample.
+probability by a line. The line is fitted to a fifth of the sample, scored by a network that was
+trained on the other four; the network that scores documents is then trained on all of it.
 
 Labels are given for documents, not windows. So the odds of words and n-grams between toxic and
 other documents are counted first; they start the first entry of each vector, and they choose the
@@ -31,9 +32,15 @@ from shelfcast.session import settle
 
 # Half a window: a passage of up to WINDOW - STRIDE + 1 words is whole in some window.
 WINDOW, STRIDE = 32, 16
-WORD_ROWS = CHAR_ROWS = 1 << 15
+# What a word is made of, and the rows of each table of vectors.
+PARTS = ("word", "char", "stem")
+ROWS = 1 << 15
 GRAMS = (3, 4, 5)
-PART = 4  # entries of a word vector, and of an n-gram vector
+STEMS = (3, 5, 6, 7, 8, 9)  # lengths of beginnings, with the mark
+PART = 4  # entries of a vector
+WITHOUT_WORD = 0.3
+#: One in so many documents of the sample is kept for the calibration.
+CALIBRATION = 5
 STATE = 8
 GLANCE = 8
 #: Labelled documents of each label that the network is trained on, at most.
@@ -42,7 +49,7 @@ SLICE = 2 << 20
 SAMPLE_FILES = 8
 # Counts of all rows and of the documents, in parts.
 PART_COUNTS = 1 << 12
-TABLE = WORD_ROWS + CHAR_ROWS + PART_COUNTS
+TABLE = len(PARTS) * ROWS + PART_COUNTS
 
 
 # ---- inputs ----------------------------------------------------------------------------
@@ -50,15 +57,18 @@ TABLE = WORD_ROWS + CHAR_ROWS + PART_COUNTS
 
 @dataclass
 class Vocabulary:
-    """The distinct words of some texts, and which one each word is."""
+    """The distinct words of some texts, and which one each word is.
 
-    word_row: np.ndarray
-    char_row: np.ndarray  # n-grams of all distinct words, one after the other
-    char_first: np.ndarray
+    ``rows`` has the rows of all distinct words in the table of each part, one word after the other,
+    ``first`` where those of each word begin (and the end of all).
+    """
+
+    rows: dict[str, np.ndarray]
+    first: dict[str, np.ndarray]
     token: np.ndarray
 
     def __len__(self) -> int:
-        return len(self.word_row)
+        return len(self.rows["word"])
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -77,15 +87,18 @@ def vocabulary(words: Words) -> Vocabulary:
     codes = BYTE_CODES[buffer]
     owner = np.repeat(np.arange(len(size)), size + 2)
     left = np.repeat(begin + size + 2, size + 2) - np.arange(len(buffer))
-    owners, rows = [], []
-    for n in GRAMS:
-        fits = np.flatnonzero(left >= n)
-        owners.append(owner[fits])
-        rows.append((rolling(codes, n)[fits] ^ U64(n)) % U64(CHAR_ROWS))
-    owners, rows = np.concatenate(owners), np.concatenate(rows).astype(np.int64)
-    order = np.argsort(owners, kind="stable")
-    char_first = np.searchsorted(owners[order], np.arange(len(size) + 1))
-    return Vocabulary((hashes % U64(WORD_ROWS)).astype(np.int64), rows[order], char_first, token.astype(np.int64))
+    rows, firsts = {"word": (hashes % U64(ROWS)).astype(np.int64)}, {"word": np.arange(len(size) + 1)}
+    for part, lengths in (("char", GRAMS), ("stem", STEMS)):
+        owners, found = [], []
+        for n in lengths:
+            # The marks make every word three bytes long at least.
+            fits = np.flatnonzero(left >= n) if part == "char" else begin[size + 2 >= n]
+            owners.append(owner[fits])
+            found.append((rolling(codes, n)[fits] ^ U64(n)) % U64(ROWS))
+        owners, found = np.concatenate(owners), np.concatenate(found).astype(np.int64)
+        order = np.argsort(owners, kind="stable")
+        rows[part], firsts[part] = found[order], np.searchsorted(owners[order], np.arange(len(size) + 1))
+    return Vocabulary(rows, firsts, token.astype(np.int64))
 
 
 def window_table(words: Words, pad: int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +113,10 @@ def window_table(words: Words, pad: int, token: np.ndarray) -> tuple[np.ndarray,
     return text, np.where(inside, token[at], pad) if len(text) else np.zeros((0, WINDOW), np.int64)
 
 
-def word_means(table: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """The mean n-gram vector of each distinct word (the marks make at least one n-gram each)."""
-    sizes = np.diff(v.char_first)
-    return np.add.reduceat(table[v.char_row], v.char_first[:-1], axis=0) / sizes.reshape(-1, *[1] * (table.ndim - 1))
+def means(table: np.ndarray, v: Vocabulary, part: str) -> np.ndarray:
+    """The mean vector of each distinct word's rows in the table of a part (it has one at least)."""
+    sizes = np.diff(v.first[part])
+    return np.add.reduceat(table[v.rows[part]], v.first[part][:-1], axis=0) / sizes.reshape(-1, *[1] * (table.ndim - 1))
 
 
 # ---- the network -----------------------------------------------------------------------
@@ -116,13 +129,15 @@ class Network:
         self.p = p
 
     @classmethod
-    def fresh(cls, word_odds: np.ndarray, char_odds: np.ndarray, seed: int = 11) -> Network:
+    def fresh(cls, odds: np.ndarray, seed: int = 11) -> Network:
+        """Before training: the odds of each part's rows, one part after the other, and noise."""
         rng = np.random.default_rng(seed)
         near = lambda *shape: (rng.normal(0, shape[0] ** -0.5, shape)).astype(np.float32)
-        p = {"word": 0.05 * rng.normal(size=(WORD_ROWS, PART)).astype(np.float32), "char": 0.05 * rng.normal(size=(CHAR_ROWS, PART)).astype(np.float32)}
-        p["word"][:, 0], p["char"][:, 0] = word_odds, char_odds
+        p = {part: 0.05 * rng.normal(size=(ROWS, PART)).astype(np.float32) for part in PARTS}
+        for k, part in enumerate(PARTS):
+            p[part][:, 0] = odds[k * ROWS : (k + 1) * ROWS]
         for way in ("f", "b"):
-            p |= {f"w{way}": near(2 * PART, 3 * STATE), f"u{way}": near(STATE, 3 * STATE), f"d{way}": np.zeros(3 * STATE, np.float32)}
+            p |= {f"w{way}": near(len(PARTS) * PART, 3 * STATE), f"u{way}": near(STATE, 3 * STATE), f"d{way}": np.zeros(3 * STATE, np.float32)}
         p |= {"wa": near(2 * STATE, GLANCE), "da": np.zeros(GLANCE, np.float32), "va": near(GLANCE, 1)[:, 0]}
         p |= {"wo": near(2 * STATE, 1)[:, 0], "do": np.zeros(1, np.float32), "calibration": np.array([1.0, 0.0])}
         return cls(p)
@@ -134,7 +149,7 @@ class Network:
 
     def inputs(self, v: Vocabulary) -> np.ndarray:
         """The input vector of each distinct word."""
-        return np.concatenate([self.p["word"][v.word_row], word_means(self.p["char"], v)], axis=1)
+        return np.concatenate([means(self.p[part], v, part) for part in PARTS], axis=1)
 
     def _read(self, projected: np.ndarray, tokens: np.ndarray, way: str, trace: list | None) -> np.ndarray:
         """States (step, window, entry) of one direction. ``projected`` has a row for each distinct word."""
@@ -206,19 +221,22 @@ class Network:
 
 
 def _embedding_gradients(v: Vocabulary, inputs: np.ndarray) -> dict:
-    word, char = np.zeros((WORD_ROWS, PART), np.float32), np.zeros((CHAR_ROWS, PART), np.float32)
-    sizes = np.diff(v.char_first)
-    share = np.repeat(inputs[:, PART:] / sizes[:, None], sizes, axis=0)
-    for e in range(PART):
-        word[:, e] = np.bincount(v.word_row, inputs[:, e], WORD_ROWS)
-        char[:, e] = np.bincount(v.char_row, share[:, e], CHAR_ROWS)
-    return {"word": word, "char": char}
+    out = {part: np.zeros((ROWS, PART), np.float32) for part in PARTS}
+    for k, part in enumerate(PARTS):
+        sizes = np.diff(v.first[part])
+        share = np.repeat(inputs[:, k * PART : (k + 1) * PART] / sizes[:, None], sizes, axis=0)
+        for e in range(PART):
+            out[part][:, e] = np.bincount(v.rows[part], share[:, e], ROWS)
+    return out
 
 
 def train(
-    network: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 5, epochs: int = 8, batch: int = 128, least_steps: int = 400
+    network: Network, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 5, epochs: int = 6, batch: int = 128, least_steps: int = 150
 ) -> Network:
-    """Fit by Adam; every text is one window. A small table is gone through more often."""
+    """Fit by Adam; every text is one window. A small table is gone through more often.
+
+    In each step some words lack the vector of their hash, so that what they are made of has to tell.
+    """
     epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
     rng = np.random.default_rng(seed)
     weight = weight / weight.mean()
@@ -233,10 +251,13 @@ def train(
             v = vocabulary(words)
             _, tokens = window_table(words, len(v), v.token)
             traces: dict = {}
-            z = network.forward(network.inputs(v), tokens, traces)
+            x = network.inputs(v)
+            there = np.ones_like(x)
+            there[:, :PART] = rng.random((len(x), 1)) >= WITHOUT_WORD
+            z = network.forward(x * there, tokens, traces)
             error = (weight[i] * (sigmoid(z) - y[i]) / len(i)).astype(np.float32)
             g, inputs = network.backward(tokens, error, traces)
-            g |= _embedding_gradients(v, inputs)
+            g |= _embedding_gradients(v, inputs * there)
             step += 1
             for k, a in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * a
@@ -256,14 +277,14 @@ def _odds_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = find_words([text], FOLDED)
             if len(words.hashes):
                 v = vocabulary(words)
-                counts[label, np.unique(v.word_row)] += 1
-                counts[label, WORD_ROWS + np.unique(v.char_row)] += 1
-            counts[label, WORD_ROWS + CHAR_ROWS] += 1
+                for k, part in enumerate(PARTS):
+                    counts[label, k * ROWS + np.unique(v.rows[part])] += 1
+            counts[label, len(PARTS) * ROWS] += 1
     yield parts(counts, PART_COUNTS)
 
 
 def _log_odds(counts: np.ndarray) -> np.ndarray:
-    counts = counts[:, : WORD_ROWS + CHAR_ROWS + 1]
+    counts = counts[:, : len(PARTS) * ROWS + 1]
     toxic, other = counts[1] + 0.5, counts[0] + 0.5
     odds = np.log(toxic[:-1] / (counts[1, -1] + 1)) - np.log(other[:-1] / (counts[0, -1] + 1))
     # Rows seen in few documents say little.
@@ -271,7 +292,7 @@ def _log_odds(counts: np.ndarray) -> np.ndarray:
 
 
 def _suspicion(v: Vocabulary, odds: np.ndarray) -> np.ndarray:
-    return np.maximum(odds[:WORD_ROWS][v.word_row], 0) + np.maximum(word_means(odds[WORD_ROWS:], v), 0)
+    return sum(np.maximum(means(odds[k * ROWS : (k + 1) * ROWS], v, part), 0) for k, part in enumerate(PARTS))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -317,11 +338,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     sample = training_sample(labels, label, per_label)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(sample, "doc_id").select("doc_id", "text", "label", "weight")
-    # At most 2 * per_label rows, read three times.
-    rows = settle(rows.repartition(SAMPLE_FILES))
+    # At most 2 * per_label rows, read a few times.
+    rows = settle(rows.repartition(SAMPLE_FILES).withColumn("kept_out", F.pmod(F.xxhash64(F.lit("line"), "doc_id"), F.lit(CALIBRATION)) == 0))
+    draft = _trained(rows.where(~F.col("kept_out")))
+    network = _trained(rows)
+    scored = rows.where("kept_out").mapInArrow(lambda it: _logit_rows(it, draft), "doc_id long, label int, weight double, logit double").collect()
+    scored = sorted((r for r in scored if np.isfinite(r["logit"])), key=lambda r: hash_of(r["doc_id"]))
+    if scored and np.any(draft.p["wo"]):
+        z, y, weight = (np.array([float(r[c]) for r in scored]) for c in ("logit", "label", "weight"))
+        network.p["calibration"] = fit_line(z, y, weight)
+    return network
+
+
+def _trained(rows: DataFrame) -> Network:
+    """The network trained on the most telling windows of (doc_id, text, label, weight)."""
     counts = add_up(rows.select("text", "label").mapInArrow(_odds_rows, SCHEMA), (2, TABLE), PART_COUNTS)
     odds = _log_odds(counts)
-    network = Network.fresh(odds[:WORD_ROWS], odds[WORD_ROWS:])
+    network = Network.fresh(odds)
     found = rows.mapInArrow(lambda it: _window_rows(it, odds), "doc_id long, label int, weight double, text binary").collect()
     found = sorted(found, key=lambda r: (hash_of(r["doc_id"]), bytes(r["text"])))
     if not found:
@@ -330,12 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     y = np.array([r["label"] for r in found], np.float32)
     # Both labels weigh the same in training: the windows were chosen, not drawn.
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    train(network, [bytes(r["text"]) for r in found], y, weight)
-    scored = rows.mapInArrow(lambda it: _logit_rows(it, network), "doc_id long, label int, weight double, logit double").collect()
-    scored = sorted((r for r in scored if np.isfinite(r["logit"])), key=lambda r: hash_of(r["doc_id"]))
-    z, y, weight = (np.array([float(r[c]) for r in scored]) for c in ("logit", "label", "weight"))
-    network.p["calibration"] = fit_line(z, y, weight)
-    return network
+    return train(network, [bytes(r["text"]) for r in found], y, weight)
 
 
 def fit_line(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:

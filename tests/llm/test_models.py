@@ -86,6 +86,15 @@ def test_toxic_words_are_found_in_long_documents(spark):
     assert len(clean) > 40 and np.mean(clean) <= 0.1
 
 
+def test_toxic_documents_of_the_held_out_fold_are_found(spark):
+    root = "/root/testdata/sf0.1"
+    found = QUERIES["op3_toxicity"](spark, root).where("held_out")
+    known = found.join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id").collect()
+    toxic, other = ([r.predicted for r in known if r.toxic == value] for value in (1, 0))
+    assert len(toxic) > 90 and np.mean(toxic) >= 0.9
+    assert len(other) > 700 and np.mean(other) <= 0.04
+
+
 def test_sample_is_bounded_and_weighted(spark):
     marks = labels(spark, [(i, int(i % 3 > 0), 0) for i in range(300)] + [(None, 1, 1), (7, 0, 0), (9, None, 0), (10, 2, 0)])
     rows = labelled.training_sample(marks, "quality", 40).collect()
@@ -123,8 +132,8 @@ def test_temperature_softens_overconfident_logits():
 
 def test_recurrent_gradients_against_differences():
     rng = np.random.default_rng(1)
-    odds = rng.normal(0, 0.3, toxicity.WORD_ROWS).astype(np.float32)
-    network = toxicity.Network.fresh(odds, odds[::-1].copy())
+    odds = rng.normal(0, 0.3, len(toxicity.PARTS) * toxicity.ROWS).astype(np.float32)
+    network = toxicity.Network.fresh(odds)
     network.p = {k: a.astype(np.float64) for k, a in network.p.items()}
     words = find_words([b"one two three one", b"two " * 40, b"five"], FOLDED)
     v = toxicity.vocabulary(words)
@@ -140,7 +149,7 @@ def test_recurrent_gradients_against_differences():
     z = network.forward(network.inputs(v), tokens, traces)
     g, inputs = network.backward(tokens, quality.sigmoid(z) - y, traces)
     g |= toxicity._embedding_gradients(v, inputs)
-    for name, places in [("uf", [(0, 1), (3, 20)]), ("ub", [(2, 9)]), ("wf", [(1, 2)]), ("wb", [(7, 23)]), ("db", [4]), ("wa", [(3, 3)]), ("va", [2]), ("wo", [5]), ("word", [(int(v.word_row[0]), 1)]), ("char", [(int(v.char_row[0]), 2)])]:
+    for name, places in [("uf", [(0, 1), (3, 20)]), ("ub", [(2, 9)]), ("wf", [(1, 2)]), ("wb", [(7, 23)]), ("db", [4]), ("wa", [(3, 3)]), ("va", [2]), ("wo", [5]), ("word", [(int(v.rows["word"][0]), 1)]), ("char", [(int(v.rows["char"][0]), 2)]), ("stem", [(int(v.rows["stem"][0]), 3)])]:
         for place in places:
             before = network.p[name][place]
             values = []
