@@ -1,17 +1,16 @@
 """Forecast features that never see the day they predict.
 
 One ``FeatureSpec`` names the features and their order. ``build_features`` computes them
-over a whole series with windows; ``buffer_features`` computes the same ones for the next
-day out of a buffer of past values, many series at a time.
+over a whole series with windows; ``next_features`` computes the same ones for the next
+day out of an array of past values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -180,41 +179,43 @@ def split_parts(
     return SplitParts(*[side.select(*columns) for columns in wanted for side in sides])
 
 
-def buffer_features(
-    spec: FeatureSpec, buffer: np.ndarray, known: np.ndarray, day: np.ndarray, ddof: int = 0
-) -> np.ndarray:
-    """Features of the next day for a batch of series, one row per series.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-    ``buffer`` holds the last ``spec.memory`` values, newest last; only the newest
-    ``known`` of a row count. ``day`` holds the calendar features of that day. A lag that
-    reaches past a short history is the mean of that history, a window past it takes
-    all of it.
-    """
-    width = buffer.shape[1]
-    age = np.arange(width, 0, -1)
 
-    def window(w):
-        inside = age <= np.minimum(known, w)[:, None]
-        return inside, inside.sum(axis=1)
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
+
+
+def _deviation(values: Column, ddof: int) -> Column:
+    squares = lambda mean: F.aggregate(values, F.lit(0.0), lambda total, v: total + (v - mean) * (v - mean))
+    spread = _bound(_mean(values), squares) / F.greatest(F.size(values) - ddof, F.lit(1))
+    return F.when(F.size(values) > 1, F.sqrt(spread)).otherwise(0.0)
+
+
+def next_features(spec: FeatureSpec, history: Column, day: Column, ddof: int = 0) -> dict[str, Column]:
+    """Features of ``day`` from an array of all values before it, oldest first, as column expressions.
+
+    A lag that reaches past a short history is the mean of that history, a window past it takes all
+    of it. ``history`` holds one value at least.
+    """
 
-    def mean_of(inside, count):
-        return np.where(inside, buffer, 0.0).sum(axis=1) / np.maximum(count, 1)
+    def newest(count: int) -> Column:
+        have = F.least(F.size(history), F.lit(count))
+        return F.slice(history, -have, have)
 
-    values = {name: day[:, i] for i, name in enumerate(FEATURE_NAMES)}
-    whole_mean = mean_of(*window(width))
+    values = {name: c.cast("double") for name, c in calendar_features(day).items()}
     for k in spec.lags:
-        values[f"lag_{k}"] = np.where(known >= k, buffer[:, -k], whole_mean)
+        known = F.size(history) >= k
+        values[f"lag_{k}"] = F.when(known, F.try_element_at(history, F.lit(-k))).otherwise(_mean(newest(spec.memory)))
     for w in spec.windows:
-        inside, count = window(w)
-        mean = mean_of(inside, count)
-        spread = np.where(inside, (buffer - mean[:, None]) ** 2, 0.0).sum(axis=1)
-        deviation = np.sqrt(spread / np.maximum(count - ddof, 1))
-        values[f"rolling_mean_{w}"] = mean
-        values[f"rolling_std_{w}"] = np.where(count > 1, deviation, 0.0)
-        values[f"rolling_min_{w}"] = np.where(inside, buffer, np.inf).min(axis=1)
-        values[f"rolling_max_{w}"] = np.where(inside, buffer, -np.inf).max(axis=1)
+        values[f"rolling_mean_{w}"] = _mean(newest(w))
+        values[f"rolling_std_{w}"] = _deviation(newest(w), ddof)
+        values[f"rolling_min_{w}"] = F.array_min(newest(w))
+        values[f"rolling_max_{w}"] = F.array_max(newest(w))
     if spec.has_momentum:
         values["momentum_7_30"] = values["rolling_mean_7"] / (values["rolling_mean_30"] + MOMENTUM_EPSILON)
     if spec.has_lag_difference:
         values["sales_diff_1_7"] = values["lag_1"] - values["lag_7"]
-    return np.column_stack([values[name] for name in spec.names])
+    return {name: values[name] for name in spec.names}

@@ -1,9 +1,10 @@
 """Recursive forecasts: each predicted day feeds the features of the next.
 
 The steps of one series depend on each other, the series do not. So each series is one
-row with its newest values. With the baseline or a linear model a batch of rows walks through
-all steps together, in one job whatever the horizon. Tree models predict through Spark, one
-step of all series after the other, with the lineage cut in the shared folder every few steps.
+row with its newest values. With the baseline or a linear model all steps are one expression of
+that row, a fold over its history, in one job whatever the horizon. Tree models predict through
+Spark ML, one step of all series after the other, with the lineage cut in the shared folder every
+few steps.
 """
 
 from __future__ import annotations
@@ -11,17 +12,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfcast.functions.calendar import calendar_features
 from shelfcast.functions.clean import not_negative
-from shelfcast.operators.features import FeatureSpec, buffer_features, isolate_target
+from shelfcast.operators.features import FeatureSpec, isolate_target, next_features
+from shelfcast.operators.ridge import linear
 from shelfcast.session import settle
 
 HORIZON = 90
@@ -35,19 +34,30 @@ BAND_COLUMNS = ["Forecast_Sales", "Lower_80", "Upper_80", "Lower_95", "Upper_95"
 # Steps of a tree model between two cuts of the lineage.
 STEPS_PER_CUT = 10
 
-# The baseline or a linear model as plain numbers: small, and readable by any Python worker.
+# The baseline or a linear model: a feature's name, or weights and intercept as plain numbers or columns.
 Scorer = dict[str, Any]
 
 
-def score(scorer: Scorer, x: np.ndarray) -> np.ndarray:
-    """Predictions for rows of features."""
+def score(scorer: Scorer, values: dict[str, Column]) -> Column:
+    """The prediction from a day's features."""
     if scorer["kind"] == "column":
-        return x[:, scorer["index"]]
-    return x @ scorer["weights"] + scorer["intercept"]
+        return values[scorer["name"]]
+    return linear(list(values.values()), scorer["weights"], scorer["intercept"])
 
 
 def baseline_scorer(spec: FeatureSpec) -> Scorer:
-    return {"kind": "column", "index": spec.names.index("rolling_mean_7")}
+    return {"kind": "column", "name": "rolling_mean_7"}
+
+
+def linear_scorer(models: DataFrame) -> Scorer:
+    """The one ridge model of a table of a single row, as plain numbers."""
+    row = models.first()
+    return {"kind": "linear", "weights": row["Weights"], "intercept": row["Intercept"]}
+
+
+def own_scorer() -> Scorer:
+    """The linear model that each series carries in its columns Weights and Intercept."""
+    return {"kind": "linear", "weights": F.col("Weights"), "intercept": F.col("Intercept")}
 
 
 def scorer_of(model: PipelineModel) -> Scorer | PipelineModel:
@@ -80,40 +90,6 @@ def future_days(last: Column, horizon: int) -> Column:
     return F.sequence(F.date_add(last, 1), F.date_add(last, horizon))
 
 
-def future_calendar(last: Column, horizon: int) -> Column:
-    """Calendar features of all future days in one flat array, day after day."""
-    return F.flatten(
-        F.transform(
-            future_days(last, horizon),
-            lambda day: F.array(*[c.cast("double") for c in calendar_features(day).values()]),
-        )
-    )
-
-
-def _buffers(histories: Sequence, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Histories aligned at their newest value, and how much of each row is known."""
-    buffer = np.zeros((len(histories), width))
-    known = np.array([min(len(h), width) for h in histories])
-    for row, history in enumerate(histories):
-        buffer[row, width - known[row] :] = history[-known[row] :]
-    return buffer, known
-
-
-def walk(
-    scorer: Scorer, spec: FeatureSpec, histories: Sequence, calendars: Sequence, horizon: int, ddof: int = 0
-) -> np.ndarray:
-    """Predictions of a batch of series, one row each, one column per step."""
-    buffer, known = _buffers(histories, spec.memory)
-    days = np.stack([np.asarray(c) for c in calendars]).reshape(len(histories), horizon, -1)
-    result = np.empty((len(histories), horizon))
-    for step in range(horizon):
-        features = buffer_features(spec, buffer, known, days[:, step, :], ddof)
-        result[:, step] = np.maximum(score(scorer, features), 0.0)
-        buffer = np.column_stack([buffer[:, 1:], result[:, step]])
-        known = np.minimum(known + 1, spec.memory)
-    return result
-
-
 def next_day_features(
     state: DataFrame, spec: FeatureSpec = FeatureSpec(), keys: Sequence[str] = (), ddof: int = 0
 ) -> DataFrame:
@@ -124,14 +100,18 @@ def next_day_features(
 
 
 def _with_next_features(state: DataFrame, spec: FeatureSpec, ddof: int) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def values(histories: pd.Series, calendars: pd.Series) -> pd.Series:
-        buffer, known = _buffers(histories, spec.memory)
-        days = np.stack([np.asarray(c) for c in calendars])
-        return pd.Series(list(buffer_features(spec, buffer, known, days, ddof)))
+    return state.withColumns(next_features(spec, F.col("History"), F.date_add("Last_Date", 1), ddof))
+
+
+def walk(scorer: Scorer, spec: FeatureSpec, horizon: int, ddof: int = 0) -> Column:
+    """Predictions of all steps in one array: a fold over the steps whose state is the history so far."""
 
-    seen = state.withColumn("_values", values("History", future_calendar(F.col("Last_Date"), 1)))
-    return seen.withColumns({name: F.col("_values")[i] for i, name in enumerate(spec.names)}).drop("_values")
+    def longer(past: Column, step: Column) -> Column:
+        values = next_features(spec, past, F.date_add("Last_Date", step), ddof)
+        return F.concat(past, F.array(not_negative(score(scorer, values))))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("History"), longer)
+    return F.slice(path, -horizon, horizon)
 
 
 def _walk_through_model(
@@ -172,14 +152,7 @@ def recursive_forecast(
     if isinstance(scorer, PipelineModel):
         walked = _walk_through_model(state, scorer, spec, keys, horizon, ddof)
     else:
-
-        @F.pandas_udf("array<double>")
-        def predictions(histories: pd.Series, calendars: pd.Series) -> pd.Series:
-            return pd.Series(list(walk(scorer, spec, histories, calendars, horizon, ddof)))
-
-        walked = state.withColumn(
-            "_path", predictions("History", future_calendar(F.col("Last_Date"), horizon))
-        )
+        walked = state.withColumn("_path", walk(scorer, spec, horizon, ddof))
     return walked.select(*keys, "Last_Date", F.posexplode("_path").alias("_i", "Predicted")).select(
         F.lit(model).alias("Model"),
         *keys,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions import calendar
 from shelfcast.operators import features as ft
 from shelfcast.operators import forecast as fc
-from shelfcast.operators import measures, metrics, models, quality, series, stats, summary
+from shelfcast.operators import measures, metrics, models, quality, ridge, series, stats, summary
 from shelfcast.operators.features import FeatureSpec
 from shelfcast.operators.filters import Slice
 from shelfcast.operators.quantiles import exact_quantiles
@@ -659,9 +659,32 @@ def ridge_forecast(spark, root):
 
 @query
 def ridge_forecast_by_region(spark, root):
+    return _by_region(spark, root).generate_recursive_forecast(fc.HORIZON, models.RIDGE)
+
+
+@query
+def ridge_refit(spark, root):
+    """Weights of the model of training and test rows together, from the sums of both."""
+    alone = ForecastTrainer(_daily_sales(spark, root), candidates=[models.RIDGE])
+    return rounded(ridge.coefficients(alone.ridge_model(), SPEC), 3, "Weight")
+
+
+def _by_region(spark: SparkSession, root: str) -> ForecastTrainer:
     daily = series.daily_totals(SalesStar(spark, root).customer_facts(["Region"], same_day), ["Region"])
-    pooled = ForecastTrainer(daily, ["Region"], candidates=[models.RIDGE])
-    return pooled.generate_recursive_forecast(fc.HORIZON, models.RIDGE)
+    return ForecastTrainer(daily, ["Region"], candidates=[models.RIDGE])
+
+
+@query
+def ridge_coefficients_by_region(spark, root):
+    """A ridge model of each region's own, on its training rows."""
+    own = _by_region(spark, root).ridge_model(["train"], ["Region"])
+    return rounded(ridge.coefficients(own, SPEC, ["Region"]), 3, "Weight")
+
+
+@query
+def ridge_own_forecast_by_region(spark, root):
+    """Each region forecast by its own model."""
+    return _by_region(spark, root).ridge_by_series()
 
 
 @query

@@ -294,6 +294,126 @@ ridge_rows AS (
   FROM scaled JOIN weights USING (j), level WHERE back <= 90 GROUP BY "Date", "Sales")"""
 _RIDGE_METRICS = _metric_select("Ridge Regression", "ridge", True).replace("FROM test_rows", "FROM ridge_rows")
 
+
+# The same for models of several series: a model for each value of ``mk``, over the rows of the
+# series that have it. ``fitted`` says which rows are learned from.
+def _calendar_list(day: str) -> str:
+    angles = [(f"month({day})", 12), (f"(isodow({day}) - 1)", 7), (f"day({day})", 31)]
+    waves = ", ".join(f"{wave}(2 * pi() * {part} / {period})" for part, period in angles for wave in ("sin", "cos"))
+    return f"""isodow({day}) - 1, day({day}), month({day}), quarter({day}), year({day}),
+     CASE WHEN isodow({day}) >= 6 THEN 1 ELSE 0 END, dayofyear({day}), weekofyear({day}), {waves}"""
+
+
+def _ridge_models(name: str, series: str, model: str, fitted: str, key: str | None = None) -> str:
+    """CTEs ``{name}_in`` (rows), ``{name}_model`` (mk, b, c) and ``{name}_seen`` (test rows with predictions)."""
+    order = f'PARTITION BY "{key}" ORDER BY "Date" DESC' if key else 'ORDER BY "Date" DESC'
+    return f"""
+{name}_in AS MATERIALIZED (
+  SELECT {series} AS series, {model} AS mk, "Date", "Sales", ROW_NUMBER() OVER ({order}) AS back,
+    [{_calendar_list('"Date"')}, {_LAG_NAMES}, {_ROLLING_NAMES},
+     rolling_mean_7 / (rolling_mean_30 + 1e-5), lag_1 - lag_7]::DOUBLE[] AS x
+  FROM featured WHERE rn > 30),
+{name}_cells AS (
+  SELECT mk, series, "Date", "Sales", unnest(range(1, len(x) + 1)) AS j, unnest(x) AS v FROM {name}_in WHERE {fitted}),
+{name}_scales AS (SELECT mk, j, AVG(v) AS m, STDDEV_POP(v) AS s FROM {name}_cells GROUP BY mk, j),
+{name}_level AS (SELECT mk, AVG("Sales") AS y0 FROM {name}_in WHERE {fitted} GROUP BY mk),
+{name}_scaled AS MATERIALIZED (
+  SELECT mk, series, "Date", "Sales", j, CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END AS z
+  FROM {name}_cells JOIN {name}_scales USING (mk, j)),
+{name}_products AS (
+  SELECT a.mk, a.j AS i, b.j AS k, SUM(a.z * b.z) + CASE WHEN a.j = b.j THEN 10 ELSE 0 END AS g
+  FROM {name}_scaled a JOIN {name}_scaled b USING (series, "Date") GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT mk, j, 1000, SUM(z * ("Sales" - y0)) FROM {name}_scaled JOIN {name}_level USING (mk) GROUP BY 1, 2),
+{name}_rows AS (SELECT mk, i, list(g ORDER BY k) AS r FROM {name}_products GROUP BY mk, i),
+{name}_sweep(mk, p, m) AS (
+  SELECT mk, 1, list(r ORDER BY i) FROM {name}_rows GROUP BY mk
+  UNION ALL
+  SELECT mk, p + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = p
+      THEN list_transform(m[p], lambda v: v / m[p][p])
+      ELSE list_transform(list_zip(m[i], m[p]), lambda t: t[1] - m[i][p] * t[2] / m[p][p]) END)
+  FROM {name}_sweep WHERE p <= len(m)),
+{name}_weights AS (
+  SELECT mk, unnest(range(1, len(m) + 1)) AS j, unnest(list_transform(m, lambda r: r[len(r)])) AS w
+  FROM {name}_sweep WHERE p = len(m) + 1),
+{name}_model AS MATERIALIZED (
+  SELECT mk, list(CASE WHEN s > 0 THEN w / s ELSE 0 END ORDER BY j) AS b,
+    ANY_VALUE(y0) - SUM(CASE WHEN s > 0 THEN w * m / s ELSE 0 END) AS c
+  FROM {name}_weights JOIN {name}_scales USING (mk, j) JOIN {name}_level USING (mk) GROUP BY mk),
+{name}_seen AS (
+  SELECT series, "Sales" AS actual, GREATEST(list_dot_product(x, b) + c, 0) AS predicted
+  FROM {name}_in JOIN {name}_model USING (mk) WHERE back <= 90)"""
+
+
+_FEATURE_LIST = ", ".join(
+    [
+        f"'{n}'"
+        for n in "day_of_week day_of_month month quarter year is_weekend day_of_year week_of_year "
+        "sin_month cos_month sin_dow cos_dow sin_day cos_day".split()
+        + [f"lag_{k}" for k in _LAG_DAYS]
+        + [f"rolling_{n}_{d}" for d in _WINDOW_DAYS for n in ("mean", "std", "min", "max")]
+        + ["momentum_7_30", "sales_diff_1_7"]
+    ]
+)
+
+
+def _weights_of(name: str, key: str | None = None) -> str:
+    names = f'mk AS "{key}", ' if key else ""
+    return f"""
+SELECT {names}unnest(list_append([{_FEATURE_LIST}], 'Intercept')) AS "Feature",
+  ROUND(unnest(list_append(b, c)), 3) AS "Weight" FROM {name}_model"""
+
+
+def _ridge_walk(name: str, series: str, model: str) -> str:
+    """CTE ``ridge_walk``: the thirty newest values of each series, moved on by the model's next day."""
+    windows = ", ".join(
+        f"list_{f}(hist[{31 - d}:30])" for d in _WINDOW_DAYS for f in ("avg", "stddev_pop", "min", "max")
+    )
+    lags = ", ".join(f"hist[{31 - k}]" for k in _LAG_DAYS)
+    return f"""
+ridge_newest AS (
+  SELECT {series} AS series, {model} AS mk, "Date", "Sales",
+    ROW_NUMBER() OVER (PARTITION BY {series} ORDER BY "Date" DESC) AS age FROM filled),
+ridge_walk AS (
+  SELECT series, mk, 0 AS step, MAX("Date") AS last_day, LIST("Sales" ORDER BY "Date") AS hist
+  FROM ridge_newest WHERE age <= 30 GROUP BY series, mk
+  UNION ALL
+  SELECT series, mk, step + 1, last_day, list_append(hist[2:30], GREATEST(list_dot_product(x, b) + c, 0))
+  FROM (
+    SELECT *, [{_calendar_list("d")}, {lags}, {windows},
+      list_avg(hist[24:30]) / (list_avg(hist[1:30]) + 1e-5), hist[30] - hist[24]]::DOUBLE[] AS x
+    FROM (SELECT *, last_day + CAST(step + 1 AS INTEGER) AS d FROM ridge_walk WHERE step < 90)) JOIN {name}_model USING (mk))"""
+
+
+def _ridge_bands(title: str, key: str | None = None) -> str:
+    names = f'series AS "{key}", ' if key else ""
+    return f"""
+SELECT '{title}' AS "Model", {names}CAST(step AS INTEGER) AS "Step",
+  CAST(last_day + CAST(step AS INTEGER) AS DATE) AS "Date",
+  round_even(hist[30], 2) AS "Forecast_Sales",
+  round_even(GREATEST(hist[30] - 1.28 * s * SQRT(1 + 0.015 * step), 0), 2) AS "Lower_80",
+  round_even(hist[30] + 1.28 * s * SQRT(1 + 0.015 * step), 2) AS "Upper_80",
+  round_even(GREATEST(hist[30] - 1.96 * s * SQRT(1 + 0.015 * step), 0), 2) AS "Lower_95",
+  round_even(hist[30] + 1.96 * s * SQRT(1 + 0.015 * step), 2) AS "Upper_95"
+FROM ridge_walk JOIN (SELECT series, STDDEV_POP(actual - predicted) AS s FROM tried_seen GROUP BY series) USING (series)
+WHERE step > 0"""
+
+
+def _ridge_forecast(title: str, key: str | None = None, own: bool = False) -> str:
+    """Tried on the training rows, whose residuals give the spread; deployed on all rows."""
+    featured = [_LINES, _filled("day", _SALES, key=key), _featured(key)]
+    series = f'"{key}"' if key else "''"
+    model = series if own else "''"
+    return _with(
+        *featured,
+        _ridge_models("tried", series, model, "back > 90", key),
+        _ridge_models("whole", series, model, "TRUE", key),
+        _ridge_walk("whole", series, model),
+        select=_ridge_bands(title, key),
+        recursive=True,
+    )
+
+
 _SIGMA = """
 sigma AS (SELECT STDDEV_POP(actual - GREATEST(rolling_mean_7, 0)) AS s FROM test_rows)"""
 
@@ -754,3 +874,17 @@ SELECT 'Ridge Regression' AS "Model", '{",".join(map(str, _LAG_DAYS))}' AS "Lags
   strftime(MAX("Order Date"), '%Y-%m-%d') AS "Last_Date" FROM lines""",
 )
 ORACLE["sales_file_quoted"] = ORACLE["sales_file_summary"]
+ORACLE["ridge_forecast"] = _ridge_forecast("Ridge Regression")
+ORACLE["ridge_forecast_by_region"] = _ridge_forecast("Ridge Regression", "Region")
+ORACLE["ridge_own_forecast_by_region"] = _ridge_forecast("Ridge by Series", "Region", own=True)
+ORACLE["ridge_refit"] = _with(
+    *_FEATURES, _ridge_models("whole", "''", "''", "TRUE"), select=_weights_of("whole"), recursive=True
+)
+ORACLE["ridge_coefficients_by_region"] = _with(
+    _LINES,
+    _filled("day", _SALES, key="Region"),
+    _featured("Region"),
+    _ridge_models("tried", '"Region"', '"Region"', "back > 90", "Region"),
+    select=_weights_of("tried", "Region"),
+    recursive=True,
+)

@@ -10,14 +10,17 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators import features, forecast, metrics, models
+from shelfcast.functions.clean import not_negative
+from shelfcast.operators import features, forecast, metrics, models, ridge
 from shelfcast.operators.features import FeatureSpec
 from shelfcast.operators.metrics import BASELINE
-from shelfcast.operators.models import BOOSTING, FITTED, ModelSettings
+from shelfcast.operators.models import BOOSTING, FITTED, RIDGE, ModelSettings
 from shelfcast.session import settle
 from shelfcast.sources import files
 from shelfcast.sources.artifacts import ForecastArtifact, save_artifact
 
+OWN_RIDGE = "Ridge by Series"
+
 
 class ForecastTrainer:
     """Trains on a continuous daily series (one, or one per key) and forecasts it.
@@ -107,10 +110,43 @@ class ForecastTrainer:
             self._refits.update(models.fit(self.feat_df, [name], self.spec, self.settings, self.keys))
         return self._refits[name]
 
+    @cached_property
+    def ridge_sums(self) -> DataFrame:
+        """What ridge needs of the rows of each split and series; read once, merged as needed."""
+        return settle(ridge.moments(self.feat_df, self.spec, [*self.keys, "split"]))
+
+    def ridge_model(self, splits: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+        """Intercept and weights on the rows of the named splits, or of all: one model, or one for
+        each value of ``by``, which are keys of the series."""
+        sums = self.ridge_sums
+        chosen = sums.where(F.col("split").isin(*splits)) if splits else sums
+        return ridge.ridge(ridge.merged(chosen, by), self.settings.ridge_alpha, by)
+
+    def ridge_by_series(self, horizon_days: int = forecast.HORIZON) -> DataFrame:
+        """Forecast with bands from a ridge model of each series' own.
+
+        The spread is that of the model of its training rows on its test rows. A series that is too
+        short to be split has a forecast without bands.
+        """
+        own = self.ridge_model(by=self.keys)
+        state = forecast.series_state(self.daily_df, self.spec, self.keys).join(own, self.keys)
+        path = forecast.recursive_forecast(
+            state, forecast.own_scorer(), OWN_RIDGE, self.spec, self.keys, horizon_days, self.forecast_ddof
+        )
+        _, test = self.prepare_data()
+        seen = test.join(self.ridge_model(["train"], self.keys), self.keys)
+        value = forecast.score(forecast.own_scorer(), {n: F.col(n) for n in self.spec.names})
+        predictions = seen.select(
+            F.lit(OWN_RIDGE).alias("Model"), *self.keys, F.col(self.spec.target).alias("Actual"), not_negative(value).alias("Predicted")
+        )
+        return forecast.with_bands(path, metrics.residual_sigma(predictions, ["Model", *self.keys]), self.keys)
+
     def _scorer(self, name: str) -> forecast.Scorer | PipelineModel:
         if name == BASELINE:
             return forecast.baseline_scorer(self.spec)
-        return forecast.scorer_of(self.refit(name))
+        if name == RIDGE:
+            return forecast.linear_scorer(self.ridge_model())
+        return self.refit(name)
 
     def generate_recursive_forecast(
         self, horizon_days: int = forecast.HORIZON, model: str | None = None
@@ -125,7 +161,9 @@ class ForecastTrainer:
 
     def forecast_all_models(self, horizon_days: int = forecast.HORIZON) -> DataFrame:
         """The forecast of the baseline and of every candidate; pick one by ``Model``."""
-        self._refits.update(models.fit(self.feat_df, self.candidates, self.spec, self.settings, self.keys))
+        trees = [n for n in self.candidates if n != RIDGE]
+        if trees:
+            self._refits.update(models.fit(self.feat_df, trees, self.spec, self.settings, self.keys))
         names = [BASELINE, *self.candidates] if "rolling_mean_7" in self.spec.names else self.candidates
         parts = [self.generate_recursive_forecast(horizon_days, name) for name in names]
         return reduce(DataFrame.unionByName, parts)

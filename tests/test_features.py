@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import FEATURE_NAMES, calendar_features
 from shelfcast.operators.features import (
-    FeatureSpec, buffer_features, build_features, chronological_split, short_series, split_frames, split_parts,
+    FeatureSpec, build_features, chronological_split, next_features, short_series, split_frames, split_parts,
 )
 
-from helpers import daily, day
+from helpers import buffer_features, daily, day
 
 SPEC = FeatureSpec()
 
@@ -105,6 +105,27 @@ def test_buffer_and_window_forms_agree(spark):
         assert got == pytest.approx(row[SPEC.names].to_numpy(dtype=float), rel=1e-9)
 
 
+@pytest.mark.parametrize("ddof", [0, 1])
+def test_features_of_the_next_day_as_columns(spark, ddof):
+    """Histories of every kind of length against the plain form, and against the windows."""
+    rng = np.random.default_rng(6)
+    lengths = [1, 2, 6, 7, 8, 13, 29, 30, 31, 50]
+    histories = [rng.uniform(0, 50, n).tolist() for n in lengths]
+    rows = spark.createDataFrame([(i, h, day("2016-02-28")) for i, h in enumerate(histories)], "i int, h array<double>, d date")
+    columns = next_features(SPEC, F.col("h"), F.col("d"), ddof)
+    assert list(columns) == SPEC.names
+    got = rows.select("i", *[c.alias(n) for n, c in columns.items()]).orderBy("i").collect()
+    for row, history in zip(got, histories):
+        buffer, known = np.zeros((1, 30)), min(len(history), 30)
+        buffer[0, 30 - known :] = history[-known:]
+        days = np.array([[row[n] for n in FEATURE_NAMES]])
+        assert [row[n] for n in SPEC.names] == pytest.approx(buffer_features(SPEC, buffer, np.array([known]), days, ddof)[0], rel=1e-9)
+    if ddof == 1:
+        values = histories[-1]
+        last = build_features(daily(spark, [*values, 0.0]), SPEC).orderBy(F.desc("Date")).first()
+        assert [last[n] for n in SPEC.names[14:]] == pytest.approx([got[-1][n] for n in SPEC.names[14:]], rel=1e-9)
+
+
 def test_short_buffers_fall_back():
     buffer = np.zeros((2, 30))
     buffer[0, -2:] = [4.0, 8.0]

@@ -58,11 +58,19 @@ def test_ridge_is_the_closed_form(spark, matrix, fitted):
 
 def test_scorer_equals_transform(spark, matrix, fitted):
     scored = fitted[models.RIDGE].transform(matrix).toPandas()
-    x = scored[SPEC.names].to_numpy(dtype=float)
-    got = fc.score(fc.scorer_of(fitted[models.RIDGE]), x)
+    value = fc.score(fc.scorer_of(fitted[models.RIDGE]), {n: F.col(n) for n in SPEC.names})
+    got = spark.createDataFrame(scored[["Date", *SPEC.names]]).select("Date", value.alias("v")).orderBy("Date").toPandas()["v"]
+    scored = scored.sort_values("Date")
     np.testing.assert_allclose(got, scored["prediction"], rtol=1e-10)
 
 
+def test_forecasts_of_linear_models_run_without_python(spark, series):
+    state = fc.series_state(series, SPEC)
+    for scorer in (fc.baseline_scorer(SPEC), {"kind": "linear", "weights": [0.1] * 36, "intercept": 1.0}):
+        plan = fc.recursive_forecast(state, scorer, "m", SPEC)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
 def step_by_step(spark, series, model, horizon):
     """Append one predicted day at a time and rebuild the window features of the whole series."""
     days = [tuple(r) for r in series.orderBy("Date").collect()]
