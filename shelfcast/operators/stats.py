@@ -7,10 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfcast.session import settle
+
 # Response-surface constants for the test with a constant term.
 SMALL_P = (2.1659, 1.4412, 0.038269)
 LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
@@ -70,11 +72,12 @@ def _most_lags(n: int) -> int:
     return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
 
 
-def _regression_rows(series: DataFrame, keys: Sequence[str], value: str, date: str, lags: int) -> DataFrame:
+def _regression_rows(known: DataFrame, keys: Sequence[str], date: str, lags: int) -> DataFrame:
     """One row per value: the step to it (``_0``), the level before it (``_1``), a constant
-    (``_2``) and the ``lags`` steps before that (``_3`` on); ``_step`` counts the steps from 0."""
+    (``_2``) and the ``lags`` steps before that (``_3`` on); ``_step`` counts the steps from 0,
+    ``_most`` is how many lags the series is tried with."""
     order, whole = W.partitionBy(*keys).orderBy(date), W.partitionBy(*keys)
-    known = series.select(*keys, date, F.col(value).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    n = F.col("_n")
     # Levels from their mean: a level in the millions stands beside a constant.
     centred = known.withColumns(
         {
@@ -85,28 +88,33 @@ def _regression_rows(series: DataFrame, keys: Sequence[str], value: str, date: s
             "_0": F.col("_y") - F.lag("_y").over(order),
             "_2": F.lit(1.0),
         }
-    )
+    ).withColumn("_most", F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2).cast("int"))
     return centred.withColumns({f"_{k + 2}": F.lag("_0", k).over(order) for k in range(1, lags + 1)})
 
 
-def _cross_products(rows: DataFrame, keys: Sequence[str], lags: int, used: Column) -> DataFrame:
-    """Sums of all products of two columns per series, over the steps from ``used`` lags on.
+def _nested_products(rows: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:
+    """What the regressions with any number of lags need of a series, from one aggregate.
 
-    Columns of longer lags count as zeros. One aggregate: a map-side sum of a fixed number of
-    products, whatever the length of the series.
+    The sample of a regression with k lags begins at step k. That with the most lags is part of all
+    others: ``_products`` has its sums of products of two columns, a fixed number of map-side sums
+    whatever the length of the series. ``_early`` has the steps before it, as many as there are lags
+    at most, each as its number and its columns. Columns of lags not tried, or before the series, are 0.
     """
-    inside = F.col("_step") >= used
+    most, step = F.col("_most"), F.col("_step")
     columns = [f"_{i}" for i in range(lags + 3)]
-    masked = rows.withColumn("_used", used).withColumns(
-        {c: F.when(inside, F.when(F.lit(max(i - 2, 0)) <= used, F.col(c)).otherwise(0.0)) for i, c in enumerate(columns)}
+    filled = rows.withColumns(
+        {c: F.when((F.lit(max(i - 2, 0)) <= most) & (step >= 0), F.coalesce(c, F.lit(0.0))).otherwise(0.0) for i, c in enumerate(columns)}
     )
-    products = [F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)) for i, a in enumerate(columns) for b in columns[i:]]
-    return masked.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
+    common = (step >= most) & (step >= 0)
+    inside = filled.withColumn("_in", common.cast("double"))
+    products = [F.sum(F.col("_in") * F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]
+    early = F.when((step >= 0) & (step < most), F.array(step.cast("double"), *columns))
+    return inside.groupBy(*keys).agg(
         F.max("_flat").alias("_flat"),
-        F.max("_used").alias("_used"),
-        F.count_if(inside).alias("Observations"),
+        F.max("_most").alias("_most"),
+        F.count_if(common).alias("_common"),
         F.array(*products).alias("_products"),
+        F.collect_list(early).alias("_early"),
     )
 
 
@@ -156,20 +164,31 @@ def _chosen_lags(products: Sequence[float], most: int, observations: int, lags:
     return min(criteria)[1]
 
 
-def _level_t_value(products: Sequence[float], used: int, observations: int, lags: int) -> float | None:
+def _with_early(products: Sequence[float], early: Sequence[Sequence[float]], used: int, lags: int) -> tuple[np.ndarray, int]:
+    """Cross products over the steps from ``used`` on, and how many of these are early ones."""
+    square = _square(products, lags)
+    added = np.array([row[1:] for row in early if row[0] >= used]).reshape(-1, lags + 3)
+    return square + added.T @ added, len(added)
+
+
+def _level_t_value(square: np.ndarray, used: int, observations: int) -> float | None:
     freedom = observations - used - 2
     if freedom <= 0:
         return None
-    beta, residual, inverse = _solve(_square(products, lags), used)
+    beta, residual, inverse = _solve(square, used)
     error = math.sqrt(residual / freedom * inverse)
     return beta / error if error > 0 else -math.inf
 
 
-def _nulls_unless(found: DataFrame, names: Sequence[str], wanted: bool) -> DataFrame:
-    """A row of nulls if there is no result; no row if there was no series either."""
-    count = found.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == 0) & F.lit(wanted))
-    types = dict(found.dtypes)
-    return count.select(*[F.lit(None).cast(types[n]).alias(n) for n in names])
+def _tested(products: Sequence[float], early: Sequence, most: int, common: int, lags: int) -> tuple:
+    """Lags, observations, statistic and p-value of one series; nulls if it cannot be tested."""
+    nothing = (None, None, None, None)
+    if most < 0 or common <= 0:
+        return nothing
+    used = _chosen_lags(products, most, common, lags)
+    square, added = _with_early(products, early, used, lags)
+    tau = _level_t_value(square, used, common + added)
+    return nothing if tau is None else (used, common + added, tau, adf_p_value(tau))
 
 
 def adf_test(
@@ -177,51 +196,27 @@ def adf_test(
 ) -> DataFrame:
     """Augmented Dickey-Fuller test per series, with a constant term.
 
-    Lagged columns and sums of their products are Spark's; what runs in Python is the solution of
-    a system of one row per series with as many unknowns as lags. Series that are constant or too
-    short give nulls.
+    The series, a row for each period, is written once, so what it was summed from is read once. Lagged
+    columns and sums of their products are Spark's; what runs in Python is the solution of systems of
+    as many unknowns as lags, from one row per series. Series that are constant or too short give nulls.
     """
-    sizes = series.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    longest = sizes.agg(F.max("n")).first()[0] or 0
+    known = settle(series.select(*keys, date, F.col(value).cast("double").alias("_y")).where("_y is not null"))
+    longest = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     lags = max(_most_lags(longest), 0)
 
-    @F.pandas_udf("int")
-    def chosen(products: pd.Series, most: pd.Series, observations: pd.Series) -> pd.Series:
-        return pd.Series([_chosen_lags(p, m, n, lags) for p, m, n in zip(products, most, observations)], dtype="Int32")
-
-    @F.pandas_udf("double")
-    def t_value(products: pd.Series, used: pd.Series, observations: pd.Series) -> pd.Series:
-        found = [_level_t_value(p, u, n, lags) for p, u, n in zip(products, used, observations)]
-        return pd.Series(found, dtype=object)
-
-    @F.pandas_udf("double")
-    def p_value(tau: pd.Series) -> pd.Series:
-        return tau.map(adf_p_value)
+    @F.pandas_udf("Lags int, Observations int, Statistic double, P_Value double")
+    def tested(products: pd.Series, early: pd.Series, most: pd.Series, common: pd.Series) -> pd.DataFrame:
+        rows = [_tested(p, e, m, n, lags) for p, e, m, n in zip(products, early, most, common)]
+        found = pd.DataFrame(rows, columns=["Lags", "Observations", "Statistic", "P_Value"], dtype=object)
+        return found.astype({"Lags": "Int32", "Observations": "Int32"})
 
-    rows = _regression_rows(series, keys, value, date, lags)
-    n = F.col("_n")
-    most = F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2).cast("int")
-    testable = (F.col("_used") >= 0) & ~F.col("_flat") & (F.col("Observations") > 0)
-    first = _cross_products(rows, keys, lags, most)
-    picked = first.where(testable).select(*keys, chosen("_products", "_used", "Observations").alias("Lags"))
-    every = first.select(*keys)
-    if keys:
-        same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"p.`{k}`")) for k in keys]
-        known = rows.alias("r").join(picked.alias("p"), same).select("r.*", "p.Lags")
-    else:
-        known = rows.withColumn("Lags", picked.select("Lags").scalar()).where(F.col("Lags").isNotNull())
-    second = _cross_products(known, keys, lags, F.col("Lags")).withColumnRenamed("_used", "Lags").where("_n is not null")
-    tested = second.select(
-        *keys, "Lags", F.col("Observations").cast("int").alias("Observations"), t_value("_products", "Lags", "Observations").alias("Statistic")
-    ).where(F.col("Statistic").isNotNull())
+    sums = _nested_products(_regression_rows(known, keys, date, lags), keys, lags).where("_most is not null")
+    # A constant series has no steps to explain.
+    testable = F.when(F.col("_flat"), -1).otherwise(F.col("_most"))
+    found = sums.select(*keys, tested("_products", "_early", testable, "_common").alias("_found")).select(*keys, "_found.*")
     size = F.col("Observations").cast("double")
-    found = tested.withColumn("P_Value", p_value("Statistic")).withColumns(
+    found = found.withColumns(
         {name: sum((F.lit(w) / F.pow(size, F.lit(float(i))) for i, w in enumerate(weights)), F.lit(0.0)) for name, weights in CRITICAL.items()}
     )
     found = found.withColumn("Stationary", F.col("P_Value") < 0.05)
-    results = ["Statistic", "P_Value", *CRITICAL, "Lags", "Observations", "Stationary"]
-    if not keys:
-        return found.select(*results).unionByName(_nulls_unless(found, results, longest > 0))
-    same = [F.col(f"e.`{k}`").eqNullSafe(F.col(f"f.`{k}`")) for k in keys]
-    joined = every.alias("e").join(found.alias("f"), same, "left")
-    return joined.select(*[F.col(f"e.`{k}`").alias(k) for k in keys], *results)
+    return found.select(*keys, "Statistic", "P_Value", *CRITICAL, "Lags", "Observations", "Stationary")

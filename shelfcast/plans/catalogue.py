@@ -534,15 +534,19 @@ def decomposition_by_region(spark, root):
     return rounded(parts, 2, "Trend", "Seasonal", "Residual")
 
 
+ADF_NUMBERS = ("Statistic", "P_Value", *stats.CRITICAL)
+
+
 @query
 def adf_test(spark, root):
-    return stats.adf_test(_monthly_sales(spark, root))
+    return rounded(stats.adf_test(_monthly_sales(spark, root)), 6, *ADF_NUMBERS)
 
 
 @query
 def adf_test_by_region(spark, root):
     facts = SalesStar(spark, root).customer_facts(["Region"], calendar.month_start)
-    return stats.adf_test(series.monthly_totals(facts, ["Region"], ["Sales"]), ["Region"])
+    found = stats.adf_test(series.monthly_totals(facts, ["Region"], ["Sales"]), ["Region"])
+    return rounded(found, 6, *ADF_NUMBERS)
 
 
 # ---- forecasts without fitted models ---------------------------------------------------

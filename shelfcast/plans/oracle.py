@@ -888,3 +888,99 @@ ORACLE["ridge_coefficients_by_region"] = _with(
     select=_weights_of("tried", "Region"),
     recursive=True,
 )
+
+
+# ---- the unit-root test ----------------------------------------------------------------
+
+# Enough for 1,000 periods.
+_ADF_LAGS = 22
+# Response surfaces of the p-value and of the critical values.
+_ADF_SMALL, _ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+_ADF_CRITICAL = {
+    "Critical_1": (-3.43035, -6.5393, -16.786, -79.433),
+    "Critical_5": (-2.86154, -2.8903, -4.234, -40.04),
+    "Critical_10": (-2.56677, -1.5384, -2.809, 0.0),
+}
+
+
+def _adf_gram(name: str, rows: str) -> str:
+    """CTE ``{name}``: a matrix for each series from cells (series, t, i, v)."""
+    return f"""
+{name}_cells AS MATERIALIZED ({rows}),
+{name}_sums AS (
+  SELECT a.series, a.i, b.i AS j, SUM(a.v * b.v) AS g FROM {name}_cells a JOIN {name}_cells b USING (series, t) GROUP BY 1, 2, 3),
+{name}_rows AS (SELECT series, i, list(g ORDER BY j) AS r FROM {name}_sums GROUP BY series, i),
+{name} AS (SELECT series, list(r ORDER BY i) AS m FROM {name}_rows GROUP BY series)"""
+
+
+def _adf_sweep(name: str, matrix: str) -> str:
+    """Constant and lags swept out one by one; row 1 is the step, row 2 the level, which stays."""
+    return f"""
+{name}(series, p, m) AS (
+  SELECT series, 3, m FROM {matrix}
+  UNION ALL
+  SELECT series, p + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = p THEN m[p]
+      ELSE list_transform(list_zip(m[i], m[p]), lambda t: t[1] - m[i][p] * t[2] / m[p][p]) END)
+  FROM {name} WHERE p <= len(m))"""
+
+
+def _adf(key: str | None = None) -> str:
+    series = f'"{key}"' if key else "''"
+    lagged = ", ".join(f"LAG(dy, {k}) OVER w" for k in range(1, _ADF_LAGS + 1))
+    poly = lambda ws: " + ".join(f"({w}) * pow(tau, {i})" for i, w in enumerate(ws))
+    critical = ", ".join(
+        "ROUND(" + " + ".join(f"({w}) / pow(obs, {i})" for i, w in enumerate(ws)) + f', 6) AS "{name}"'
+        for name, ws in _ADF_CRITICAL.items()
+    )
+    names = f'series AS "{key}", ' if key else ""
+    return _with(
+        _LINES,
+        _filled("month", _SALES, key=key),
+        f"""
+adf_steps AS (
+  SELECT {series} AS series, "Date", "Sales"::DOUBLE AS y, ROW_NUMBER() OVER w - 2 AS t, COUNT(*) OVER (PARTITION BY {series}) AS n,
+    "Sales"::DOUBLE - LAG("Sales"::DOUBLE) OVER w AS dy,
+    LAG("Sales"::DOUBLE) OVER w - AVG("Sales"::DOUBLE) OVER (PARTITION BY {series}) AS level
+  FROM filled WINDOW w AS (PARTITION BY {series} ORDER BY "Date")),
+adf_rows AS MATERIALIZED (
+  SELECT series, t, LEAST(CEIL(12 * pow(n / 100.0, 0.25)), n // 2 - 2)::INTEGER AS most, [dy, level, 1, {lagged}] AS x
+  FROM adf_steps WINDOW w AS (PARTITION BY series ORDER BY "Date")),
+adf_known AS (SELECT * FROM adf_rows WHERE t >= 0)""",
+        _adf_gram(
+            "adf_common",
+            """
+  SELECT series, t, unnest(range(1, most + 4)) AS i, unnest(x[1:most + 3]) AS v FROM adf_known WHERE t >= most""",
+        ),
+        _adf_sweep("adf_tried", "adf_common"),
+        """
+adf_counts AS (SELECT series, COUNT(*) AS n FROM adf_known WHERE t >= most GROUP BY series),
+adf_scores AS (
+  SELECT series, p - 4 AS k, n * ln((m[1][1] - m[1][2] * m[1][2] / m[2][2]) / n) + 2 * (p - 2) AS score
+  FROM adf_tried JOIN adf_counts USING (series) WHERE p >= 4),
+adf_used AS (SELECT series, arg_min(k, score) AS used FROM adf_scores GROUP BY series)""",
+        _adf_gram(
+            "adf_own",
+            """
+  SELECT series, t, unnest(range(1, used + 4)) AS i, unnest(x[1:used + 3]) AS v FROM adf_known JOIN adf_used USING (series) WHERE t >= used""",
+        ),
+        _adf_sweep("adf_final", "adf_own"),
+        f"""
+adf_level AS (
+  SELECT series, used, (SELECT COUNT(*) FROM adf_known k WHERE k.series = f.series AND k.t >= used) AS obs,
+    m[1][1] AS r, m[1][2] AS c, m[2][2] AS q
+  FROM adf_final f JOIN adf_used USING (series) WHERE p = len(m) + 1),
+adf_tau AS (SELECT series, used, obs::DOUBLE AS obs, (c / q) / sqrt((r - c * c / q) / (obs - used - 2) / q) AS tau FROM adf_level),
+adf_z AS (SELECT *, CASE WHEN tau <= -1.61 THEN {poly(_ADF_SMALL)} ELSE {poly(_ADF_LARGE)} END AS z FROM adf_tau),
+adf_p AS (
+  SELECT series, used, obs, tau, 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi())
+    * (SELECT SUM(exp((2 * i + 1) * ln(abs(z)) - lgamma(2 * i + 2) + i * ln(2) + lgamma(i + 1))) FROM range(200) AS terms(i)) AS p
+  FROM adf_z)""",
+        select=f"""
+SELECT {names}ROUND(tau, 6) AS "Statistic", ROUND(p, 6) AS "P_Value", {critical},
+  used::INTEGER AS "Lags", obs::INTEGER AS "Observations", p < 0.05 AS "Stationary" FROM adf_p""",
+        recursive=True,
+    )
+
+
+ORACLE["adf_test"] = _adf()
+ORACLE["adf_test_by_region"] = _adf("Region")

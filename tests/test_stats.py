@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from shelfcast.operators import stats
+from shelfcast.plans.catalogue import QUERIES
 
 from helpers import daily
 
@@ -116,3 +117,9 @@ def test_adf_per_key(spark):
     assert got["flat"]["Statistic"] is None and got["short"]["Stationary"] is None
     alone = stats.adf_test(daily(spark, rng.normal(size=100))).collect()
     assert len(alone) == 1 and alone[0]["P_Value"] < 0.05
+
+
+def test_adf_reads_its_series_once(spark, root):
+    """What is left to run reads the written series, not the lines."""
+    plan = QUERIES["adf_test_by_region"](spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
