@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions import calendar, clean
 from shelfcast.operators import measures as m
+from shelfcast.session import settle
 
 DUPLICATE_KEY = ("Order ID", "Product ID")
 
@@ -41,36 +42,48 @@ def date_bounds(facts: DataFrame) -> DataFrame:
     return facts.agg(F.min(day).alias("Start_Date"), F.max(day).alias("End_Date"))
 
 
-def _distinct(lines: DataFrame, name: str) -> DataFrame:
-    return lines.select(name).where(F.col(name).isNotNull()).distinct()
+def _distinct(groups: DataFrame, *names: str) -> DataFrame:
+    return groups.select(*names).distinct()
 
 
-def _distinct_rows(lines: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Number of distinct keys, nulls included. Lookup joins drop out of a plain distinct."""
-    return lines.select(*key).distinct().agg(F.count(F.lit(1)).alias("n"))
+def _known(groups: DataFrame, name: str) -> DataFrame:
+    return _distinct(groups.where(F.col(name).isNotNull()), name).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _values(lines: DataFrame, name: str) -> DataFrame:
-    return lines.select(name).distinct().agg(F.sort_array(F.collect_list(name)).alias(name))
+def _values(groups: DataFrame, name: str) -> DataFrame:
+    return _distinct(groups, name).agg(F.sort_array(F.collect_list(name)).alias(name))
 
 
 def quality_report(lines: DataFrame) -> DataFrame:
     """The data-quality report as one row.
 
-    Each distinct count is a scalar subquery of its own: it reads one column and combines
-    on the map side, where a single aggregate over all of them would copy every line once
-    per distinct column.
+    One pass over the lines sums them to groups of equal order, product, customer, category and
+    region, which are written once. Every count is then a scalar subquery of its own over those
+    narrow rows: it reads a column or two and combines on the map side, where a single aggregate over
+    all of them would copy every line once per distinct column.
     """
     day = F.col("Order Date")
     missing = sum((_nulls(c) for c in lines.columns), F.lit(0))
-    base = lines.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.min(day).alias("_first"),
-        F.max(day).alias("_last"),
-        missing.cast("bigint").alias("missing_values"),
-        m.total(lines, "Sales").alias("total_sales"),
-        m.total(lines, "Profit").alias("total_profit"),
+    groups = settle(
+        lines.groupBy("Order ID", "Product ID", "Customer ID", "Category", "Region").agg(
+            F.count(F.lit(1)).alias("_lines"),
+            F.min(day).alias("_first"),
+            F.max(day).alias("_last"),
+            missing.cast("bigint").alias("_missing"),
+            F.sum("Sales").alias("Sales"),
+            F.sum("Profit").alias("Profit"),
+        )
     )
+    nothing = F.lit(0).cast("bigint")
+    base = groups.agg(
+        F.coalesce(F.sum("_lines"), nothing).alias("total_rows"),
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        F.coalesce(F.sum("_missing"), nothing).alias("missing_values"),
+        m.total(groups, "Sales").alias("total_sales"),
+        m.total(groups, "Profit").alias("total_profit"),
+    )
+    pairs = _distinct(groups, *DUPLICATE_KEY).agg(F.count(F.lit(1)).alias("n"))
     return base.select(
         "total_rows",
         F.lit(len(lines.columns)).alias("total_columns"),
@@ -78,18 +91,13 @@ def quality_report(lines: DataFrame) -> DataFrame:
         calendar.iso_text(F.col("_last")).alias("end_date"),
         (F.datediff("_last", "_first") + 1).alias("total_days_span"),
         "missing_values",
-        (F.col("total_rows") - _distinct_rows(lines, DUPLICATE_KEY).scalar()).alias("duplicate_rows"),
+        (F.col("total_rows") - pairs.scalar()).alias("duplicate_rows"),
         "total_sales",
         "total_profit",
         clean.percent(F.col("total_profit"), F.col("total_sales")).alias("overall_profit_margin"),
-        *[
-            _distinct(lines, name).agg(F.count(F.lit(1)).alias("n")).scalar().alias(label)
-            for label, name in [
-                ("unique_orders", "Order ID"),
-                ("unique_customers", "Customer ID"),
-                ("unique_products", "Product ID"),
-            ]
-        ],
-        _values(lines, "Category").scalar().alias("categories"),
-        _values(lines, "Region").scalar().alias("regions"),
+        _known(groups, "Order ID").scalar().alias("unique_orders"),
+        _known(groups, "Customer ID").scalar().alias("unique_customers"),
+        _known(groups, "Product ID").scalar().alias("unique_products"),
+        _values(groups, "Category").scalar().alias("categories"),
+        _values(groups, "Region").scalar().alias("regions"),
     )

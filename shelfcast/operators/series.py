@@ -104,10 +104,10 @@ def _sums_by(facts: DataFrame, keys: Sequence[str], label: Column, names: Sequen
 
 
 def daily_totals(
-    facts: DataFrame, keys: Sequence[str] = (), names: Sequence[str] = ("Sales",)
+    facts: DataFrame, keys: Sequence[str] = (), names: Sequence[str] = ("Sales",), start: Column | None = None
 ) -> DataFrame:
-    """Gap-filled daily sums of the named measures only."""
-    return fill_gaps(_sums_by(facts, keys, F.col("Order Date").cast("date"), names), keys, "day")
+    """Gap-filled daily sums of the named measures only; ``start`` moves the first day back."""
+    return fill_gaps(_sums_by(facts, keys, F.col("Order Date").cast("date"), names), keys, "day", start=start)
 
 
 def monthly_totals(

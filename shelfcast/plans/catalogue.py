@@ -160,14 +160,26 @@ def daily_sales_ma(spark, root):
     return rounded_means(series.moving_averages(daily), "MA_7", "MA_30")
 
 
+def _newest(spark: SparkSession, root: str, days: int) -> tuple[DataFrame, dt.date | None]:
+    """Orders of the last day of sales and the ``days`` before it, and the first of these days that the
+    series of all sales has."""
+    star = SalesStar(spark, root)
+    span = star.sale_days()
+    if span is None:
+        return star.order_facts().where("false"), None
+    first = max(span[0], span[1] - dt.timedelta(days=days))
+    return star.order_facts_of_days(first, span[1]), first
+
+
 @query
 def recent_actuals(spark, root):
-    return series.recent_daily(SalesStar(spark, root).order_facts())
+    return series.recent_daily(_newest(spark, root, series.RECENT_DAYS)[0])
 
 
 @query
 def last_120_days(spark, root):
-    return series.last_days(_daily_sales(spark, root), 120)
+    facts, first = _newest(spark, root, 119)
+    return series.last_days(series.daily_totals(facts, start=F.lit(first)), 120)
 
 
 # ---- breakdowns ------------------------------------------------------------------------
@@ -293,13 +305,10 @@ def best_category(spark, root):
 @query
 def filter_options(spark, root):
     star = SalesStar(spark, root)
-    people = star.buyers(["Region", "Segment"])
-    return (
-        summary.distinct_values(star.sold_parts(["Category"]), "Category")
-        .unionByName(summary.distinct_values(people, "Region"))
-        .unionByName(summary.distinct_values(people, "Segment"))
-        .orderBy("Filter", "Value")
-    )
+    keys = star.line_keys()
+    parts = summary.choices(star.sold_parts(["Category"], keys), ["Category"])
+    people = summary.choices(star.buyers(["Region", "Segment"], keys), ["Region", "Segment"])
+    return parts.unionByName(people).orderBy("Filter", "Value")
 
 
 # ---- quality and cleaning --------------------------------------------------------------
@@ -616,7 +625,7 @@ def forecast_span(spark, root):
 
 @query
 def history_plus_forecast(spark, root):
-    recent = series.recent_daily(SalesStar(spark, root).order_facts())
+    recent = series.recent_daily(_newest(spark, root, series.RECENT_DAYS)[0])
     return fc.history_plus_forecast(recent, _baseline_bands(spark, root))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -86,12 +87,37 @@ def read_sales(
     return clean_sales(raw)
 
 
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside ``path``, then put the result in its place by renaming folders.
+
+    A write that fails leaves what was there. A crash between the two renames leaves both the old
+    folder and the new one complete beside the place, under their own names.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    staged, former = place.suffix(f".staged-{mark}"), place.suffix(f".former-{mark}")
+    try:
+        write(staged.toString())
+    except BaseException:
+        store.delete(staged, True)
+        raise
+    had = store.exists(place)
+    if had and not store.rename(place, former):
+        raise OSError(f"cannot move {place.toString()} aside")
+    if not store.rename(staged, place):
+        raise OSError(f"cannot move {staged.toString()} to {place.toString()}")
+    if had:
+        store.delete(former, True)
+
+
 def write_sales_table(lines: DataFrame, path: str) -> None:
     """Keep clean lines as Parquet, one folder per year, so date filters prune folders.
 
     Rows are brought together by year, and a large year is split into files of even size.
     """
-    lines.hint("rebalance", "Year").write.mode("overwrite").partitionBy("Year").parquet(path)
+    rows = lines.hint("rebalance", "Year")
+    replaced(lines.sparkSession, path, lambda staged: rows.write.partitionBy("Year").parquet(staged))
 
 
 def read_sales_table(spark: SparkSession, path: str) -> DataFrame:
@@ -99,11 +125,9 @@ def read_sales_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    writer = df.write.mode("overwrite")
-    if fmt == "csv":
-        writer.option("header", True).csv(path)
-    else:
-        writer.format(fmt).save(path)
+    """Write a result in place of an older one, which stays until the new one is whole."""
+    writer = df.write.option("header", True) if fmt == "csv" else df.write
+    replaced(df.sparkSession, path, lambda staged: writer.format(fmt).save(staged))
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators.filters import ALL, Slice, apply_slice
 from shelfcast.operators.measures import MONEY_UNITS, money_parts, sum_measures
+from shelfcast.session import settle
 from shelfcast.sources.columns import SALES_COLUMNS
 
 MONEY = "decimal(18,4)"
@@ -173,6 +174,38 @@ class SalesStar:
         facts = per_order.join(self._orders(wanted, chosen), "Order ID", how)
         return apply_slice(facts, Slice(regions=chosen.regions, segments=chosen.segments))
 
+    def order_facts_of_days(self, first: dt.date, last: dt.date) -> DataFrame:
+        """``order_facts`` of a short span of days. The span is pushed to the scan of the orders, and
+        their join comes before the sum: where so few orders can be broadcast, no other line moves."""
+        orders = self._orders(["Customer ID", "Order Date"], Slice(first, last))
+        items = self._items(["Order ID", *LINE_MEASURES]).join(orders, "Order ID")
+        return sum_measures(items, ["Order ID", "Customer ID", "Order Date"]).withColumn("Orders", _known_order())
+
+    def sale_days(self) -> tuple[dt.date, dt.date] | None:
+        """The first and the last order date that has a line, or None.
+
+        Searched from both ends of the order dates: the orders of a month, then of spans eight times
+        as long, are joined with the lines until one has a line. Only order keys and dates are read.
+        """
+        day = F.col("o_orderdate").cast("date")
+        ends = self.table("orders").agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+        if ends["first"] is None:
+            return None
+
+        def edge(pick, span_of) -> dt.date | None:
+            days = 32
+            while True:
+                span = span_of(dt.timedelta(days=days))
+                found = self._items(["Order ID"]).join(self._orders(["Order Date"], span), "Order ID").agg(pick("Order Date")).first()[0]
+                if found is not None or (span.start <= ends["first"] and span.end >= ends["last"]):
+                    return found
+                days *= 8
+
+        last = edge(F.max, lambda d: Slice(max(ends["first"], ends["last"] - d), ends["last"]))
+        if last is None:
+            return None
+        return edge(F.min, lambda d: Slice(ends["first"], min(ends["last"], ends["first"] + d))), last
+
     def part_order_facts(
         self, attributes: Sequence[str], order_columns: Sequence[str] = ("Customer ID", "Order Date")
     ) -> DataFrame:
@@ -186,13 +219,20 @@ class SalesStar:
         facts = sum_measures(known, ["Order ID", *attributes]).withColumn("Orders", _known_order())
         return facts.join(self._orders(order_columns), "Order ID", "left") if order_columns else facts
 
-    def sold_parts(self, columns: Sequence[str]) -> DataFrame:
-        """The asked columns of parts that have a line."""
-        return self._parts(columns).join(self._items(["Product ID"]), "Product ID", "left_semi")
+    def line_keys(self) -> DataFrame:
+        """(kind, id): the distinct orders and parts of all lines, from one scan, written once."""
+        both = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).cast("bigint").alias("id")) for n in ("Order ID", "Product ID")])
+        return settle(self._items(["Order ID", "Product ID"]).select(F.inline(both)).where("id is not null").distinct())
+
+    def sold_parts(self, columns: Sequence[str], keys: DataFrame) -> DataFrame:
+        """The asked columns of parts that have a line, by the keys of all lines."""
+        sold = keys.where(F.col("kind") == "Product ID").select(F.col("id").alias("Product ID"))
+        return self._parts(columns).join(sold, "Product ID", "left_semi")
 
-    def buyers(self, columns: Sequence[str]) -> DataFrame:
-        """The asked columns of customers with an order that has a line."""
-        orders = self._orders(["Customer ID"]).join(self._items(["Order ID"]), "Order ID", "left_semi")
+    def buyers(self, columns: Sequence[str], keys: DataFrame) -> DataFrame:
+        """The asked columns of customers with an order that has a line, by the keys of all lines."""
+        placed = keys.where(F.col("kind") == "Order ID").select(F.col("id").alias("Order ID"))
+        orders = self._orders(["Customer ID"]).join(placed, "Order ID", "left_semi")
         return self._customers(columns).join(orders, "Customer ID", "left_semi")
 
     def customer_facts(

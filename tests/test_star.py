@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions import calendar
 from shelfcast.operators import series, summary
 from shelfcast.operators.filters import Slice
+from shelfcast.plans.catalogue import QUERIES
 from shelfcast.sources.star import SalesStar
 
 HOT = 7  # this order, part and customer each hold a third of all lines
@@ -219,3 +220,34 @@ def test_lines_without_an_order_id_are_no_order(spark, data, tmp_path):
     assert (category["Sales"], category["Orders"]) == (125.0, 2)
     # Without an order there is no date: no series holds such lines.
     assert series.daily_totals(star.order_facts()).agg(F.sum("Sales")).first()[0] == 10.0
+
+
+def test_days_of_sales_are_searched_from_both_ends(spark, tmp_path):
+    """Orders without lines at both ends, and a long time without any."""
+    days = ["1990-01-01", "1995-03-01", "1995-03-02", "2001-08-01", "2020-01-01"]
+    orders = [(i, 1, day, "1-URGENT") for i, day in enumerate(days)]
+    frame = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, day string, o_orderpriority string")
+    frame.withColumn("o_orderdate", F.col("day").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    schema = "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz, l_quantity double, l_discount double, l_extendedprice double"
+    rows = [(1, 1, None, 1.0, 0.0, 5.0), (3, 1, None, 1.0, 0.0, 7.0), (99, 1, None, 1.0, 0.0, 9.0), (None, 1, None, 1.0, 0.0, 9.0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    star = SalesStar(spark, str(tmp_path))
+    assert [d.isoformat() for d in star.sale_days()] == ["1995-03-01", "2001-08-01"]
+    facts = star.order_facts_of_days(*star.sale_days())
+    assert sorted((r["Order ID"], r["Orders"]) for r in facts.collect()) == [(1, 1), (3, 1)]
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert SalesStar(spark, str(tmp_path)).sale_days() is None
+
+
+@pytest.mark.parametrize("name", ["recent_actuals", "last_120_days"])
+def test_newest_days_push_their_date_to_the_orders(spark, root, name):
+    plan = QUERIES[name](spark, root)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "o_orderdate" in line and "Scan" in line)
+    assert "GreaterThanOrEqual(o_orderdate" in scan.split("PushedFilters")[1]
+
+
+@pytest.mark.parametrize("name", ["quality_report", "filter_options"])
+def test_lines_are_read_once_beforehand(spark, root, name):
+    """What is left to run reads the written groups or keys."""
+    plan = QUERIES[name](spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "l_partkey" not in plan
