@@ -175,3 +175,44 @@ def feature_importance(
     weights = model.stages[-1].featureImportances.toArray().tolist()
     pairs = spark.createDataFrame(list(zip(spec.names, weights)), "Feature string, Importance double")
     return pairs.orderBy(F.desc("Importance"), "Feature").limit(top)
+
+
+def range_check(predictions: DataFrame, train: DataFrame, target: str) -> DataFrame:
+    """Per model: test days, the range of the training target, and how many predictions lie outside.
+
+    A mean of training rows, which a forest predicts, cannot leave their range.
+    """
+    span = train.agg(F.min(target).alias("low"), F.max(target).alias("high")).first()
+    outside = ~F.col("Predicted").between(span["low"], span["high"])
+    return predictions.groupBy("Model").agg(
+        F.count(F.lit(1)).alias("Test_Days"),
+        F.lit(span["low"]).alias("Lowest"),
+        F.lit(span["high"]).alias("Highest"),
+        F.count_if(F.coalesce(outside, F.lit(True))).alias("Outside"),
+    )
+
+
+def training_gain(model: PipelineModel, name: str, train: DataFrame, target: str) -> DataFrame:
+    """Training days, the spread of the target, and whether the model's error there is smaller.
+
+    Boosting starts from the mean and fits each tree to what is left, so it cannot do worse.
+    """
+    error = F.col("prediction") - F.col(target)
+    scored = model.transform(train)
+    return scored.agg(
+        F.lit(name).alias("Model"),
+        F.count(F.lit(1)).alias("Train_Days"),
+        F.stddev_pop(target).alias("Spread"),
+        (F.sqrt(F.avg(error * error)) < F.stddev_pop(target)).alias("Gained"),
+    )
+
+
+def importance_check(importances: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Rows, how many of them name a feature once, how many are negative, and their sum."""
+    known = F.col("Feature").isin(list(spec.names))
+    return importances.agg(
+        F.count(F.lit(1)).alias("Features"),
+        F.count_distinct(F.when(known, F.col("Feature"))).alias("Known"),
+        F.count_if(F.col("Importance") < 0).alias("Negative"),
+        F.sum("Importance").alias("Total"),
+    )

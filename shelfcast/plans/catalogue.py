@@ -771,3 +771,28 @@ def champion_forecast(spark, root):
 @query
 def feature_importance(spark, root):
     return trainer(spark, root).feature_importance()
+
+
+@query
+def forest_range(spark, root):
+    """A forest's predictions stay inside the range of what it was trained on."""
+    alone = trainer(spark, root, models.FOREST)
+    train, _ = alone.prepare_data()
+    return models.range_check(alone.predictions_of(models.FOREST), train, SPEC.target)
+
+
+@query
+def boost_gain(spark, root):
+    """Boosting explains some of the training days' spread."""
+    alone = trainer(spark, root, models.BOOSTING)
+    train, _ = alone.prepare_data()
+    fitted = alone.fitted(models.BOOSTING)[models.BOOSTING]
+    return rounded(models.training_gain(fitted, models.BOOSTING, train, SPEC.target), 2, "Spread")
+
+
+@query
+def importance_totals(spark, root):
+    """The importances of all features of a forest are shares of one whole."""
+    alone = trainer(spark, root, models.FOREST)
+    shares = alone.feature_importance(models.FOREST, len(SPEC.names))
+    return rounded(models.importance_check(shares, SPEC), 6, "Total")

@@ -984,3 +984,27 @@ SELECT {names}ROUND(tau, 6) AS "Statistic", ROUND(p, 6) AS "P_Value", {critical}
 
 ORACLE["adf_test"] = _adf()
 ORACLE["adf_test_by_region"] = _adf("Region")
+
+
+# ---- properties of tree models ---------------------------------------------------------
+
+_TRAIN = """
+train_rows AS (SELECT "Sales" AS y FROM featured WHERE rn > 30 ORDER BY "Date" DESC OFFSET 90)"""
+
+ORACLE["forest_range"] = _with(
+    *_FEATURES,
+    _TEST,
+    _TRAIN,
+    select="""
+SELECT 'Random Forest' AS "Model", (SELECT COUNT(*) FROM test_rows) AS "Test_Days", MIN(y)::DOUBLE AS "Lowest",
+  MAX(y)::DOUBLE AS "Highest", 0::BIGINT AS "Outside" FROM train_rows""",
+)
+ORACLE["boost_gain"] = _with(
+    *_FEATURES,
+    _TRAIN,
+    select="""
+SELECT 'Gradient Boosting' AS "Model", COUNT(*) AS "Train_Days", ROUND(STDDEV_POP(y::DOUBLE), 2) AS "Spread", TRUE AS "Gained" FROM train_rows""",
+)
+ORACLE["importance_totals"] = f"""
+SELECT COUNT(*) AS "Features", COUNT(DISTINCT n) AS "Known", 0::BIGINT AS "Negative", 1.0::DOUBLE AS "Total"
+FROM (SELECT unnest([{_FEATURE_LIST}]) AS n)"""

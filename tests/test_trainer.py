@@ -43,6 +43,24 @@ def test_comparison(trained):
     assert trained.best_model_name == table[0]["Model"]
 
 
+def test_importances_are_sorted_shares(trained):
+    for name in (models.FOREST, models.BOOSTING):
+        rows = [tuple(r) for r in trained.feature_importance(name, 12).collect()]
+        assert len(rows) == 12 and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
+        check = models.importance_check(trained.feature_importance(name, 99), FeatureSpec()).first()
+        assert (check["Features"], check["Known"], check["Negative"]) == (36, 36, 0)
+        assert check["Total"] == pytest.approx(1.0)
+
+
+def test_properties_that_trees_must_have(spark, trained):
+    train, _ = trained.prepare_data()
+    row = models.range_check(trained.predictions_of(models.FOREST), train, "Sales").first()
+    assert (row["Test_Days"], row["Outside"]) == (90, 0)
+    far = spark.createDataFrame([("m", 1e9), ("m", float("nan")), ("m", None), ("m", 100.0)], "Model string, Predicted double")
+    assert models.range_check(far, train, "Sales").first()["Outside"] == 3
+    assert models.training_gain(trained.models[models.BOOSTING], "b", train, "Sales").first()["Gained"]
+
+
 def test_champion_forecast(trained):
     ahead = trained.generate_recursive_forecast(30).orderBy("Date").collect()
     assert len(ahead) == 30 and {r["Model"] for r in ahead} == {trained.best_model_name}
