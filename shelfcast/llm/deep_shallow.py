@@ -170,7 +170,7 @@ def solve(groups: list[Group], window: int, gram: int) -> tuple[np.ndarray, np.n
 
 
 def _kept(batch: pa.RecordBatch, symbols: ByteSymbols, removed: np.ndarray) -> dict:
-    n_removed, n_spans, digests, kept = [], [], [], []
+    n_removed, n_spans, digests, kept, texts = [], [], [], [], []
     first = symbols.first.tolist()
     for a, b in zip(first[:-1], first[1:]):
         gone = removed[a:b]
@@ -179,22 +179,34 @@ def _kept(batch: pa.RecordBatch, symbols: ByteSymbols, removed: np.ndarray) -> d
         rest = symbols.data[a:b][~gone].tobytes() if n_removed[-1] else symbols.bytes[a:b]
         kept.append(rest)
         digests.append(hashlib.sha256(rest).hexdigest())
+        texts.append(whole_characters(symbols.data[a:b], gone) if n_removed[-1] else rest)
     return {n: batch.column(n) for n in batch.schema.names} | {
         "n_bytes": pa.array(np.diff(symbols.first), pa.int64()),
         "n_removed": pa.array(n_removed, pa.int64()),
         "n_spans": pa.array(n_spans, pa.int64()),
         "kept": pa.array(kept, pa.binary()),
         "kept_sha256": pa.array(digests, pa.string()),
+        "text": pa.array([t.decode() for t in texts], pa.string()),
     }
 
 
-def drop_repeated_bytes(docs: DataFrame, columns: list[str], window: int = 400, group_limit: int = 20_000, with_kept: bool = True) -> DataFrame:
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> bytes:
+    """The characters of UTF-8 text that have lost no byte."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts):
+        return b""
+    hurt = np.maximum.reduceat(gone, starts)
+    return data[~np.repeat(hurt, np.diff(np.append(starts, len(data))))].tobytes()
+
+
+def drop_repeated_bytes(docs: DataFrame, columns: list[str], window: int = 400, group_limit: int = 20_000, with_kept: bool = True, with_text: bool = False) -> DataFrame:
     """One row per document with the bytes of its text that are not covered by a ``window``-byte
     string that also starts elsewhere, in the same document or another.
 
     Strings are judged on the input: every copy goes, the first too. Output: ``columns`` (without
     the text), n_bytes, n_removed, n_spans (maximal runs of removed bytes), kept_sha256 and, if
-    asked for, kept: binary, as a cut can fall inside a character.
+    asked for, kept (binary, as a cut can fall inside a character) and text (the characters that
+    lost no byte).
 
     Defined results: a null text counts as an empty one; a text shorter than a window keeps all;
     rows that repeat, also with the same id, are documents each; other columns are ignored.
@@ -204,4 +216,5 @@ def drop_repeated_bytes(docs: DataFrame, columns: list[str], window: int = 400,
     fields = [f for f in chosen.schema.fields if f.name != "text"]
     fields += [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     fields += [StructField("kept", BinaryType())] * with_kept + [StructField("kept_sha256", StringType())]
+    fields += [StructField("text", StringType())] * with_text
     return without_repeats(chosen, plan, lambda groups: solve(groups, window, plan.gram), _kept, StructType(fields))

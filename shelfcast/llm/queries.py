@@ -80,8 +80,31 @@ FROM d LEFT JOIN kept USING (r)
 
 @query
 def op7_suffix_array_dedup(spark, root):
-    kept = deep_shallow.drop_repeated_bytes(table(spark, root, "documents"), ["doc_id"], with_kept=False)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    kept = deep_shallow.drop_repeated_bytes(table(spark, root, "documents"), ["doc_id"], with_kept=False, with_text=True)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+
+
+ORACLE["op7_suffix_array_dedup"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, encode(coalesce(text, '')) AS h FROM documents),
+byte AS MATERIALIZED (
+  SELECT r, p, hex(h[p:p]) AS b, CASE WHEN p <= n - 399 THEN md5(h[p:p + 399]) END AS k
+  FROM (SELECT r, n, h, unnest(range(1, n + 1)) AS p FROM d)),
+rep AS (SELECT k FROM byte WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+marked AS (
+  SELECT r, p, b, coalesce(p - max(CASE WHEN rep.k IS NOT NULL THEN p END) OVER w < 400, false) AS gone,
+    sum(CASE WHEN b BETWEEN '80' AND 'BF' THEN 0 ELSE 1 END) OVER w AS c
+  FROM byte LEFT JOIN rep USING (k) WINDOW w AS (PARTITION BY r ORDER BY p)),
+spans AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS first FROM marked),
+hurt AS (SELECT r, c FROM marked GROUP BY r, c HAVING bool_or(gone)),
+sums AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS kept,
+    string_agg(b, '' ORDER BY p) FILTER (hurt.c IS NULL) AS whole
+  FROM spans LEFT JOIN hurt USING (r, c) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256, decode(unhex(coalesce(whole, ''))) AS text
+FROM d LEFT JOIN sums USING (r)
+"""
 
 
 @query

@@ -6,6 +6,7 @@ is a word byte. So words are found and hashed without making a Python object of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 # Bytes hashed at a time.
 PIECE = 1 << 19
+# Words of so many bytes are hashed by a digest.
+LONG = 256
 # Text handled at a time by the operators.
 SLICE_BYTES = 2 << 20
 
@@ -117,6 +120,10 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: n
         s = starts[i:j] - at
         out[i:j] = (sums[ends[i:j] - at] - sums[s]) * _DOWN[s]
         i = j
+    for k in np.flatnonzero(ends - starts >= LONG):
+        # Some long runs of two letters and of their exchange have one polynomial value modulo 2**64.
+        digest = hashlib.blake2b(codes[data[starts[k] : ends[k]]].tobytes(), digest_size=8)
+        out[k] = int.from_bytes(digest.digest(), "little")
     return mix(out)
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from shelfcast.llm import deep_shallow as ds
@@ -91,7 +92,12 @@ def test_registered_bytes_query_against_brute_force(spark, root):
             if seen[t[i : i + 400]] > 1:
                 mask[i : i + 400] = b"\1" * 400
         spans = sum(bool(mask[i]) and not (i and mask[i - 1]) for i in range(len(mask)))
-        expected.append((doc_id, len(t), sum(mask), spans, sha(bytes(b for b, m in zip(t, mask) if not m))))
+        whole, at = [], 0
+        for c in t.decode():
+            size = len(c.encode())
+            whole += [] if any(mask[at : at + size]) else [c]
+            at += size
+        expected.append((doc_id, len(t), sum(mask), spans, sha(bytes(b for b, m in zip(t, mask) if not m)), "".join(whole)))
     got = [tuple(r) for r in QUERIES["op7_suffix_array_dedup"](spark, root).collect()]
     assert sorted(got) == sorted(expected)
 
@@ -118,3 +124,13 @@ def test_suffix_order(seed):
 
 def test_prefix_intervals():
     assert sorted(ds.prefix_intervals([2, 5, 5, 1])) == [(1, 0, 5), (2, 0, 4), (5, 1, 4)]
+
+
+def test_text_keeps_whole_characters_only():
+    data = np.frombuffer("aéüz€".encode(), np.uint8)
+    for lost in range(len(data)):
+        gone = np.arange(len(data)) == lost
+        kept = ds.whole_characters(data, gone).decode()
+        assert len(kept) == 4 and set(kept) < set("aéüz€")
+    assert ds.whole_characters(data, np.zeros(len(data), bool)).decode() == "aéüz€"
+    assert ds.whole_characters(data, np.ones(len(data), bool)) == b""

@@ -80,3 +80,15 @@ def test_segments_across_stretches(monkeypatch):
     symbols = ByteSymbols([bytes(range(65, 91)) * 4])
     seen = [i for s in stretches(symbols, 5, 2) for a, n in zip(s.at + s.start, s.windows) for i in range(a, a + n)]
     assert seen == list(range(len(symbols) - 4))
+
+
+def test_long_words_of_two_letters_differ():
+    """A Thue-Morse word and its complement, which polynomial hashes modulo a power of two cannot tell apart."""
+    for form in (w.SPACED, w.FOLDED):
+        for size in (256, 1024, 4096):
+            word = bytes(b"ab"[bin(i).count("1") % 2] for i in range(size))
+            other = word.translate(bytes.maketrans(b"ab", b"ba"))
+            hashes = w.find_words([word + b" " + other + b" " + word], form).hashes
+            assert hashes[0] == hashes[2] != hashes[1]
+    upper = w.find_words([b"A" * 300 + b" " + b"a" * 300], w.FOLDED).hashes
+    assert upper[0] == upper[1]
