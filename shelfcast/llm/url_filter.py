@@ -28,28 +28,31 @@ RULES = [
     ("block", "com/de/"),
 ]
 
-# Labelled addresses: unwanted (1) and harmless (0).
-UNWANTED = [
-    "http://cheap-pills.example.net/en/1", "https://www.cheap-pills.example.com/fr/220", "http://buy-pills-online.example.net/order",
-    "https://blog.casino-win.example.net/en/34", "http://casino-win.example.com/de/8", "https://win-big-casino.example.net/slots",
-    "https://www.spam-farm.example.net/en/11999", "http://spam-farm.example.com/es/26", "http://m.spam-farm.example.net/en/7",
-    "http://free-bets.example.net/en/5462", "https://www.free-bets.example.com/fr/31?page=2", "https://sports-bets-live.example.net/odds",
-    "http://ads-track.example.net/en/77", "https://m.ads-track.example.com/de/8051.html", "http://banner-ads.example.net/track?id=1",
-    "https://adult-x.example.net/en/6920", "http://blog.adult-x.example.com/fr/14",
-    "https://hot-singles.example.net/xxx", "http://free-porn-tube.example.com/videos/adult", "https://adult-cams.example.net/live-sex",
-    "http://poker-bonus.example.com/free-spins", "https://viagra-discount.example.net/buy", "http://payday-loans-fast.example.com/apply",
-    "https://replica-watches.example.net/cheap", "http://crack-keygen.example.com/serial/download", "https://torrent-warez.example.net/free",
-]
-HARMLESS = [
-    "https://ththre.example.net/en/825", "http://tionsh.example.net/fr/25930", "https://blog.tionble.example.com/en/7198",
-    "https://www.thering.example.net/de/39547.html", "https://therha.example.net/en/35332/", "http://m.thther.example.com/es/414",
-    "https://news.example.com/en/2024/05/election", "https://docs.example.net/guide/install.html", "http://university.example.net/physics/lecture3",
-    "https://library.example.com/catalogue/books/history", "https://museum.example.net/es/visita", "http://recipes.example.com/soup/onion",
-    "https://weather.example.net/fr/paris", "http://blog.gardens.example.com/en/roses-in-may", "https://city.example.net/de/rathaus",
-    "http://blog.ththan.example.net/en/960", "https://m.therat.example.com/es/49", "https://ththing.example.net/en/29347", "http://www.therin.example.com/en/1572",
-    "https://science.example.com/articles/1021", "http://trains.example.net/timetable/en/7", "https://www.thernd.example.com/en/9063/",
-]
-LABELLED = [(u, 1) for u in UNWANTED] + [(u, 0) for u in HARMLESS]
+# Names of labelled hosts, unwanted and harmless; none is one of the given tables.
+UNWANTED = """
+discount-pills pills-express pills-online cheap-meds cheap-viagra cheap-loans royal-casino casino-jackpot online-casino casino-slots
+win-cash win-prizes win-jackpot spam-links spam-mailer spam-clicks link-farm content-farm click-farm live-bets bets-today sports-bets
+free-spins free-cash free-viagra ads-server banner-ads pop-ads track-clicks track-users click-track adult-chat adult-cams adult-singles
+xxx-tube xxx-cams hot-singles hot-cams poker-bonus poker-jackpot casino-bonus payday-loans quick-loans payday-cash replica-watches
+cheap-replica crack-keygen keygen-serials torrent-warez warez-cracks
+""".split()
+HARMLESS = """
+theatre weather nation station northstar otherness mathematics earthscience thirteenth heritage theory thermalbaths
+education traditions stationery rations nationalpark therapy anthem authors brothers citylibrary museum university
+newsroom gardens recipes historybooks archive physics timetable hospital villageschool choir riverwalk bakery carpenter
+astronomy opendata lawreview poetry cycling chessclub orchard translation readingroom harbour wintersports library
+city-museum public-library weather-maps earth-science law-school village-choir
+""".split()
+ENDINGS = ("example.net", "example.com")
+PLACES = ("en/101", "fr/2300", "es/47.html", "de/805/", "en/9?page=2")
+
+
+def addresses(names: list[str]) -> list[str]:
+    """An address for each name; endings and paths go round, so that neither says anything of the label."""
+    return [f"https://{n}.{ENDINGS[i % 2]}/{PLACES[i % 5]}" for i, n in enumerate(names)]
+
+
+LABELLED = [*[(u, 1) for u in addresses(UNWANTED)], *[(u, 0) for u in addresses(HARMLESS)]]
 
 
 def host_of(url: Column) -> Column:
