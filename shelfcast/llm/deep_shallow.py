@@ -131,8 +131,10 @@ def prefix_intervals(lengths: list[int]) -> list[tuple[int, int, int]]:
 
 def _group_repeats(group: Group, window: int, gram: int) -> list[tuple[int, int, int]]:
     """(segment, first window, past-the-last window) of what repeats within a group."""
-    left = [c[:a][::-1] for c, a in zip(group.contents, group.anchors)]
-    right = [c[a:] for c, a in zip(group.contents, group.anchors)]
+    # A segment at several places takes part twice: its copy is its neighbour in both orders.
+    own = [m for m, total in enumerate(group.totals) for _ in range(min(total, 2))]
+    left = [group.contents[m][: group.anchors[m]][::-1] for m in own]
+    right = [group.contents[m][group.anchors[m] :] for m in own]
     order = suffix_order(right, gram)
     lengths = [common(right[a], right[b]) for a, b in zip(order, order[1:])]
     rank = [0] * len(left)
@@ -146,12 +148,13 @@ def _group_repeats(group: Group, window: int, gram: int) -> list[tuple[int, int,
             continue
         members = sorted(order[a:b], key=rank.__getitem__)
         agree = [common(left[p], left[q]) for p, q in zip(members, members[1:])]
-        for i, m in enumerate(members):
+        for i, p in enumerate(members):
             best = max(agree[i - 1] if i else -1, agree[i] if i < len(agree) else -1)
             if best >= need:
                 # Windows that start between need and best bytes before the anchor.
-                own = group.anchors[m]
-                found.append((m, own - best, min(own - need, group.windows[m] - 1) + 1))
+                m = own[p]
+                anchor = group.anchors[m]
+                found.append((m, anchor - best, min(anchor - need, group.windows[m] - 1) + 1))
     return found
 
 
@@ -159,12 +162,11 @@ def solve(groups: list[Group], window: int, gram: int) -> tuple[np.ndarray, np.n
     segment, low, high = [], [], []
     at = 0
     for g in groups:
-        if g.contents[0]:  # otherwise single windows known by their hashes
-            for m, a, b in _group_repeats(g, window, gram):
-                if b > a:
-                    segment.append(at + m)
-                    low.append(a)
-                    high.append(b)
+        for m, a, b in _group_repeats(g, window, gram):
+            if b > a:
+                segment.append(at + m)
+                low.append(a)
+                high.append(b)
         at += len(g.contents)
     return np.array(segment, np.int64), np.array(low, np.int64), np.array(high, np.int64)
 
@@ -199,7 +201,7 @@ def whole_characters(data: np.ndarray, gone: np.ndarray) -> bytes:
     return data[~np.repeat(hurt, np.diff(np.append(starts, len(data))))].tobytes()
 
 
-def drop_repeated_bytes(docs: DataFrame, columns: list[str], window: int = 400, group_limit: int = 20_000, with_kept: bool = True, with_text: bool = False) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, columns: list[str], window: int = 400, group_limit: int = 2_048, with_kept: bool = True, with_text: bool = False) -> DataFrame:
     """One row per document with the bytes of its text that are not covered by a ``window``-byte
     string that also starts elsewhere, in the same document or another.
 

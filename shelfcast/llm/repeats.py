@@ -11,12 +11,14 @@ text; the operators ask which windows start anywhere else too.
    whose anchor occurs once in the corpus is unique and leaves at once; that is most of them. A
    block asks once for each of its distinct anchors, however many copies it holds.
 3. *Segments.* Consecutive windows with the same anchor travel as one segment of text, once for
-   each block and distinct text. Segments are grouped by a prefix of variable length: by the anchor
-   where it occurs at most ``group_limit`` times, so a group's distinct text is bounded; beyond
-   that by the whole window, in the form of two 64-bit hashes, so the text of a group is one
-   window and only its counts are added up.
+   each block and distinct text, and are grouped by the anchor, if it occurs at most
+   ``group_limit`` times: a group has no more rows, places or texts than that.
 4. *Groups.* Sorted groups stream through a solver, which returns the windows that repeat.
-5. *Spans* of repeated windows go back to their blocks.
+5. *Hot windows.* Where the anchor occurs more often the prefix grows to the whole window: a block
+   asks once for each of its distinct windows with such an anchor, known by two 64-bit hashes, and
+   learns which of them occur twice or more. Neither text nor places leave the block, and a
+   passage in a third of all documents is 20 bytes for each window and block.
+6. *Spans* of repeated windows go back to their blocks.
 
 Nothing is collected on the driver, and no pair of places is ever made.
 """
@@ -30,12 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfcast.llm.words import BYTE_CODES, PIECE, SPACED, U64, covered, find_words, mix, powers, rolling, slices, texts_of
 from shelfcast.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
+# Blocks for each bucket of questions: a bucket holds about so many blocks' worth of anchors.
+BUCKET_BLOCKS = 16
 # Bytes of sorted segments handed to a solver at a time.
 SOLVE_BYTES = 4 << 20
 
@@ -90,7 +95,7 @@ class Plan:
     symbols: Callable
     window: int
     gram: int
-    group_limit: int = 20_000
+    group_limit: int = 2_048
 
 
 # ---- blocks ----------------------------------------------------------------------------
@@ -145,22 +150,31 @@ class Stretch:
     key: np.ndarray
 
 
-def stretches(symbols, window: int, gram: int) -> Iterator[Stretch]:
-    """The segments of all texts, a bounded number of symbols at a time."""
+def pieces(symbols, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A bounded number of symbols at a time: (place of the first, codes, starts of the windows in them).
+
+    Windows lie within a text; the starts count from the first symbol of the piece.
+    """
     last = len(symbols) - window + 1
     size = PIECE - window
-    if gram > window or size <= 0:
-        raise ValueError("the gram must fit in the window, and the window in a stretch")
-    place = U64((1 << 20) - 1)
+    if size <= 0:
+        raise ValueError("the window must fit in a piece")
     bounds = np.unique(symbols.first[1:-1])
     for at in range(0, max(last, 0), size):
         n = min(size, last - at)
-        codes = symbols.codes(at, at + n + window - 1)
-        hashes = rolling(codes, gram)
-        low = sliding_min((hashes & ~place) | np.arange(len(hashes), dtype=U64), window - gram + 1) & place
         near = bounds[(bounds > at) & (bounds - window + 1 < at + n)] - at
         broken = covered(n, np.clip(near - window + 1, 0, n), np.clip(near, 0, n))
-        whole = np.flatnonzero(~broken)
+        yield at, symbols.codes(at, at + n + window - 1), np.flatnonzero(~broken)
+
+
+def stretches(symbols, window: int, gram: int) -> Iterator[Stretch]:
+    """The segments of all texts, a bounded number of symbols at a time."""
+    if gram > window:
+        raise ValueError("the gram must fit in the window")
+    place = U64((1 << 20) - 1)
+    for at, codes, whole in pieces(symbols, window):
+        hashes = rolling(codes, gram)
+        low = sliding_min((hashes & ~place) | np.arange(len(hashes), dtype=U64), window - gram + 1) & place
         low = low[whole].astype(np.int64)
         if not len(whole):
             continue
@@ -169,6 +183,41 @@ def stretches(symbols, window: int, gram: int) -> Iterator[Stretch]:
         yield Stretch(at, codes, whole[new], np.diff(np.append(new, len(whole))), anchor, hashes[anchor])
 
 
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins in sorted columns."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _ask(block: int, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The distinct rows of ``keys`` and how often each is there, by bucket."""
+    bucket = (keys[:, 0] % U64(buckets)).astype(np.int64)
+    order = np.lexsort((*keys.T[::-1], bucket))
+    keys, bucket = keys[order], bucket[order]
+    first = runs(*keys.T)
+    n = np.diff(np.append(first, len(keys))).astype(np.int32)
+    keys, bucket = keys[first], bucket[first]
+    filled = runs(bucket)
+    ends = np.append(filled[1:], len(bucket))
+    return pa.RecordBatch.from_pydict(
+        {
+            "bucket": pa.array(bucket[filled], pa.int64()),
+            "block": pa.array([block] * len(filled), pa.int64()),
+            "keys": pa.array([keys[a:b].tobytes() for a, b in zip(filled, ends)], pa.binary()),
+            "counts": pa.array([n[a:b].tobytes() for a, b in zip(filled, ends)], pa.binary()),
+        }
+    )
+
+
+QUESTIONS = "bucket long, block long, keys binary, counts binary"
+ANSWERS = "block long, keys binary, often binary, hot boolean"
+
+
 def _questions(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) -> Iterator[pa.RecordBatch]:
     """Each block's distinct anchors and how often it has them, by bucket."""
     for batch in batches:
@@ -182,20 +231,7 @@ def _questions(batches: Iterator[pa.RecordBatch], plan: Plan, buckets: int) -> I
                 continue
             # A segment cut in two by the end of a stretch has one anchor.
             _, once = np.unique(np.concatenate(places), return_index=True)
-            key, n = np.unique(np.concatenate(keys)[once], return_counts=True)
-            bucket = (key % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, n = key[order], n[order]
-            low = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            filled = np.flatnonzero(np.diff(low))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(filled, pa.int64()),
-                    "block": pa.array([block] * len(filled), pa.int64()),
-                    "keys": pa.array([key[low[b] : low[b + 1]].tobytes() for b in filled], pa.binary()),
-                    "counts": pa.array([n[low[b] : low[b + 1]].astype(np.int32).tobytes() for b in filled], pa.binary()),
-                }
-            )
+            yield _ask(block, np.concatenate(keys)[once][:, None], buckets)
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:
@@ -209,29 +245,39 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _answers(asked: pa.Table, limit: int) -> pa.Table:
-    """Which anchors of a bucket occur twice or more, for each block that asked."""
-    keys = [np.frombuffer(b, np.uint64) for b in asked.column("keys").to_pylist()]
+def _answers(asked: pa.Table, width: int, limit: int) -> pa.Table:
+    """Which keys of a bucket occur twice or more, for each block that asked; a key is ``width`` hashes."""
+    keys = [np.frombuffer(b, np.uint64).reshape(-1, width) for b in asked.column("keys").to_pylist()]
     counts = np.concatenate([np.frombuffer(b, np.int32) for b in asked.column("counts").to_pylist()])
     row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")
-    first = runs(key[order])
+    order = np.lexsort(key.T[::-1])
+    first = runs(*key[order].T)
     totals = np.add.reduceat(counts[order].astype(np.int64), first)
     total = np.empty(len(key), np.int64)
     total[order] = np.repeat(totals, np.diff(np.append(first, len(key))))
     kept = np.flatnonzero(total > 1)
     low = np.searchsorted(row[kept], np.arange(len(keys) + 1))
     filled = np.flatnonzero(np.diff(low))
+    often = [total[kept[low[r] : low[r + 1]]] > limit for r in filled]
     return pa.table(
         {
             "block": asked.column("block").take(pa.array(filled)),
             "keys": pa.array([key[kept[low[r] : low[r + 1]]].tobytes() for r in filled], pa.binary()),
-            "often": pa.array([(total[kept[low[r] : low[r + 1]]] > limit).tobytes() for r in filled], pa.binary()),
+            "often": pa.array([o.tobytes() for o in often], pa.binary()),
+            "hot": pa.array([bool(o.any()) for o in often], pa.bool_()),
         }
     )
 
 
+def _repeated_anchors(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of a block that repeat, sorted, and which of them do so too often for a group."""
+    keys = np.concatenate([np.frombuffer(b, np.uint64) for b in answers.column("keys").to_pylist()])
+    often = np.concatenate([np.frombuffer(b, bool) for b in answers.column("often").to_pylist()])
+    order = np.argsort(keys)
+    return keys[order], often[order]
+
+
 # ---- segments --------------------------------------------------------------------------
 
 
@@ -245,41 +291,25 @@ def _segments(blocks: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
     """The segments of a block whose anchors repeat: one row for each distinct text."""
     found = []
     if answers.num_rows and blocks.num_rows:
-        keys = np.concatenate([np.frombuffer(b, np.uint64) for b in answers.column("keys").to_pylist()])
-        often = np.concatenate([np.frombuffer(b, bool) for b in answers.column("often").to_pylist()])
-        order = np.argsort(keys)
-        keys, often = keys[order], often[order]
+        keys, often = _repeated_anchors(answers)
         symbols = plan.symbols(texts_of(unpack(blocks.column("payload")[0].as_py())))
         for s in stretches(symbols, plan.window, plan.gram):
             at = np.minimum(np.searchsorted(keys, s.key), len(keys) - 1)
-            wanted = keys[at] == s.key
-            plain = np.flatnonzero(wanted & ~often[at])
-            same = _span_hash(s.codes, s.start[plain], s.start[plain] + s.windows[plain] + plan.window - 1)
-            found.append((s.key[plain], same, s.at + s.start[plain], s.windows[plain], s.anchor[plain] - s.start[plain], np.ones(len(plain), bool)))
-            hot = np.flatnonzero(wanted & often[at])
-            if len(hot):
-                # The longest prefix: a window each, known by two hashes.
-                n = s.windows[hot]
-                start = np.repeat(s.start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                key = rolling(s.codes, plan.window)[start]
-                same = _span_hash(s.codes, start, start + plan.window)
-                none = np.zeros(len(start), np.int64)
-                found.append((key, same, s.at + start, none + 1, none, none.astype(bool)))
+            own = np.flatnonzero((keys[at] == s.key) & ~often[at])
+            same = _span_hash(s.codes, s.start[own], s.start[own] + s.windows[own] + plan.window - 1)
+            found.append((s.key[own], same, s.at + s.start[own], s.windows[own], s.anchor[own] - s.start[own]))
     schema = pa.schema(
         {"key": pa.int64(), "same": pa.int64(), "content": pa.binary(), "anchor": pa.int32(), "windows": pa.int32(), "n": pa.int64(), "block": pa.int64(), "places": pa.binary()}
     )
     if not found:
         return schema.empty_table()
-    key, same, start, windows, anchor, with_text = (np.concatenate(x) for x in zip(*found))
+    key, same, start, windows, anchor = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((start, same, key))
     key, same, start = key[order], same[order], start[order]
     first = runs(key, same)
     last = np.append(first[1:], len(key))
-    windows, anchor, with_text = windows[order][first], anchor[order][first], with_text[order][first]
-    content = [
-        symbols.cut(a, a + w + plan.window - 1) if t else b""
-        for a, w, t in zip(start[first].tolist(), windows.tolist(), with_text.tolist())
-    ]
+    windows, anchor = windows[order][first], anchor[order][first]
+    content = [symbols.cut(a, a + w + plan.window - 1) for a, w in zip(start[first].tolist(), windows.tolist())]
     places = start.astype(np.int64)
     return pa.table(
         {
@@ -296,12 +326,58 @@ def _segments(blocks: pa.Table, answers: pa.Table, plan: Plan) -> pa.Table:
     )
 
 
+# ---- hot windows -----------------------------------------------------------------------
+
+
+def _window_hashes(codes: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """Two hashes of each window."""
+    return np.stack([rolling(codes, window)[start], _span_hash(codes, start, start + window)], axis=1)
+
+
+def _hot_questions(blocks: pa.Table, answers: pa.Table, plan: Plan, buckets: int) -> pa.Table:
+    """A block's distinct windows whose anchors occur too often for a group, by bucket."""
+    found = [np.empty((0, 2), U64)]
+    if answers.num_rows and blocks.num_rows:
+        keys, often = _repeated_anchors(answers)
+        keys = keys[often]
+        symbols = plan.symbols(texts_of(unpack(blocks.column("payload")[0].as_py())))
+        for s in stretches(symbols, plan.window, plan.gram):
+            hot = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, s.key), len(keys) - 1)] == s.key)
+            n = s.windows[hot]
+            start = np.repeat(s.start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if len(start):
+                found.append(_window_hashes(s.codes, start, plan.window))
+    return pa.Table.from_batches([_ask(blocks.column("block")[0].as_py() if blocks.num_rows else 0, np.concatenate(found), buckets)])
+
+
+def _among(hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which rows of ``hashes`` are rows of ``pairs``, which are sorted."""
+    at, out = np.searchsorted(pairs[:, 0], hashes[:, 0]), np.zeros(len(hashes), bool)
+    left = np.arange(len(hashes))
+    while len(left):
+        left = left[at[left] < len(pairs)]
+        left = left[pairs[at[left], 0] == hashes[left, 0]]
+        out[left] |= pairs[at[left], 1] == hashes[left, 1]
+        at[left] += 1
+    return out
+
+
+def _hot_windows(symbols, pairs: np.ndarray, window: int) -> np.ndarray:
+    """Where the windows with one of these pairs of hashes start."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    found = [np.empty(0, np.int64)]
+    for at, codes, whole in pieces(symbols, window):
+        if len(whole):
+            found.append(at + whole[_among(_window_hashes(codes, whole, window), pairs)])
+    return np.concatenate(found)
+
+
 # ---- groups ----------------------------------------------------------------------------
 
 
 @dataclass
 class Group:
-    """Distinct segments with the same prefix."""
+    """Distinct segments with the same anchor, and at how many places each is."""
 
     contents: list[bytes]
     anchors: list[int]
@@ -311,7 +387,7 @@ class Group:
 
 # Returns (segment, first window, past-the-last window) of windows equal to one of another
 # segment of the same group, or of the same segment at another place, as three arrays; segments
-# are numbered through all the groups.
+# are numbered through all the groups. A segment at several places is given once, with that total.
 Solver = Callable[[list[Group]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -341,28 +417,13 @@ def _repeated(batches: Iterator[pa.RecordBatch], plan: Plan, solver: Solver) ->
         key, same = rows.column("key").to_numpy(), rows.column("same").to_numpy()
         first = runs(key, same)
         segment_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        total = np.add.reduceat(rows.column("n").to_numpy(), first)
-        windows = rows.column("windows").to_numpy()[first].astype(np.int64)
-        group_first = np.append(runs(key[first]), len(first))
-        several = np.flatnonzero(np.diff(group_first) > 1)
-        picked = [np.arange(group_first[g], group_first[g + 1]) for g in several]
-        # Equal segments in two places repeat as a whole.
-        twice = np.flatnonzero(total > 1)
-        segment, low, high = [twice], [np.zeros(len(twice), np.int64)], [windows[twice]]
-        if picked:
-            ids = np.concatenate(picked)
-            texts = rows.column("content").take(pa.array(first[ids])).to_pylist()
-            anchors = rows.column("anchor").to_numpy()[first[ids]].tolist()
-            groups, at = [], 0
-            for p in picked:
-                to = at + len(p)
-                groups.append(Group(texts[at:to], anchors[at:to], windows[p].tolist(), total[p].tolist()))
-                at = to
-            s, a, b = solver(groups)
-            segment.append(ids[s])
-            low.append(a)
-            high.append(b)
-        segment, low, high = (np.concatenate(x) for x in (segment, low, high))
+        total = np.add.reduceat(rows.column("n").to_numpy(), first).tolist()
+        windows = rows.column("windows").to_numpy()[first].tolist()
+        texts = rows.column("content").take(pa.array(first)).to_pylist()
+        anchors = rows.column("anchor").to_numpy()[first].tolist()
+        edges = [*runs(key[first]).tolist(), len(first)]
+        groups = [Group(texts[a:b], anchors[a:b], windows[a:b], total[a:b]) for a, b in zip(edges, edges[1:])]
+        segment, low, high = solver(groups)
         if len(segment):
             yield from _spans(rows, segment_of, segment, low, high, plan.window)
 
@@ -402,11 +463,17 @@ def _spans(rows: pa.Table, segment_of, segment, low, high, window) -> Iterator[p
 Finish = Callable[[pa.RecordBatch, object, np.ndarray], dict]
 
 
-def _finish(blocks: pa.Table, spans: pa.Table, plan: Plan, finish: Finish, names: list[str]) -> pa.Table:
+def _finish(blocks: pa.Table, marks: pa.Table, plan: Plan, finish: Finish, names: list[str]) -> pa.Table:
     batch = unpack(blocks.column("payload")[0].as_py())
     symbols = plan.symbols(texts_of(batch))
-    starts = np.frombuffer(b"".join(spans.column("starts").to_pylist()), np.int64)
-    ends = np.frombuffer(b"".join(spans.column("ends").to_pylist()), np.int64)
+
+    def joined(name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join([b for b in marks.column(name).to_pylist() if b]), kind)
+
+    starts, ends, pairs = joined("starts", np.int64), joined("ends", np.int64), joined("pairs", np.uint64)
+    if len(pairs):
+        hot = _hot_windows(symbols, pairs.reshape(-1, 2), plan.window)
+        starts, ends = np.concatenate([starts, hot]), np.concatenate([ends, hot + plan.window])
     out = finish(batch, symbols, covered(len(symbols), starts, ends))
     return pa.table({n: out[n] for n in names})
 
@@ -419,8 +486,9 @@ def without_repeats(docs: DataFrame, plan: Plan, solver: Solver, finish: Finish,
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = pack_blocks(docs)
-    asked = blocks.mapInArrow(lambda it: _questions(it, plan, parts), "bucket long, block long, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(lambda t: _answers(t, plan.group_limit), "block long, keys binary, often binary")
+    buckets = max(parts, -(-blocks.count() // BUCKET_BLOCKS))
+    asked = blocks.mapInArrow(lambda it: _questions(it, plan, buckets), QUESTIONS)
+    answers = asked.groupBy("bucket").applyInArrow(lambda t: _answers(t, 1, plan.group_limit), ANSWERS)
     segments = (
         blocks.groupBy("block")
         .cogroup(answers.groupBy("block"))
@@ -431,9 +499,20 @@ def without_repeats(docs: DataFrame, plan: Plan, solver: Solver, finish: Finish,
         .sortWithinPartitions("key", "same")
         .mapInArrow(lambda it: _repeated(it, plan, solver), "block long, starts binary, ends binary")
     )
+    hot = (
+        blocks.groupBy("block")
+        .cogroup(answers.where("hot").groupBy("block"))
+        .applyInArrow(lambda b, a: _hot_questions(b, a, plan, buckets), QUESTIONS)
+        .groupBy("bucket")
+        .applyInArrow(lambda t: _answers(t, 2, plan.group_limit), ANSWERS)
+    )
+    none = F.lit(None).cast("binary")
+    marks = spans.withColumn("pairs", none).unionByName(
+        hot.select("block", none.alias("starts"), none.alias("ends"), F.col("keys").alias("pairs"))
+    )
     names = schema.fieldNames()
     return (
         blocks.groupBy("block")
-        .cogroup(spans.groupBy("block"))
+        .cogroup(marks.groupBy("block"))
         .applyInArrow(lambda b, s: _finish(b, s, plan, finish, names), schema)
     )

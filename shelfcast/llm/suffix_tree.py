@@ -4,7 +4,8 @@ Suffixes (windows) are split by prefixes of variable length into groups that fit
 (see ``repeats``). Of each group a suffix tree is built from the root down: the suffixes below a
 node are split by the next words, a suffix that is alone leaves as a leaf, and what is still
 together after ``window`` words hangs below an internal node of at least that depth: a repeat. The
-deepest node of a suffix, its longest repeat, is covered by the windows that start inside it.
+descent stops there. A longer repeat is the union of such windows, as every place inside it starts a
+suffix of its own, so a maximal repeat comes out as a span of covered words, not as a node.
 """
 
 from __future__ import annotations
@@ -53,8 +54,6 @@ def solve(groups: list[Group], window: int) -> tuple[np.ndarray, np.ndarray, np.
     contents = [c for g in groups for c in g.contents]
     words = find_words(contents, SPACED)
     windows = np.array([w for g in groups for w in g.windows])
-    # A group of single windows known by their hashes has no text: nothing to compare.
-    windows = np.where(words.counts > 0, windows, 0)
     total = np.array([t for g in groups for t in g.totals])
     group = np.repeat(np.arange(len(groups)), [len(g.contents) for g in groups])
     segment = np.repeat(np.arange(len(contents)), windows)
@@ -104,7 +103,7 @@ def _kept(batch: pa.RecordBatch, symbols: WordSymbols, removed: np.ndarray) -> d
 _TO_SPACE = bytes(0x20 if b in (0x20, *range(0x09, 0x0E)) else b for b in range(256))
 
 
-def drop_repeats(docs: DataFrame, columns: list[str], window: int = 35, group_limit: int = 20_000) -> DataFrame:
+def drop_repeats(docs: DataFrame, columns: list[str], window: int = 35, group_limit: int = 2_048) -> DataFrame:
     """The documents without the words covered by a window of ``window`` words that also starts
     elsewhere, in the same document or another.
 

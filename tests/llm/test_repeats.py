@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from shelfcast.llm import deep_shallow as ds
-from shelfcast.llm import suffix_tree
+from shelfcast.llm import repeats, suffix_tree
 from shelfcast.llm.queries import QUERIES
 from tests.llm.samples import documents, odd_rows, prose
 
@@ -102,6 +102,25 @@ def test_registered_bytes_query_against_brute_force(spark, root):
     assert sorted(got) == sorted(expected)
 
 
+def test_passage_in_very_many_documents(spark):
+    """A passage in every row, most of them past the limit of a group: it goes, what is around it stays."""
+    n, passage = 100_000, " ".join(f"p{i}" for i in range(40))
+    rows = spark.range(n).selectExpr("id AS doc_id", f"concat('a', id, ' {passage} z', id % 7) AS text")
+    # The last word agrees in a seventh of the rows, and so does the passage with it.
+    kept = suffix_tree.drop_repeats(rows, ["doc_id", "text"])
+    assert kept.where("n_words <> 42 OR n_removed <> 41 OR text <> concat('a', doc_id)").isEmpty()
+    assert kept.count() == n
+    # Ends of ids that agree go with the passage.
+    rest = ds.drop_repeated_bytes(rows.where("doc_id < 5000"), ["doc_id"], 64, with_text=True)
+    assert rest.where("n_spans <> 1 OR text NOT RLIKE '^a[0-9]*$'").isEmpty()
+
+
+def test_listed_windows_need_both_hashes():
+    pairs = np.array([[1, 5], [1, 7], [4, 2]], np.uint64)
+    asked = np.array([[1, 7], [1, 6], [4, 2], [9, 9], [0, 0], [1, 5]], np.uint64)
+    assert repeats._among(asked, pairs).tolist() == [True, False, True, False, False, True]
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert suffix_tree.drop_repeats(none, ["doc_id", "text"]).count() == 0
