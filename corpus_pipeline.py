@@ -21,10 +21,21 @@ def whole(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
 
 
+def all_but_text(docs: DataFrame) -> Column:
+    """The same without the text, for operators that return it: it moves once."""
+    return F.struct(*[F.col(f"`{n}`") for n in docs.columns if n != "text"]).alias("doc")
+
+
+def unpacked(docs: DataFrame, changed: dict[str, Column]) -> list[Column]:
+    """The columns of ``docs`` again, from ``doc`` where they are not among the changed ones."""
+    return [changed.get(n, F.col(f"doc.`{n}`")).alias(n) for n in docs.columns]
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality.score(docs.select("doc_id", "text", whole(docs)), table(spark, sf_dir, "labels"), ["doc"])
-    return scored.where(F.col("score") >= LEAST_QUALITY).select("doc.*")
+    chosen = docs.select("doc_id", "text", all_but_text(docs))
+    scored = quality.score(chosen, table(spark, sf_dir, "labels"), ["doc", "text"])
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(unpacked(docs, {"text": F.col("text")}))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +45,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 35 words or more that occur elsewhere."""
-    kept = suffix_tree.drop_repeats(docs.select("text", whole(docs)), ["doc", "text"])
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return kept.select(*[changed.get(n, F.col(f"doc.`{n}`")).alias(n) for n in docs.columns])
+    kept = suffix_tree.drop_repeats(docs.select("text", all_but_text(docs)), ["doc", "text"])
+    return kept.select(unpacked(docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")}))
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
