@@ -8,7 +8,7 @@ uses the same lists. As a shard holds every posting of its documents, nothing is
 term, and a very frequent term is spread over all shards.
 
 Terms are kept as 64-bit hashes. Test items are read in blocks of bounded size, one pass over
-the index for each block.
+the index for each block; a long item is cut into runs that overlap, so that it can be in many.
 
 Defined results: a null or empty text, and one without words, has no words and no hits; items
 without words have no phrase; items without an id are left out; rows with the same item id count
@@ -145,62 +145,90 @@ class Shard:
 
 @dataclass
 class Phrases:
-    """The windows of a block of test items, by length."""
-
-    items: list[str]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # length: item of each window, its terms
-
-
-def windows_of(items: list[tuple[str, bytes]], size: int) -> Phrases:
-    """Every ``size`` consecutive words of an item; a shorter item is one window."""
-    words = find_words([t for _, t in items], FOLDED)
-    found: dict[int, tuple[list, list]] = {}
-    for k in range(len(items)):
-        own = words.hashes[words.first[k] : words.first[k + 1]]
-        if len(own):
-            n = min(size, len(own))
-            rows = np.lib.stride_tricks.sliding_window_view(own, n)
-            into = found.setdefault(n, ([], []))
-            into[0].append(np.full(len(rows), k))
-            into[1].append(rows)
-    joined = {n: (np.concatenate(a), np.concatenate(b)) for n, (a, b) in found.items()}
-    return Phrases([i for i, _ in items], joined)
-
-
-def _item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t"))
-    block, size = [], 0
-    for row in rows.dropna().toLocalIterator():
-        block.append((row["i"], bytes(row["t"])))
-        size += len(row["t"]) // 2 + 1
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    """A block of test items: runs of words, in which every window of ``size`` words is a phrase."""
+
+    items: list[str]  # the item of each run
+    first: np.ndarray  # the words of run r are those from first[r] up to first[r + 1]
+    terms: np.ndarray  # the distinct words
+    words: np.ndarray  # for each word of the runs, which of the terms it is
+    size: int
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, number of words and run of every window; a run of fewer words is one window."""
+        counts = np.diff(self.first)
+        run = np.repeat(np.arange(len(counts)), counts)
+        length = np.minimum(counts, self.size)[run]
+        at = np.flatnonzero(np.arange(len(run)) + length <= self.first[1:][run])
+        return at, length[at], run[at]
+
+
+def phrases_of(runs: list[tuple[str, bytes]], size: int) -> Phrases:
+    first = np.cumsum([0, *(len(w) // 8 for _, w in runs)])
+    terms, words = np.unique(np.frombuffer(b"".join(w for _, w in runs), np.uint64), return_inverse=True)
+    return Phrases([i for i, _ in runs], first, terms, words.astype(np.int32), size)
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], size: int, longest: int) -> Iterator[pa.RecordBatch]:
+    def rows(found: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"item": pa.array([i for i, _ in found], pa.string()), "words": pa.array([w for _, w in found], pa.binary())})
+
+    for part in slices(batches):
+        words, found, held = find_words(texts_of(part), FOLDED), [], 0
+        bounds = words.first.tolist()
+        for item, begin, end in zip(part.column("item").to_pylist(), bounds[:-1], bounds[1:]):
+            # Neighbours share size - 1 words: each window is whole in one run.
+            for at in range(begin, max(end - size, begin) + 1 if end > begin else begin, longest - size + 1):
+                own = words.hashes[at : min(at + longest, end)]
+                found.append((item, packed(own, np.uint64)))
+                held += len(own)
+                if held >= longest:
+                    yield rows(found)
+                    found, held = [], 0
+        yield rows(found)
+
+
+def item_blocks(benchmark: DataFrame, size: int, item_id: str = "item_id", text: str = "text") -> Iterator[Phrases]:
+    """The test items in blocks of at most BLOCK_WORDS words (two windows, if that is more).
+
+    Tasks find the words and cut items into runs that fit; 8 bytes a word come here, one block at a time.
+    """
+    longest = max(BLOCK_WORDS, 2 * size)
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("text")).dropna()
+    runs, held = [], 0
+    for row in items.mapInArrow(lambda it: _run_rows(it, size, longest), "item string, words binary").toLocalIterator():
+        n = len(row["words"]) // 8
+        if held + n > longest:
+            yield phrases_of(runs, size)
+            runs, held = [], 0
+        runs.append((row["item"], bytes(row["words"])))
+        held += n
+    if runs:
+        yield phrases_of(runs, size)
 
 
 # ---- search ----------------------------------------------------------------------------
 
 
 def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, slop: int | None, all_docs: bool) -> Iterator[pa.RecordBatch]:
+    at, length, run = phrases.windows()
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             shard = Shard(row)
             doc, item, start, end = [], [], [], []
-            for n, (owner, terms) in phrases.by_length.items():
-                distinct, inverse = np.unique(terms, return_inverse=True)
-                numbers = shard.find(distinct)[inverse].reshape(terms.shape)
-                for w in np.flatnonzero((numbers >= 0).all(axis=1)):
-                    places = shard.phrase(numbers[w]) if slop is None else shard.near(numbers[w], n + slop)
-                    if len(places):
-                        docs = shard.doc_of(places)
-                        reach = n if slop is None else n + slop
-                        doc.append(docs)
-                        item.append(np.full(len(places), owner[w]))
-                        start.append(places - shard.first[docs])
-                        end.append(np.minimum(places + reach, shard.first[docs + 1]) - shard.first[docs])
+            numbers = shard.find(phrases.terms)[phrases.words]
+            absent = np.concatenate([[0], np.cumsum(numbers < 0)])
+            for w in np.flatnonzero(absent[at + length] == absent[at]).tolist():
+                n = int(length[w])
+                own = numbers[at[w] : at[w] + n]
+                places = shard.phrase(own) if slop is None else shard.near(own, n + slop)
+                if len(places):
+                    docs = shard.doc_of(places)
+                    reach = n if slop is None else n + slop
+                    doc.append(docs)
+                    item.append(np.full(len(places), run[w]))
+                    start.append(places - shard.first[docs])
+                    end.append(np.minimum(places + reach, shard.first[docs + 1]) - shard.first[docs])
             yield _hit_rows(shard, phrases.items, doc, item, start, end, all_docs)
 
 
@@ -234,12 +262,12 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = 13, slop: int | N
     """
     spark = index.sparkSession
     passes = []
-    for block in _item_blocks(benchmark, item_id, text):
-        # At most BLOCK_WORDS words of items go to the executors at a time.
-        sent = spark.sparkContext.broadcast(windows_of(block, size))
+    for block in item_blocks(benchmark, size, item_id, text):
+        # Windows are made in the tasks: 12 bytes a word, at most, go to the executors.
+        sent = spark.sparkContext.broadcast(block)
         passes.append(index.mapInArrow(lambda it, sent=sent, first=not passes: _search(it, sent.value, slop, first), HIT_SCHEMA))
     if not passes:
-        none = Phrases([], {})
+        none = phrases_of([], size)
         passes.append(index.mapInArrow(lambda it: _search(it, none, slop, True), HIT_SCHEMA))
     hits = passes[0]
     for more in passes[1:]:

@@ -64,6 +64,21 @@ def test_shards_do_not_change_results(spark, monkeypatch):
     assert results(dc.contamination(documents(spark, rows), items(spark, bench), 4)) == brute(rows, bench, 4)
 
 
+def test_long_items_are_cut_into_blocks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 40)
+    rng = random.Random(6)
+    bench = [(1, prose(rng, 1000, 400)), (2, prose(rng, 39)), (3, prose(rng, 41)), (4, prose(rng, 5)), (5, prose(rng, 40))]
+    blocks = list(dc.item_blocks(items(spark, bench), 13))
+    assert len(blocks) > 30 and all(len(b.words) <= 40 for b in blocks)
+    found = {i: set() for i, _ in bench}
+    for block in blocks:
+        for at, n, run in zip(*block.windows()):
+            found[int(block.items[run])].add(tuple(block.terms[block.words[at : at + n]].tolist()))
+    assert [len(found[i]) for i, _ in bench] == [len({tuple(p) for _, p in phrases([b], 13)}) for b in bench]
+    rows = [(9, f"{prose(rng, 30)} {' '.join(bench[0][1].split()[k : k + 13])} {prose(rng, 9)}") for k in range(0, 988, 7)]
+    assert results(dc.contamination(documents(spark, rows), items(spark, bench))) == brute(rows, bench, 13)
+
+
 def test_the_index_holds_every_word(spark):
     rows = odd_rows(random.Random(5))
     index = dc.build_index(documents(spark, rows), scratch_path(spark, "index"))
