@@ -72,3 +72,17 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "settled")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` or a write to ``scratch_path`` made, once nothing will read them again.
+
+    Only folders right inside the shared folder are deleted; frames that read anything else are passed over.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        shared = re.sub("^file:/*", "/", shared_folder(spark))
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if re.sub("^file:/*", "/", folder).rsplit("/", 1)[0] == shared:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
