@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from shelfcast.llm.components import connected_components
 from shelfcast.llm.repeats import runs
 from shelfcast.llm.words import SPACED, U64, find_words, mix, rolling, slices, texts_of
-from shelfcast.session import scratch_path, settle
+from shelfcast.session import discard, scratch_path, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -333,12 +333,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     compared = settle(compare(pairs, found))
     links = compared.where(F.col("similarity") >= threshold).select("a", "b")
 
-    links = links.union(settle(_open_links(compared, links, found, threshold)))
+    opened = settle(_open_links(compared, links, found, threshold))
+    links = links.union(opened)
 
     label = connected_components(links).select(F.col("node").alias("text_row"), "component")
     classes = texts.join(label, "text_row", "left").select("k1", "k2", F.coalesce("component", "text_row").alias("class"))
     placed = signed.select("row", "doc_id", "r1", "r2", "k1", "k2").join(classes, ["k1", "k2"], "left")
     placed = settle(placed.select("row", "doc_id", "r1", "r2", F.coalesce("class", "row").alias("class")))
+    # Only the classes are read from here on.
+    discard(signed, texts, met, pairs, found, compared, opened)
     # Written, so that the join below has a plain exchange on both sides and a large class can be split.
     heads = settle(
         placed.groupBy("class").agg(
