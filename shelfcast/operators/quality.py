@@ -42,48 +42,40 @@ def date_bounds(facts: DataFrame) -> DataFrame:
     return facts.agg(F.min(day).alias("Start_Date"), F.max(day).alias("End_Date"))
 
 
-def _distinct(groups: DataFrame, *names: str) -> DataFrame:
-    return groups.select(*names).distinct()
+def _distinct(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select(*names).distinct()
 
 
-def _known(groups: DataFrame, name: str) -> DataFrame:
-    return _distinct(groups.where(F.col(name).isNotNull()), name).agg(F.count(F.lit(1)).alias("n"))
+def _known(rows: DataFrame, name: str) -> DataFrame:
+    return _distinct(rows.where(F.col(name).isNotNull()), name).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _values(groups: DataFrame, name: str) -> DataFrame:
-    return _distinct(groups, name).agg(F.sort_array(F.collect_list(name)).alias(name))
+def _values(rows: DataFrame, name: str) -> DataFrame:
+    return _distinct(rows, name).agg(F.sort_array(F.collect_list(name)).alias(name))
 
 
 def quality_report(lines: DataFrame) -> DataFrame:
     """The data-quality report as one row.
 
-    One pass over the lines sums them to groups of equal order, product, customer, category and
-    region, which are written once. Every count is then a scalar subquery of its own over those
-    narrow rows: it reads a column or two and combines on the map side, where a single aggregate over
-    all of them would copy every line once per distinct column.
+    One pass over the lines writes what the counts need of each, without summing: lines hardly share
+    an order and a product, so groups would be as many and fill the memory of a task. Every count is
+    then a scalar subquery of its own over those narrow rows: it reads a column or two and combines
+    on the map side, where a single aggregate over all of them would copy every line once per
+    distinct column.
     """
-    day = F.col("Order Date")
-    missing = sum((_nulls(c) for c in lines.columns), F.lit(0))
-    groups = settle(
-        lines.groupBy("Order ID", "Product ID", "Customer ID", "Category", "Region").agg(
-            F.count(F.lit(1)).alias("_lines"),
-            F.min(day).alias("_first"),
-            F.max(day).alias("_last"),
-            missing.cast("bigint").alias("_missing"),
-            F.sum("Sales").alias("Sales"),
-            F.sum("Profit").alias("Profit"),
-        )
-    )
+    missing = sum((F.col(f"`{c}`").isNull().cast("int") for c in lines.columns), F.lit(0))
+    keys = ["Order ID", "Product ID", "Customer ID", "Category", "Region"]
+    narrow = settle(lines.select(*keys, "Order Date", missing.alias("_missing"), "Sales", "Profit"))
     nothing = F.lit(0).cast("bigint")
-    base = groups.agg(
-        F.coalesce(F.sum("_lines"), nothing).alias("total_rows"),
-        F.min("_first").alias("_first"),
-        F.max("_last").alias("_last"),
+    base = narrow.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.min("Order Date").alias("_first"),
+        F.max("Order Date").alias("_last"),
         F.coalesce(F.sum("_missing"), nothing).alias("missing_values"),
-        m.total(groups, "Sales").alias("total_sales"),
-        m.total(groups, "Profit").alias("total_profit"),
+        m.total(narrow, "Sales").alias("total_sales"),
+        m.total(narrow, "Profit").alias("total_profit"),
     )
-    pairs = _distinct(groups, *DUPLICATE_KEY).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _distinct(narrow, *DUPLICATE_KEY).agg(F.count(F.lit(1)).alias("n"))
     return base.select(
         "total_rows",
         F.lit(len(lines.columns)).alias("total_columns"),
@@ -95,9 +87,9 @@ def quality_report(lines: DataFrame) -> DataFrame:
         "total_sales",
         "total_profit",
         clean.percent(F.col("total_profit"), F.col("total_sales")).alias("overall_profit_margin"),
-        _known(groups, "Order ID").scalar().alias("unique_orders"),
-        _known(groups, "Customer ID").scalar().alias("unique_customers"),
-        _known(groups, "Product ID").scalar().alias("unique_products"),
-        _values(groups, "Category").scalar().alias("categories"),
-        _values(groups, "Region").scalar().alias("regions"),
+        _known(narrow, "Order ID").scalar().alias("unique_orders"),
+        _known(narrow, "Customer ID").scalar().alias("unique_customers"),
+        _known(narrow, "Product ID").scalar().alias("unique_products"),
+        _values(narrow, "Category").scalar().alias("categories"),
+        _values(narrow, "Region").scalar().alias("regions"),
     )

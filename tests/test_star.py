@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.functions import calendar
-from shelfcast.operators import series, summary
+from shelfcast.operators import quality, series, summary
 from shelfcast.operators.filters import Slice
 from shelfcast.plans.catalogue import QUERIES
 from shelfcast.sources.star import SalesStar
@@ -251,3 +251,12 @@ def test_lines_are_read_once_beforehand(spark, root, name):
     """What is left to run reads the written groups or keys."""
     plan = QUERIES[name](spark, root)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "l_partkey" not in plan
+
+
+def test_quality_report_does_not_group_the_lines(spark, root, monkeypatch):
+    """What is written beforehand has a row for each line: no task holds groups of nearly all lines in memory."""
+    written = []
+    monkeypatch.setattr(quality, "settle", lambda df: written.append(df) or df)
+    QUERIES["quality_report"](spark, root)
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(written) == 1 and "l_orderkey" in plan and "Aggregate" not in plan
