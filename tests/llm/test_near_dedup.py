@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from shelfcast.llm import components
 from shelfcast.llm import dart_minhash as dm
 from shelfcast.llm.components import connected_components
+from shelfcast.session import settle
 from tests.llm.samples import documents, odd_rows, prose
 
 
@@ -112,3 +114,20 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(links, "a long, b long"))
     assert sorted(tuple(r) for r in got.collect()) == sorted((n, label[n]) for n in own)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_end_at_stars_and_write_few_files(spark, monkeypatch):
+    """A round that changes nothing is not run, and a few links are not dealt to every partition."""
+    written = []
+    monkeypatch.setattr(components, "settle", lambda df: written.append(settle(df)) or written[-1])
+    monkeypatch.setattr(components, "discard", lambda *tables: None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stars = connected_components(spark.createDataFrame([(1, 5), (6, 1), (7, 2), (2, 7), (3, 3)], "a long, b long")).collect()
+        assert sorted(tuple(r) for r in stars) == [(1, 1), (2, 2), (5, 1), (6, 1), (7, 2)] and len(written) == 1
+        chain = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+        assert sorted(tuple(r) for r in chain) == [(i, 0) for i in range(41)]
+        assert len(written) > 4 and {len(t.inputFiles()) for t in written[2:]} == {1}
+        assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
